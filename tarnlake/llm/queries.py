@@ -35,6 +35,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"), n=5, percent=80)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import token_counts
 
@@ -55,7 +61,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op4_warc, op5_best_fit_packing, op7_token_counts, op8_bpe_round_trip, op10_nearest)}
+    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op4_warc, op5_best_fit_packing, op6_ngram_join, op7_token_counts, op8_bpe_round_trip, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
