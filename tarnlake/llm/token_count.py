@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import small_batches
 from .common import tokenizer_file
 
 SPACE = "▁"
@@ -52,8 +53,17 @@ class PrefixCounter:
         self.rank = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
         if any(SPACE in p.lstrip(SPACE) for p in self.rank):
             raise ValueError("a piece spans words")
-        self.longest = max(map(len, self.rank))
-        self.stable: dict[tuple[str, str], bool] = {}
+        self.names = [""]  # by token number; 0 begins a word
+        # What a piece ends with: a piece's number, or 0 for an ending that is no piece itself.
+        self.endings: dict[str, int] = {}
+        for piece in self.rank:
+            for j in range(1, len(piece)):
+                self.endings.setdefault(piece[j:], 0)
+            self.endings[piece] = len(self.names)
+            self.names.append(piece)
+        self.n_pieces = len(self.names)
+        self.unknown: dict[str, int] = {}
+        self.stable: dict[int, bool] = {}
         self.words: dict[str, bytes | np.ndarray] = {}
         self.cache_words = cache_words
 
@@ -70,42 +80,76 @@ class PrefixCounter:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def is_stable(self, left: str, right: str) -> bool:
-        key = (left, right)
-        known = self.stable.get(key)
-        if known is None:
-            if len(self.stable) > 2_000_000:
-                self.stable.clear()
-            known = self.stable[key] = self.merge(left + right) == ([left, right] if left else [right])
+    def is_stable(self, left: int, right: int) -> bool:
+        """Whether two tokens side by side encode to themselves."""
+        a, b = self.names[left], self.names[right]
+        if len(self.stable) > 3_000_000:
+            self.stable.clear()
+        known = self.stable[left << 24 | right] = self.merge(a + b) == ([a, b] if a else [b])
         return known
 
+    def spelled(self, char: str) -> int:
+        """Number of a character outside the vocabulary, which is spelled in bytes and never merges."""
+        n = self.unknown.get(char)
+        if n is None:
+            n = self.unknown[char] = len(self.names)
+            self.names.append(char)
+        return n
+
+    def fill(self, words: list[str]) -> None:
+        """Tables of new words.  In sorted order a word takes over what it has in common with the one before."""
+        endings, stable = self.endings, self.stable
+        last, counts, before = [0], [0], ""
+        for word in sorted(words):
+            n, k = len(word), 0
+            for x, y in zip(word, before, strict=False):
+                if x != y:
+                    break
+                k += 1
+            del last[k + 1 :], counts[k + 1 :]
+            for i in range(k + 1, n + 1):
+                j, found = i - 1, 0
+                while j >= 0:
+                    token = endings.get(word[j:i])
+                    if token is None:
+                        break
+                    if token:
+                        ok = stable.get(last[j] << 24 | token)
+                        if self.is_stable(last[j], token) if ok is None else ok:
+                            found = token
+                            break
+                    j -= 1
+                if found:
+                    last.append(found)
+                    counts.append(counts[j] + 1)
+                elif word[i - 1] in self.rank:  # can't happen while the theorem holds
+                    raise AssertionError(f"no stable token ends prefix {i} of {word[:40]!r}")
+                else:
+                    last.append(self.spelled(word[i - 1]))
+                    counts.append(counts[i - 1] + len(word[i - 1].encode("utf-8", "surrogatepass")))
+            before = word
+            self.words[word] = bytes(counts[1:]) if counts[n] < 200 and max(counts) < 256 else np.array(counts[1:], dtype=np.uint32)
+
     def table(self, word: str) -> bytes | np.ndarray:
         """Token count of each non-empty prefix of ``word``; bytes where they fit."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        rank, longest, stable = self.rank, self.longest, self.is_stable
-        last, counts = [""], [0]
-        for i in range(1, len(word) + 1):
-            for j in range(max(0, i - longest), i):
-                piece = word[j:i]
-                if (piece in rank or j == i - 1) and stable(last[j], piece):
-                    last.append(piece)
-                    counts.append(counts[j] + (1 if piece in rank else len(piece.encode("utf-8", "surrogatepass"))))
-                    break
-            else:  # can't happen while the theorem holds
-                raise AssertionError(f"no stable token ends prefix {i} of {word[:40]!r}")
-        found = bytes(counts[1:]) if max(counts) < 256 else np.array(counts[1:], dtype=np.uint32)
-        if len(self.words) >= self.cache_words:
+        if word not in self.words:
+            self.fill([word])
+        return self.words[word]
+
+    def learn(self, texts: list[str]) -> list[list[str]]:
+        """The texts' units, all of them in the tables then."""
+        if len(self.words) > self.cache_words:
             self.words.clear()
-        if len(word) <= 64:
-            self.words[word] = found
-        return found
+        units = [self.units(t) for t in texts]
+        self.fill(list({u for us in units for u in us if u not in self.words}))
+        return units
 
     def units(self, text: str) -> list[str]:
         """Independent stretches of the marked text: marks, then what follows them."""
         if not text:
             return []
+        if self.dummy and SPACE not in text and "  " not in text and text[0] != " " != text[-1]:
+            return [SPACE + w for w in text.split(" ")]
         marked = (SPACE if self.dummy else "") + text.replace(" ", SPACE)
         return re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", marked)
 
@@ -194,16 +238,14 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         c = counter(path)
         for b in batches:
             totals, fits, every = [], [], []
-            for text in b.column("text"):
-                text = text.as_py()
-                t = None
-                if prefixes or (n := c.count(text)) > limit:
-                    t = c.prefix_table(text)
-                    n = t.total
-                totals.append(n)
-                fits.append(len(text) if t is None else t.longest_prefix(limit))
-                if prefixes:
-                    every.append(t.counts().tolist())
+            for part in small_batches(v.as_py() for v in b.column("text")):
+                for text, units in zip(part, c.learn(part), strict=True):
+                    n = sum([c.words[u][-1] for u in units])
+                    t = c.prefix_table(text) if prefixes or n > limit else None
+                    totals.append(int(n))
+                    fits.append(len(text) if t is None else t.longest_prefix(limit))
+                    if prefixes:
+                        every.append(t.counts().tolist())
             columns = [b.column("id"), b.column("n_bytes"), pa.array(totals, pa.int64()), pa.array(fits, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(every, pa.list_(pa.int64()))] * prefixes, names=[f.name for f in fields])
 
