@@ -22,6 +22,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_records, write_archives
 
@@ -61,7 +67,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op4_warc, op5_best_fit_packing, op6_ngram_join, op7_token_counts, op8_bpe_round_trip, op10_nearest)}
+    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_lm_score, op4_warc, op5_best_fit_packing, op6_ngram_join, op7_token_counts, op8_bpe_round_trip, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
