@@ -302,3 +302,17 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = full.join(least, "class").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("least")).alias("component_id"))
     empty = classes.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
     return out.unionByName(empty).withColumnRenamed("id", id_col)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, **options) -> DataFrame:
+    """``docs`` with one row of each group of linked documents: that of the smallest id.
+
+    Rows equal in id and text count as one.  Rows without words are in no group and all
+    stay, as do rows of null id.  All columns are returned.
+    """
+    joined = ngram_join(docs, id_col, text_col, n, percent, **options)
+    stay = joined.filter(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("__stay")).distinct()
+    kept = docs.join(stay, docs[id_col] == stay["__stay"], "left_semi")
+    words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    once = kept.filter(words).withColumn("__text", F.xxhash64(text_col)).dropDuplicates([id_col, "__text"]).drop("__text")
+    return once.unionByName(kept.filter(~words)).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -176,11 +176,33 @@ def all_spans(text: str, terms: dict[str, bool]) -> list[Span]:
     return spans + [("term", *m.span()) for m in _TERM.finditer(text) if m[0].lower() in terms and not _inside(covered, *m.span())]
 
 
-def _term_passes(docs: DataFrame, **options) -> list[dict[str, bool]]:
-    terms = sensitive_terms(docs, **options)
-    n = terms.count()
-    k = max(1, -(-n // BLOCK_TERMS))
-    return [{r[0]: r[1] for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(k)) == i).select("term", "removed").toLocalIterator()} for i in range(k)]
+class Sensitive:
+    """Sensitive terms for the workers: up to BLOCK_TERMS of them as one set; more are
+    joined to the rows that hold them, as an extra column of each row's own terms."""
+
+    COLUMN = "__sensitive_terms"
+
+    def __init__(self, docs: DataFrame, text_col: str, **options):
+        terms = sensitive_terms(docs, text_col, **options)
+        self.n = terms.count()
+        self.shared = {r[0]: r[1] for r in terms.select("term", "removed").collect()} if self.n <= BLOCK_TERMS else None
+        self.docs = docs if self.shared is not None else self._joined(docs, text_col, terms)
+
+    def _joined(self, docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
+        def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [sorted(set(map(str.lower, _TERM.findall(x)))) for x in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], names=["key", "terms"])
+
+        texts = docs.select(F.xxhash64(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        pairs = texts.mapInArrow(held, "key long, terms array<string>").select("key", F.explode("terms").alias("term")).distinct()
+        own = pairs.join(terms, "term").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias(self.COLUMN))
+        return docs.withColumn("__key", F.xxhash64(text_col)).join(own.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
+
+    def of(self, batch: pa.RecordBatch) -> list[dict[str, bool]]:
+        if self.shared is not None:
+            return [self.shared] * batch.num_rows
+        return [dict(x or ()) for x in batch.column(batch.schema.get_field_index(self.COLUMN)).to_pylist()]
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -189,16 +211,15 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     A null text is the empty text: no spans.  One row for each row in, null and
     repeated ids included; other columns are ignored.
     """
-    passes = _term_passes(docs, text_col=text_col, **options)
-    terms = {t: r for p in passes for t, r in p.items()}
-    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sensitive = Sensitive(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text", **options)
+    src, of = sensitive.docs, _reader(sensitive)
     counts = [f"n_{k}" for k in (*KINDS, "term")]
     schema = T.StructType([T.StructField("id", src.schema["id"].dataType), *[T.StructField(c, T.LongType()) for c in counts], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, sha, out = {c: [] for c in counts}, [], []
-            for text in b.column("text"):
+            for text, terms in zip(b.column("text"), of(b), strict=True):
                 spans = all_spans(text.as_py(), terms)
                 kinds = [s[0] for s in spans]
                 for c in counts:
@@ -210,6 +231,13 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     return src.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+def _reader(sensitive: Sensitive):
+    """What a worker needs of it: no DataFrame goes along."""
+    light = object.__new__(Sensitive)
+    light.shared = sensitive.shared
+    return light.of
+
+
 def clean(text: str, terms: dict[str, bool]) -> str:
     """Protected entities become placeholders; sensitive terms go or are generalised."""
     out, at = [], 0
@@ -227,13 +255,13 @@ def sanitise(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
 
     All columns stay; null texts stay null.
     """
-    passes = _term_passes(docs, text_col=text_col, **options)
-    terms = {t: r for p in passes for t, r in p.items()}
-    at = docs.columns.index(text_col)
+    names = docs.columns
+    sensitive = Sensitive(docs, text_col, **options)
+    of, at = _reader(sensitive), names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            new = pa.array([None if x is None else clean(x, terms) for x in b.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([new if k == at else c for k, c in enumerate(b.columns)], names=b.schema.names)
+            new = pa.array([None if x is None else clean(x, terms) for x, terms in zip(b.column(at).to_pylist(), of(b), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([new if k == at else b.column(k) for k in range(len(names))], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return sensitive.docs.mapInArrow(run, docs.schema)

@@ -60,6 +60,12 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op9_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import quotation_links
+
+    return quotation_links(table(spark, sf_dir, "conversations"))
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest
 
@@ -67,7 +73,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_lm_score, op4_warc, op5_best_fit_packing, op6_ngram_join, op7_token_counts, op8_bpe_round_trip, op10_nearest)}
+    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_lm_score, op4_warc, op5_best_fit_packing, op6_ngram_join, op7_token_counts, op8_bpe_round_trip, op9_quotation_links, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
