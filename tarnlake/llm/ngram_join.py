@@ -142,7 +142,7 @@ def _dealt(docs: DataFrame, text_col: str, n: int, bits: int) -> DataFrame:
 def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     """Of one range: the hashes that two sets have or more, gathered by set."""
     if not len(rows):
-        return pd.DataFrame({"sig": np.zeros(0, np.int64), "n": np.zeros(0, np.int32), "tok": []})
+        return pd.DataFrame({"sig": np.zeros(0, np.int64), "n": np.zeros(0, np.int32), "tok": pd.Series([], dtype=object)})
     tok, sig, size = [], [], []
     for r in rows.itertuples(index=False):
         idx = np.frombuffer(r.idx, np.uint32)
@@ -163,8 +163,8 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     new = np.r_[True, (sig[1:] != sig[:-1]) | (tok[1:] != tok[:-1])] if len(tok) else np.zeros(0, bool)
     tok, sig, size = tok[new], sig[new], size[new]
     starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
-    ends = np.r_[starts[1:], len(tok)]
-    return pd.DataFrame({"sig": sig[starts], "n": size[starts].astype(np.int32), "tok": [tok[a:b].view(np.int64) for a, b in zip(starts, ends, strict=True)]})
+    ends = np.r_[starts[1:], len(tok)][: len(starts)]
+    return pd.DataFrame({"sig": sig[starts], "n": size[starts].astype(np.int32), "tok": pd.Series([tok[a:b].view(np.int64) for a, b in zip(starts, ends, strict=True)], dtype=object)})
 
 
 # -- one unit of work ---------------------------------------------------------
