@@ -108,13 +108,12 @@ def thresholds(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id", labe
     seen = feats.filter(~F.col("base_failed")).join(lab, "id")
     # One pass: a count for each rule and cutoff, partial before the shuffle by stratum.
     counts = [F.count_if((F.col("good") == g) & (F.col(r) > c)).alias(f"r{g}_{r}_{j}") for r, j, c in levels for g in (0, 1)]
-    wide = seen.groupBy("stratum").agg(F.count_if(F.col("good") == 1).alias("n1"), F.count_if(F.col("good") == 0).alias("n0"), *counts)
+    wide = written(seen.groupBy("stratum").agg(F.count_if(F.col("good") == 1).alias("n1"), F.count_if(F.col("good") == 0).alias("n0"), *counts), "strata")
     long = wide.select("stratum", "n1", "n0", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(j).alias("level"), F.lit(float(c)).alias("cutoff"), F.col(f"r1_{r}_{j}").alias("k1"), F.col(f"r0_{r}_{j}").alias("k0")) for r, j, c in levels])).alias("x")).select("stratum", "n1", "n0", "x.*")
-    strata = wide.agg(F.count("*").alias("strata"))
+    strata = wide.count()
     share = alpha / len(rules)
-    long = long.crossJoin(F.broadcast(strata))  # one row
     p = F.when(F.col("k1") > F.col("n1") * share, F.lit(1.0)).otherwise(binomial_cdf(F.col("k1"), F.col("n1"), share))
-    tested = long.withColumn("ok", (F.col("n1") > 0) & (p <= delta / (len(rules) * F.col("strata"))))
+    tested = long.withColumn("ok", (F.col("n1") > 0) & (p <= delta / (len(rules) * max(1, strata))))
     gain = F.coalesce(F.col("k0") / F.nullif(F.col("n0"), F.lit(0)), F.lit(0.0)) - F.coalesce(F.col("k1") / F.nullif(F.col("n1"), F.lit(0)), F.lit(0.0))
     levels_of = F.sort_array(F.collect_list(F.struct("level", "cutoff", "ok", gain.alias("gain"))))  # a grid: ten at most
     grids = tested.groupBy("stratum", "rule").agg(levels_of.alias("g"))
