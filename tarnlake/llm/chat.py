@@ -76,7 +76,7 @@ def quotation_links(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     else:
         raise RuntimeError("threads did not settle")
     out = linked.join(ways.select("conv", "turn", "r_conv", "r_turn", "depth"), ["conv", "turn"], "left")
-    body = F.trim(F.regexp_replace(F.regexp_replace("text", r"(?m)^([ \t]*>)+.*$", ""), r"\n{3,}", "\n\n"))
+    body = F.btrim(F.regexp_replace(F.regexp_replace("text", r"(?m)^([ \t]*>)+.*$", ""), r"\n{3,}", "\n\n"), F.lit(" \t\r\n"))
     follows = F.coalesce("follows", F.lit(False))
     return out.select(
         F.col("conv").alias("conv_id"),
