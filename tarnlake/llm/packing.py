@@ -12,52 +12,91 @@ pieces on the move can't take fewer bins.  Every round is a written table.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import small_batches
+from .bpe import byte_alphabet, small_batches
 from .common import tokenizer_file, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 # -- tokens -------------------------------------------------------------------
+#: The pre-tokenizer's pattern after lower-casing; a fixed value.
+PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class Words(dict):
+    """Ids by word, made when first asked for; the words of the last generation are taken over."""
+
+    def __init__(self, make, old: dict):
+        super().__init__()
+        self.make, self.old = make, old
+
+    def __missing__(self, w: str) -> bytes:
+        ids = self.old.get(w)
+        self[w] = ids = self.make(w) if ids is None else ids
+        return ids
+
+
 class WordCodec:
     """Ids of whole texts for a tokenizer that drops white space.
 
     White space always separates its words, so each distinct word is encoded once
     per worker and a text's ids are its words' ids in a row, held as little-endian
-    unsigned 32-bit bytes.
+    unsigned 32-bit bytes.  Words of Latin letters, digits and signs are normalised and
+    cut here and their pieces go to the tokenizer's model; all others, and those that
+    could hold a special string, go through the whole tokenizer.  Full tables are
+    replaced by generations, so that frequent words stay known.
     """
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, words: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.cache: dict[str, bytes] = {"": b""}
-        self.cache_words = cache_words
+        self.model = self.tok.model
+        self.most = words
+        self.cache = Words(self.word, {})
+        self.pieces: dict[str, bytes] = {}
+        # Latin letters are their own normal form; lower case of one of them is no single letter.
+        self.plain = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u024f]+")
+        self.cut = regex.compile(PRETOKEN)
+        self.marks = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
+
+    def piece(self, text: str) -> bytes:
+        found = self.model.tokenize(text.encode().decode("latin-1").translate(self.marks))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    def word(self, w: str) -> bytes:
+        if not self.plain.fullmatch(w) or "<|" in w:
+            return np.array(self.tok.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        pieces, out = self.pieces, []
+        for p in self.cut.findall(w.lower()):
+            ids = pieces.get(p)
+            if ids is None:
+                ids = pieces[p] = self.piece(p)
+            out.append(ids)
+        return b"".join(out)
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        cache = self.cache
-        if len(cache) > self.cache_words:
-            cache.clear()
-            cache[""] = b""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in words for w in ws if w not in cache})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for ws in words:
-            yield b"".join([cache[w] for w in ws])
+        if len(self.cache) > self.most:
+            self.cache = Words(self.word, dict(self.cache))
+        if len(self.pieces) > self.most:
+            self.pieces.clear()
+        of = self.cache.__getitem__
+        for t in texts:
+            yield b"".join(map(of, t.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=2)
