@@ -1,5 +1,6 @@
 """WARC archives with an index made first, and coalesced byte-range reads.
 
+Every record is a gzip member of its own, so a range of an archive can be read alone.
 Writing: each task writes one archive file into the shared folder and returns one
 index row for each record (file, offset, length, URL, digest).  The index is a written
 table, and it names the file of the attempt that succeeded, so repeated or lost tasks
@@ -10,6 +11,7 @@ are dealt out as bounded read jobs.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -53,11 +55,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     if record_type == "revisit":
         head += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-ID: {name(refers_to)}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
-    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+    return gzip.compress("\r\n".join(head).encode() + block + b"\r\n\r\n", 4, mtime=0)
 
 
 def parse(raw: bytes) -> dict:
-    """The record at the beginning of ``raw``."""
+    """The record of a gzip member."""
+    raw = gzip.decompress(raw)
     end = raw.index(b"\r\n\r\n")
     head = dict(line.split(": ", 1) for line in raw[:end].decode().split("\r\n")[1:])
     block = raw[end + 4 : end + 4 + int(head["Content-Length"])]
@@ -91,7 +94,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         fs, root = _fs(folder)
         fs.create_dir(root, recursive=True)
         task = TaskContext.get()
-        file = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc"
+        file = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.gz"
         offset, out = 0, None
         for b in batches:
             rows = []
@@ -99,7 +102,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                 page_id, first, payload, digest, url = page_id.as_py(), first.as_py(), html.as_py().encode("utf-8", "surrogatepass"), digest.as_py(), url.as_py()
                 kind, refers = ("revisit", first) if first is not None and first != page_id else ("response", None)
                 raw = record(page_id, url, payload, digest, kind, refers)
-                out = out or fs.open_output_stream(f"{root}/{file}")
+                out = out or fs.open_output_stream(f"{root}/{file}", compression=None)
                 out.write(raw)
                 rows.append((page_id, file, offset, len(raw), url, digest, kind, refers))
                 offset += len(raw)
@@ -128,7 +131,7 @@ def ranges(rows: list[tuple[int, int]], gap: int, most: int) -> Iterator[tuple[i
         yield start, end, own
 
 
-def read_records(index: DataFrame, payloads: bool = True, gap: int = 65_536, most: int = 8_388_608, job_bytes: int = 33_554_432) -> DataFrame:
+def read_records(index: DataFrame, payloads: bool = True, gap: int = 65_536, most: int = 8_388_608, job_bytes: int = 16_777_216) -> DataFrame:
     """The selected records (rows of an index, any filter applied), READ by range.
 
     ``gap``: bytes read in vain between two records rather than by a second request.
@@ -159,5 +162,7 @@ def read_records(index: DataFrame, payloads: bool = True, gap: int = 65_536, mos
 
     arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
     picked = index.select("file", "offset", "length")
-    dealt = picked.repartition("file", (F.col("offset") / job_bytes).cast("long")).sortWithinPartitions("file", "offset")
+    # Index rows are small, what they stand for is not: the number of tasks comes from the bytes to read.
+    total = picked.agg(F.sum("length")).head()[0] or 0
+    dealt = picked.repartition(max(1, -(-total // job_bytes)), "file", (F.col("offset") / job_bytes).cast("long")).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, READ)
