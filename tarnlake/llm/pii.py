@@ -119,7 +119,7 @@ def _inside(covered: list[tuple[int, int]], a: int, b: int) -> bool:
     return any(x < b and a < y for x, y in covered[max(0, k - 4) : k + 1])
 
 
-def sensitive_terms(docs: DataFrame, text_col: str = "text", width: int = 6, min_contexts: int = 3, disclose: float = 0.8, remove: float = 0.95) -> DataFrame:
+def sensitive_terms(docs: DataFrame, text_col: str = "text", width: int = 6, min_contexts: int = 3, disclose: float = 0.9, remove: float = 0.99) -> DataFrame:
     """term, disclosure, removed: terms that reveal an entity, over all documents.
 
     Null and empty texts hold nothing.  Entities leave the workers as hashes only.
