@@ -67,8 +67,11 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products row by row; equal rows give equal sums wherever they stand."""
-    return (a * b).sum(axis=-1)
+    """Inner products, summed in the order of the components: equal rows give equal sums."""
+    out = a[..., 0] * b[..., 0]
+    for k in range(1, a.shape[-1]):
+        out = out + a[..., k] * b[..., k]
+    return out
 
 
 def _ordered(valid: DataFrame, curve: int, dims: int) -> DataFrame:

@@ -77,4 +77,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import sql
+
+    return {"op2_quality_rules": sql.op2(), "op4_warc": sql.OP4, "op6_ngram_join": sql.OP6, "op10_nearest": sql.OP10}
