@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnlake.plans import metrics, relational, scoring  # noqa: F401  scoring adds its queries
+from tarnlake.plans import enrichment, metrics, relational, scoring  # noqa: F401  modules that add their queries
 from tarnlake.plans.adapter import FACTS_SQL, Tables, fact
 
 FLAGSHIP = "m03_mttr_hours"
