@@ -182,19 +182,18 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     Queries are the rows whose id is divisible by ``every``; candidates are the rows of
     other ids.  Ties go to the smaller id.  Vectors that are null, zero, hold null or
-    non-finite components or have another length than most of the table's first take
-    no part, nor do null ids; an empty table gives an empty one.  Other columns are
-    ignored.  ``exact=False`` returns the merged windows alone.
+    non-finite components or have another length than most take no part, nor do null
+    ids; an empty table gives an empty one.  Other columns are ignored.  ``exact=False`` returns the merged windows alone.
     """
     spark = vectors.sparkSession
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     src = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     src = src.filter(F.coalesce(fine, F.lit(False)))
-    first = src.select(F.size("v")).head()
-    if first is None:
+    lengths = src.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").head()
+    if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims = first[0]
+    dims = lengths["d"]
     valid = src.filter(F.size("v") == dims).withColumn("h", F.xxhash64("v"))
     base = written(_ordered(valid, 0, dims), "curve")
     parts = [_windows(base if t == 0 else _ordered(valid, t, dims), dims, every, k, width) for t in range(curves)]

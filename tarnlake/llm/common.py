@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tarnlake-")
+        own = tempfile.mkdtemp(prefix="tarnlake-")
+        atexit.register(shutil.rmtree, own, True)
+        path = "file://" + own
         spark.conf.set("spark.checkpoint.dir", path)
         sc.setCheckpointDir(path)
     return path.rstrip("/")
