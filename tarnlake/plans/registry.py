@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tarnlake.plans import enrichment, metrics, relational, scoring  # noqa: F401  modules that add their queries
 from tarnlake.plans.adapter import FACTS_SQL, Tables, fact
+from tarnlake.streaming import queries as _stream  # noqa: F401
 
 FLAGSHIP = "m03_mttr_hours"
 #: Entity and period of each metric's query.

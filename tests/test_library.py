@@ -85,3 +85,13 @@ def test_stream_merge_keeps_the_newest_and_repeats_safely(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(src)
         merge.start_merge(stream, table, mark, "k", ["at"]).awaitTermination()
     assert {(r["k"], r["v"]) for r in merge.current(spark, table).collect()} == {("a", "z"), ("b", "y")}
+
+
+def test_category_states_ignore_late_steps(spark, tmp_path):
+    src = str(tmp_path / "steps")
+    schema = "item string, at timestamp, category string"
+    rows = spark.createDataFrame([("a", "2024-01-02", "done"), ("a", "2024-01-01", "todo"), ("b", "2024-01-05", "open")], "item string, at string, category string")
+    rows.select("item", F.col("at").cast("timestamp").alias("at"), "category").coalesce(1).write.parquet(src)
+    states = merge.category_states(spark.readStream.schema(schema).parquet(src), "item", "at", "category")
+    states.writeStream.format("memory").queryName("states").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "mark")).start().awaitTermination()
+    assert {(r["item"], r["category"]) for r in spark.table("states").collect()} == {("a", "done"), ("b", "open")}
