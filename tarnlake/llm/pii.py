@@ -138,18 +138,34 @@ def sensitive_terms(docs: DataFrame, text_col: str = "text", width: int = 6, min
     pairs = ctx.select("entity", "context", "doc", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.countDistinct("context").alias("n_c"), F.countDistinct("doc").alias("n_et")).filter(F.col("n_c") >= min_contexts)
     pairs = written(pairs.drop("n_c").join(entities.drop("n_c"), "entity"), "pairs")
     terms = pairs.select("term").distinct()
+    n_texts = texts.select(F.xxhash64("text").alias("h")).distinct().count()
+    # A term reaches the threshold with an entity only if no more than n(e,t) 2**((1 - disclose) IC(e))
+    # texts have it.  So many of its texts are counted at most, and terms that exceed this
+    # around entities alone are no candidates.
+    bound = F.col("n_et") * F.pow(F.lit(2.0), (1 - disclose) * F.greatest(F.log2(F.lit(float(n_texts)) / F.col("n_e")), F.lit(0.0)))
+    around = ctx.select("doc", F.explode("terms").alias("term")).join(terms, "term").groupBy("term").agg(F.countDistinct("doc").alias("n_around"))
+    terms = pairs.groupBy("term").agg(F.ceil(F.max(bound)).alias("most")).join(around, "term").filter("n_around <= most").select("term", "most")
+    terms = written(terms, "candidates")
     n_terms = terms.count()
     if not n_terms:
         return spark.createDataFrame([], "term string, disclosure double, removed boolean")
-    n_texts = texts.select(F.xxhash64("text").alias("h")).distinct().count()
 
     frequencies = None
     for block in _blocks(terms, n_terms):
 
         def holding(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            seen: dict[str, set[int]] = {}
+            names = block.keys()
             for b in batches:
-                rows = [(t, h) for text in b.column(0).to_pylist() for h in (_hash(text),) for t in block.intersection(map(str.lower, _TERM.findall(text)))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["term", "doc"])
+                for text in b.column(0).to_pylist():
+                    h = None
+                    for t in names & set(map(str.lower, _TERM.findall(text))):
+                        own = seen.setdefault(t, set())
+                        if len(own) <= block[t]:
+                            h = _hash(text) if h is None else h
+                            own.add(h)
+            rows = [(t, h) for t, own in seen.items() for h in own]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["term", "doc"])
 
         part = texts.mapInArrow(holding, "term string, doc long").groupBy("term").agg(F.countDistinct("doc").alias("n_t"))
         frequencies = part if frequencies is None else frequencies.unionByName(part)
@@ -160,11 +176,11 @@ def sensitive_terms(docs: DataFrame, text_col: str = "text", width: int = 6, min
     return written(found.withColumn("removed", F.col("disclosure") >= remove), "sensitive")
 
 
-def _blocks(terms: DataFrame, n: int) -> Iterator[frozenset]:
-    """The terms in sets of about BLOCK_TERMS: each a bounded share on the driver."""
+def _blocks(terms: DataFrame, n: int) -> Iterator[dict[str, int]]:
+    """The candidates in shares of about BLOCK_TERMS: each bounded on the driver."""
     k = -(-n // BLOCK_TERMS)
     for i in range(k):
-        yield frozenset(r[0] for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(k)) == i).toLocalIterator())
+        yield {r[0]: r[1] for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(k)) == i).toLocalIterator()}
 
 
 def all_spans(text: str, terms: dict[str, bool]) -> list[Span]:
