@@ -139,32 +139,54 @@ def _dealt(docs: DataFrame, text_col: str, n: int, bits: int) -> DataFrame:
     return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "range long, idx binary, tok binary, sigs binary, sizes binary")
 
 
-def _shared(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one range: the hashes that two sets have or more, gathered by set."""
-    if not len(rows):
-        return pd.DataFrame({"sig": np.zeros(0, np.int64), "n": np.zeros(0, np.int32), "tok": pd.Series([], dtype=object)})
-    tok, sig, size = [], [], []
-    for r in rows.itertuples(index=False):
-        idx = np.frombuffer(r.idx, np.uint32)
-        tok.append(np.frombuffer(r.tok, np.uint64))
-        sig.append(np.frombuffer(r.sigs, np.int64)[idx])
-        size.append(np.frombuffer(r.sizes, np.uint32)[idx])
-    tok, sig, size = np.concatenate(tok), np.concatenate(sig), np.concatenate(size)
-    order = np.argsort(tok, kind="stable")
-    tok, sig, size = tok[order], sig[order], size[order]
-    starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
-    ends = np.r_[starts[1:], len(tok)]
-    # a hash counts as shared if its holders aren't all the same set
-    differs = np.maximum.reduceat(sig, starts) != np.minimum.reduceat(sig, starts)
-    keep = np.repeat(differs, ends - starts)
-    tok, sig, size = tok[keep], sig[keep], size[keep]
-    order = np.lexsort((tok, sig))
-    tok, sig, size = tok[order], sig[order], size[order]
-    new = np.r_[True, (sig[1:] != sig[:-1]) | (tok[1:] != tok[:-1])] if len(tok) else np.zeros(0, bool)
-    tok, sig, size = tok[new], sig[new], size[new]
-    starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
-    ends = np.r_[starts[1:], len(tok)][: len(starts)]
-    return pd.DataFrame({"sig": sig[starts], "n": size[starts].astype(np.int32), "tok": pd.Series([tok[a:b].view(np.int64) for a, b in zip(starts, ends, strict=True)], dtype=object)})
+def _shared(bits: int):
+    """Of one range: the hashes that two sets have or more, packed by bucket of the set."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        tok, sig, size = [], [], []
+        for r in rows.itertuples(index=False):
+            idx = np.frombuffer(r.idx, np.uint32)
+            tok.append(np.frombuffer(r.tok, np.uint64))
+            sig.append(np.frombuffer(r.sigs, np.int64)[idx])
+            size.append(np.frombuffer(r.sizes, np.uint32)[idx])
+        none = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        tok, sig, size = (np.concatenate(x or y) for x, y in zip((tok, sig, size), none, strict=True))
+        order = np.argsort(tok, kind="stable")
+        tok, sig, size = tok[order], sig[order], size[order]
+        if len(tok):
+            # a hash counts as shared if its holders aren't all the same set
+            starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
+            differs = np.maximum.reduceat(sig, starts) != np.minimum.reduceat(sig, starts)
+            keep = np.repeat(differs, np.diff(np.r_[starts, len(tok)]))
+            tok, sig, size = tok[keep], sig[keep], size[keep]
+        bucket = (sig.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(sig), np.int64)
+        order = np.argsort(bucket, kind="stable")
+        tok, sig, size, bucket = tok[order], sig[order], size[order], bucket[order]
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+        out = [(int(bucket[a]), sig[a:b].tobytes(), size[a:b].tobytes(), tok[a:b].tobytes()) for a, b in zip(starts, np.r_[starts[1:], len(bucket)][: len(starts)], strict=True)]
+        return pd.DataFrame(out, columns=["bucket", "sigs", "sizes", "toks"])
+
+    return run
+
+
+def _alive(percent: int):
+    """Of one bucket of sets: those with enough shared hashes, one row each."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        sig = np.concatenate([np.frombuffer(x, np.int64) for x in rows["sigs"]])
+        size = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["sizes"]])
+        tok = np.concatenate([np.frombuffer(x, np.int64) for x in rows["toks"]])
+        order = np.lexsort((tok, sig))
+        sig, size, tok = sig[order], size[order], tok[order]
+        new = np.r_[True, (sig[1:] != sig[:-1]) | (tok[1:] != tok[:-1])] if len(sig) else np.zeros(0, bool)
+        sig, size, tok = sig[new], size[new], tok[new]
+        starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
+        ends = np.r_[starts[1:], len(sig)][: len(starts)]
+        enough = 100 * (ends - starts) >= percent * size[starts].astype(np.int64)
+        starts, ends = starts[enough], ends[enough]
+        return pd.DataFrame({"sig": sig[starts], "n": size[starts].astype(np.int32), "tok": pd.Series([tok[a:b] for a, b in zip(starts, ends, strict=True)], dtype=object)})
+
+    return run
 
 
 # -- one unit of work ---------------------------------------------------------
@@ -257,11 +279,10 @@ def similar_sets(docs: DataFrame, text_col: str = "text", n: int = 5, percent: i
     spark = docs.sparkSession
     bits = max(0, (max(1, n_rows) // range_hashes).bit_length())
     dealt = _dealt(docs, text_col, n, bits)
-    shared = written(dealt.groupBy("range").applyInPandas(_shared, "sig long, n int, tok array<long>"), "shared")
-    per_set = shared.groupBy("sig").agg(F.max("n").alias("n"), F.sum(F.size("tok")).alias("m"))
-    alive = written(per_set.filter(100 * F.col("m") >= percent * F.col("n")).select("sig", "n"), "alive")
+    packed = written(dealt.groupBy("range").applyInPandas(_shared(bits), "bucket long, sigs binary, sizes binary, toks binary"), "shared")
+    alive = written(packed.groupBy("bucket").applyInPandas(_alive(percent), "sig long, n int, tok array<long>"), "alive")
     # Frequencies among the sets that are left; a hash that only one of them has can't count any more.
-    tokens = shared.select("sig", F.explode("tok").alias("t")).join(alive, "sig").distinct()
+    tokens = alive.select("sig", "n", F.explode("tok").alias("t"))
     tokens = written(tokens, "tokens")
     frequency = tokens.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
     sets = tokens.join(frequency, "t").groupBy("sig", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("x"))  # one text's hashes
