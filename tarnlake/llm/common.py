@@ -9,9 +9,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Characters that end a word: space and the five ASCII controls 0x09-0x0D.
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
