@@ -160,11 +160,16 @@ def _shared(bits: int):
             keep = np.repeat(differs, np.diff(np.r_[starts, len(tok)]))
             tok, sig, size = tok[keep], sig[keep], size[keep]
         bucket = (sig.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(sig), np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(sig.view(np.uint64), kind="stable")  # a bucket is a range of sets too
         tok, sig, size, bucket = tok[order], sig[order], size[order], bucket[order]
+        firsts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
+        runs = np.diff(np.r_[firsts, len(sig)]).astype(np.uint32)
         starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-        out = [(int(bucket[a]), sig[a:b].tobytes(), size[a:b].tobytes(), tok[a:b].tobytes()) for a, b in zip(starts, np.r_[starts[1:], len(bucket)][: len(starts)], strict=True)]
-        return pd.DataFrame(out, columns=["bucket", "sigs", "sizes", "toks"])
+        out = []
+        for a, b in zip(starts, np.r_[starts[1:], len(bucket)][: len(starts)], strict=True):
+            i, j = np.searchsorted(firsts, (a, b))
+            out.append((int(bucket[a]), sig[firsts[i:j]].tobytes(), size[firsts[i:j]].tobytes(), runs[i:j].tobytes(), tok[a:b].tobytes()))
+        return pd.DataFrame(out, columns=["bucket", "sigs", "sizes", "runs", "toks"])
 
     return run
 
@@ -173,8 +178,9 @@ def _alive(percent: int):
     """Of one bucket of sets: those with enough shared hashes, one row each."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sig = np.concatenate([np.frombuffer(x, np.int64) for x in rows["sigs"]])
-        size = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["sizes"]])
+        runs = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["runs"]])
+        sig = np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in rows["sigs"]]), runs)
+        size = np.repeat(np.concatenate([np.frombuffer(x, np.uint32) for x in rows["sizes"]]), runs)
         tok = np.concatenate([np.frombuffer(x, np.int64) for x in rows["toks"]])
         order = np.lexsort((tok, sig))
         sig, size, tok = sig[order], size[order], tok[order]
@@ -279,7 +285,7 @@ def similar_sets(docs: DataFrame, text_col: str = "text", n: int = 5, percent: i
     spark = docs.sparkSession
     bits = max(0, (max(1, n_rows) // range_hashes).bit_length())
     dealt = _dealt(docs, text_col, n, bits)
-    packed = written(dealt.groupBy("range").applyInPandas(_shared(bits), "bucket long, sigs binary, sizes binary, toks binary"), "shared")
+    packed = dealt.groupBy("range").applyInPandas(_shared(bits), "bucket long, sigs binary, sizes binary, runs binary, toks binary")
     alive = written(packed.groupBy("bucket").applyInPandas(_alive(percent), "sig long, n int, tok array<long>"), "alive")
     # Frequencies among the sets that are left; a hash that only one of them has can't count any more.
     tokens = alive.select("sig", "n", F.explode("tok").alias("t"))
