@@ -2,16 +2,17 @@
 
 Counts of word n-grams (orders 1 and 2) of the training documents are gathered over
 the whole corpus.  A count c is quantised to the level 1 + floor(log2 c), and the
-n-gram is put into one Bloom filter once for each level up to its own.  The filter has
-a fixed size and goes to every worker; a count is read back by probing level after
-level until one is missing, so the structure never holds an n-gram itself.  A text's
-probability interpolates the two orders:
+n-gram is put into a Bloom filter once for each level up to its own.  A count is read
+back by probing level after level until one is missing, so the structure never holds
+an n-gram itself.  A text's probability interpolates the two orders:
 
     p(w | h) = weight * c(h, w) / c(h) + (1 - weight) * (c(w) + 1) / (N + V + 1)
 
-Bigrams seen once are left out; where the filter would still fill by more than half,
-the least count kept is raised until it does not (the whole corpus decides, through
-the histogram of counts).
+All n-grams go in, whatever their count.  The filter is in segments by range of hash;
+their number grows with the corpus, and each is as large as its own n-grams ask for, so
+that at most half of its bits are set.  No worker holds more than one segment: the
+n-grams to be scored come to the segment that has them, packed by batch of texts, and
+their levels go back to the batch.
 
 The exact base score needs exact counts of all words.  The most frequent words are
 looked up in the worker (a bounded list); the others are joined by word.
@@ -35,8 +36,12 @@ from .bpe import small_batches
 from .common import written
 
 END = b""  # no word is empty, so the empty word stands for a document's end
-#: The filter has 2**LOG_BITS bits in SEGMENTS parts: 16 MB, whatever the corpus.
+#: Of a filter held as a whole: 2**LOG_BITS bits in 2**LOG_SEGMENTS parts.  There are as many ranges as parts at least.
 LOG_BITS, LOG_SEGMENTS, PROBES = 27, 6, 4
+#: An n-gram is known in its range by so many more bits of its hash.
+ITEM_BITS = 40
+#: Tokens of a batch of texts.
+BATCH_TOKENS = 1_500_000
 #: Words looked up in the worker; each at most so many bytes long: 20 MB at the most.
 HOT_WORDS, HOT_BYTES = 200_000, 100
 TOP_LEVEL = 48
@@ -85,9 +90,9 @@ def levels(counts: np.ndarray) -> np.ndarray:
 
 
 # -- the filter ---------------------------------------------------------------
-def places(items: np.ndarray, level: int | np.ndarray) -> Iterator[np.ndarray]:
-    """Bit numbers inside an item's segment (its hash's first bits), one array for each probe."""
-    inside = np.uint64((1 << (LOG_BITS - LOG_SEGMENTS)) - 1)
+def places(items: np.ndarray, level: int | np.ndarray, log_bits: int = LOG_BITS - LOG_SEGMENTS) -> Iterator[np.ndarray]:
+    """Bit numbers inside an item's segment of 2**log_bits bits, one array for each probe."""
+    inside = np.uint64((1 << log_bits) - 1)
     h = mixed(items + np.asarray(level).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
     step = mixed(h) | np.uint64(1)
     for k in range(PROBES):
@@ -95,8 +100,12 @@ def places(items: np.ndarray, level: int | np.ndarray) -> Iterator[np.ndarray]:
 
 
 class LogFrequencyFilter:
-    def __init__(self, raw: bytes):
+    """2**log_segments segments by an item's first bits, all of one size; 0 is one segment for all items."""
+
+    def __init__(self, raw: bytes, log_segments: int = LOG_SEGMENTS):
         self.bits = np.frombuffer(raw, np.uint8)
+        self.log_segments = log_segments
+        self.log_bits = (len(raw) * 8).bit_length() - 1 - log_segments  # of a segment
 
     def level(self, items: np.ndarray) -> np.ndarray:
         """The level of each item: probes go up while every probe of a level hits."""
@@ -104,9 +113,9 @@ class LogFrequencyFilter:
         at = np.arange(len(items))
         for level in range(1, TOP_LEVEL):
             own = items[at]
-            base = (own >> np.uint64(64 - LOG_SEGMENTS)) << np.uint64(LOG_BITS - LOG_SEGMENTS)
+            base = (own >> np.uint64(64 - self.log_segments)) << np.uint64(self.log_bits) if self.log_segments else np.uint64(0)
             hit = np.ones(len(own), bool)
-            for p in places(own, level):
+            for p in places(own, level, self.log_bits):
                 p = base + p
                 hit &= (self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
             at = at[hit]
@@ -115,10 +124,22 @@ class LogFrequencyFilter:
             out[at] = level
         return out
 
-    def count(self, items: np.ndarray) -> np.ndarray:
-        """Expected counts: the middle of a level's range; 0 where the first level misses."""
-        level = self.level(items)
-        return np.where(level > 0, (3.0 * 2.0 ** (level - 1) - 1) / 2, 0.0)
+
+def expected(level: np.ndarray) -> np.ndarray:
+    """Expected counts: the middle of a level's range; 0 where the first level misses."""
+    level = level.astype(np.float64)
+    return np.where(level > 0, (3.0 * 2.0 ** (level - 1) - 1) / 2, 0.0)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """An array's bytes by place (all first ones, all second ones, ...), compressed."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, kind: type) -> np.ndarray:
+    planes = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 # -- counting -----------------------------------------------------------------
@@ -149,98 +170,92 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _dealt(texts: DataFrame, bits: int) -> DataFrame:
-    """range, order, items, counts: n-grams counted by task and dealt by range of hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            w = np.concatenate(held)
-            held.clear()
-            before = np.r_[hashes().of([END]), w[:-1]]
-            rows = []
-            for order, items in ((1, mixed(w)), (2, bigram(before, w))):
-                items, counts = np.unique(items, return_counts=True)
-                ranges = (items >> np.uint64(64 - bits)).astype(np.int64)
-                at = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]])
-                for a, b in zip(at, np.r_[at[1:], len(items)], strict=True):
-                    rows.append((int(ranges[a]), order, items[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["range", "order", "items", "counts"])
-
-        for b in batches:
-            for part in small_batches(t.as_py() for t in b.column(0)):
-                flat = [w for t in part for w in (*words_of(t), END)]
-                held.append(hashes().of(flat))
-                size += len(flat)
-                if size > 3_000_000:
-                    yield out()
-                    size = 0
-        if size:
-            yield out()
-
-    return texts.mapInArrow(run, "range long, order int, items binary, counts binary")
-
-
-def _merged(rows: pd.DataFrame) -> pd.DataFrame:
-    """One range: total counts of its n-grams; a count of 1 of order 2 only in the histogram."""
-    out = []
-    for order, own in rows.groupby("order"):
-        items = np.concatenate([np.frombuffer(x, np.uint64) for x in own["items"]])
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in own["counts"]]).astype(np.int64)
-        by = np.argsort(items, kind="stable")
-        items, counts = items[by], counts[by]
-        starts = np.flatnonzero(np.r_[True, items[1:] != items[:-1]])
-        items, counts = items[starts], np.add.reduceat(counts, starts)
-        keep = counts >= (2 if order == 2 else 1)
-        items, level = items[keep], levels(counts[keep])
-        out.append((int(rows["range"].iloc[0]), int(order), items.tobytes(), level.astype(np.uint8).tobytes(), np.bincount(level, minlength=TOP_LEVEL).tolist()))
-    return pd.DataFrame(out, columns=["range", "order", "items", "levels", "histogram"])
-
-
-def _segment(least: dict[int, int]):
+def _grams(words: np.ndarray, seq: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """order, items (distinct, ascending), place of each token's item: the n-grams of a batch of texts."""
+    items = mixed(words)
+    by = np.argsort(items)
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    yield 1, items[by], place[seq]
+    w = words[seq]
+    items, place = np.unique(bigram(np.r_[hashes().of([END]), w[:-1]], w), return_inverse=True)
+    yield 2, items, place
+
+
+def _dealt(batches: DataFrame, bits: int) -> DataFrame:
+    """range, order, batch, high, low, counts: each batch's n-grams and how often its training texts have them."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows:
+            for x in r.to_pylist():
+                words, seq = np.frombuffer(x["words"], np.uint64), unpacked(x["seq"], np.uint32)
+                train = ~np.repeat(np.array(x["held_out"], bool), x["sizes"])
+                out = []
+                for order, items, place in _grams(words, seq):
+                    counts = np.bincount(place[train], minlength=len(items)).astype(np.uint32)
+                    ranges = (items >> np.uint64(64 - bits)).astype(np.int64)
+                    own = (items >> np.uint64(64 - bits - ITEM_BITS)) & np.uint64((1 << ITEM_BITS) - 1)
+                    high, low = (own >> np.uint64(32)).astype(np.uint8), own.astype(np.uint32)
+                    at = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]])
+                    for a, b in zip(at, np.r_[at[1:], len(items)], strict=True):
+                        out.append((int(ranges[a]), order, x["batch"], packed(high[a:b]), low[a:b].tobytes(), packed(counts[a:b])))
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names=["range", "order", "batch", "high", "low", "counts"])
+
+    return batches.select("batch", "held_out", "sizes", "words", "seq").mapInArrow(run, "range long, order int, batch long, high binary, low binary, counts binary")
+
+
+def _segment(least: dict[int, int], log_bits: int = LOG_BITS - LOG_SEGMENTS):
     """Sets the bits of the n-grams of one segment whose level is ``least`` or more."""
 
     def run(key, rows):
-        bits = np.zeros(1 << (LOG_BITS - LOG_SEGMENTS), bool)
+        bits = np.zeros(1 << log_bits, bool)
         for r in rows.itertuples(index=False):
             items, level = np.frombuffer(r.items, np.uint64), np.frombuffer(r.levels, np.uint8)
             keep = level >= least[r.order]
             items, level = items[keep], level[keep].astype(np.int64)
             for x in range(1, int(level.max(initial=0)) + 1):
                 own = items[level >= x]
-                for p in places(own, x):
+                for p in places(own, x, log_bits):
                     bits[p] = True
         return pd.DataFrame({"segment": [key[0]], "part": [np.packbits(bits, bitorder="little").tobytes()]})
 
     return run
 
 
-def build_filter(texts: DataFrame, n_tokens: int, range_items: int = 2_000_000) -> bytes:
-    """The filter of all n-grams of a column of texts, as LOG_BITS bits."""
+def _looked_up(rows: pd.DataFrame) -> pd.DataFrame:
+    """One range: its segment of the filter from all training counts, and the levels it has for each batch's n-grams."""
+    asked, put = [], []
+    for order, own in rows.groupby("order"):
+        own = own.reset_index(drop=True)
+        items = np.concatenate([unpacked(h, np.uint8).astype(np.uint64) << np.uint64(32) | np.frombuffer(x, np.uint32) for h, x in zip(own["high"], own["low"], strict=True)])
+        counts = np.concatenate([unpacked(x, np.uint32) for x in own["counts"]]).astype(np.int64)
+        by = np.argsort(items, kind="stable")
+        starts = np.flatnonzero(np.r_[True, items[by][1:] != items[by][:-1]])
+        each = np.diff(np.r_[starts, len(items)])
+        items, counts = items[by][starts], np.add.reduceat(counts[by], starts)
+        seen = counts > 0
+        put.append((int(order), items[seen], levels(counts[seen])))
+        asked.append((int(order), own, items, by, each))
+    insertions = sum(int(level.sum()) for _, _, level in put)
+    log_bits = max(10, int(np.ceil(np.log2(max(1, insertions) * PROBES / 0.69))))  # half of the bits are set at most
+    frame = pd.DataFrame([(order, items.tobytes(), level.astype(np.uint8).tobytes()) for order, items, level in put], columns=["order", "items", "levels"])
+    model = LogFrequencyFilter(_segment({1: 1, 2: 1}, log_bits)((0,), frame)["part"][0], 0)
+    out = []
+    for order, own, items, by, each in asked:
+        level = np.empty(len(by), np.uint8)
+        level[by] = np.repeat(model.level(items).astype(np.uint8), each)
+        ends = np.cumsum([len(x) // 4 for x in own["low"]])
+        for batch, range_, a, b in zip(own["batch"], own["range"], np.r_[0, ends[:-1]], ends, strict=True):
+            out.append((int(batch), int(range_), order, packed(level[a:b])))
+    return pd.DataFrame(out, columns=["batch", "range", "order", "levels"])
+
+
+def gram_levels(batches: DataFrame, n_tokens: int, range_items: int = 2_000_000) -> DataFrame:
+    """batch, levels: for each batch the filter's levels of its n-grams, by order and range."""
     bits = max(LOG_SEGMENTS, (max(1, n_tokens) // range_items).bit_length())
-    grams = written(_dealt(texts, bits).groupBy("range").applyInPandas(_merged, "range long, order int, items binary, levels binary, histogram array<long>"), "grams")
-    counts = {(r["order"], r["level"]): r["n"] for r in grams.select("order", F.posexplode("histogram").alias("level", "n")).groupBy("order", "level").agg(F.sum("n").alias("n")).collect()}  # two orders of TOP_LEVEL levels
-    room = (1 << LOG_BITS) * 0.69 / PROBES  # insertions at which half of the bits are set
-    least = {1: 1, 2: 1}
-    while sum(n * level for (order, level), n in counts.items() if level >= least[order]) > room:
-        least[2 if least[2] <= least[1] + 1 else 1] += 1
-    segment = F.shiftrightunsigned("range", bits - LOG_SEGMENTS).alias("segment")
-    # several ranges make a segment: each sets its own bits, then the parts are united, so no task gathers a segment's n-grams
-    parts = grams.withColumn("segment", segment).groupBy("segment", "range").applyInPandas(_segment(least), "segment long, part binary")
-
-    def united(rows: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(1 << (LOG_BITS - LOG_SEGMENTS - 3), np.uint8)
-        for p in rows["part"]:
-            out |= np.frombuffer(p, np.uint8)
-        return pd.DataFrame({"segment": rows["segment"].iloc[:1], "part": [out.tobytes()]})
-
-    whole = bytearray(1 << (LOG_BITS - 3))
-    size = 1 << (LOG_BITS - LOG_SEGMENTS - 3)
-    for r in parts.groupBy("segment").applyInPandas(united, "segment long, part binary").collect():  # 16 MB in all
-        whole[r["segment"] * size : (r["segment"] + 1) * size] = r["part"]
-    return bytes(whole)
+    out = _dealt(batches, bits).groupBy("range").applyInPandas(_looked_up, "batch long, range long, order int, levels binary")
+    return out.groupBy("batch").agg(F.collect_list(F.struct("order", "range", "levels")).alias("levels"))
 
 
 # -- scoring ------------------------------------------------------------------
@@ -258,38 +273,44 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weigh
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
     hot_rows = counts.filter(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("c"), "word").limit(HOT_WORDS)
     hot = spark.sparkContext.broadcast({bytes(r["word"]): r["c"] for r in hot_rows.toLocalIterator()})
-    bloom = spark.sparkContext.broadcast(build_filter(texts, n))
-    fields = [T.StructField("rid", T.LongType()), T.StructField("id", src.schema["id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.BinaryType())), T.StructField("times", T.ArrayType(T.IntegerType()))]
-    names = [f.name for f in fields]
+    id_type = src.schema["id"].dataType
+    each = [("n_known", T.LongType()), ("base", T.DoubleType()), ("rare", T.ArrayType(T.BinaryType())), ("times", T.ArrayType(T.IntegerType()))]
+    lists = [("ids", id_type), ("held_out", T.BooleanType()), ("sizes", T.LongType()), *each]
+    schema = T.StructType([T.StructField("batch", T.LongType()), *[T.StructField(k, T.ArrayType(t)) for k, t in lists], T.StructField("words", T.BinaryType()), T.StructField("seq", T.BinaryType())])
+    scale = n + v + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        model, known = LogFrequencyFilter(bloom.value), hot.value
+        known = hot.value
         rid = TaskContext.get().partitionId() << 40
-        scale = n + v + 1
-        end = hashes().of([END])
+        held: dict[str, list] = {k: [] for k in (*[k for k, _ in lists], "w")}
+        tokens = 0
+
+        def out() -> pa.RecordBatch:
+            nonlocal rid
+            words, seq, times = np.unique(np.concatenate(held["w"]), return_inverse=True, return_counts=True)
+            by = np.argsort(-times, kind="stable")  # frequent words have small numbers, which pack well
+            place = np.empty(len(by), np.uint32)
+            place[by] = np.arange(len(by))
+            columns = [pa.array([rid])]
+            for k, _ in lists:
+                flat = pa.concat_arrays(held[k])
+                columns.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
+            rid += len(flat)
+            for x in held.values():
+                x.clear()
+            return pa.RecordBatch.from_arrays([*columns, pa.array([words[by].tobytes()]), pa.array([packed(place[seq])])], names=schema.names)
+
         for b in batches:
-            ids, held = b.column("id"), b.column("held_out")
             done = 0
             for part in small_batches(t.as_py() for t in b.column("text")):
                 split = [[*words_of(t), END] for t in part]
                 sizes = np.array([len(s) for s in split])
                 flat = [w for s in split for w in s]
-                w = hashes().of(flat)
-                h = np.r_[end, w[:-1]]
-                uniq, at = np.unique(w, return_inverse=True)
-                single = model.count(mixed(uniq))[at]
-                before = np.r_[model.count(mixed(end)), single[:-1]]
-                pairs, pat = np.unique(bigram(h, w), return_inverse=True)
-                pair = np.minimum(model.count(pairs)[pat], before)
-                p = weight * np.divide(pair, before, out=np.zeros(len(w)), where=before > 0) + (1 - weight) * (single + 1) / scale
-                p = np.where(before > 0, p, (single + 1) / scale)
                 starts = np.r_[0, np.cumsum(sizes)[:-1]]
-                scores = np.add.reduceat(np.log10(p), starts)
                 c = np.fromiter((known.get(x, -1) for x in flat), np.int64, len(flat))
                 logs = np.where(c >= 0, np.log10((np.maximum(c, 0) + 1) / scale), 0.0)
-                base, n_known = np.add.reduceat(logs, starts), np.add.reduceat((c > 0).astype(np.int64), starts)
                 rare, times = [], []
                 for a, s in zip(starts, split, strict=True):
                     own = np.flatnonzero(c[a : a + len(s)] < 0)
@@ -297,15 +318,46 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weigh
                     rare.append(list(r.keys()))
                     times.append(list(r.values()))
                 k = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(k)), ids.slice(done, k), held.slice(done, k), pa.array(sizes.astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(scores), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))], names=names)
-                rid += k
+                new = (b.column("id").slice(done, k), b.column("held_out").slice(done, k), pa.array(sizes.astype(np.int64)), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(logs, starts)), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32())))
+                for (name, _), x in zip(lists, new, strict=True):
+                    held[name].append(x)
+                held["w"].append(hashes().of(flat))
                 done += k
+                tokens += len(flat)
+                if tokens > BATCH_TOKENS:
+                    yield out()
+                    tokens = 0
+        if tokens:
+            yield out()
+
+    batches = written(src.mapInArrow(run, schema), "batches")
+
+    def scored(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows:
+            for at in range(r.num_rows):
+                x = {k: r.column(k)[at] for k in ("batch", "ids", "held_out", "sizes", "n_known", "base", "words", "seq", "levels")}
+                sizes = np.array(x["sizes"].as_py())
+                level: dict[int, list] = {1: [], 2: []}
+                for y in sorted(x["levels"].as_py(), key=lambda y: y["range"]):
+                    level[y["order"]].append(unpacked(y["levels"], np.uint8))
+                grams = _grams(np.frombuffer(x["words"].as_py(), np.uint64), unpacked(x["seq"].as_py(), np.uint32))
+                single, pair = (expected(np.concatenate(level[order]))[place] for order, _, place in grams)
+                starts = np.r_[0, np.cumsum(sizes)[:-1]]
+                before = np.r_[single[-1], single[:-1]]  # every text ends with the end, and starts from it
+                pair = np.minimum(pair, before)
+                p = weight * np.divide(pair, before, out=np.zeros(len(pair)), where=before > 0) + (1 - weight) * (single + 1) / scale
+                p = np.where(before > 0, p, (single + 1) / scale)
+                scores = np.add.reduceat(np.log10(p), starts)
+                columns = [pa.array(x["batch"].as_py() + np.arange(len(sizes))), x["ids"].values, x["held_out"].values, pa.array(sizes.astype(np.int64)), x["n_known"].values, x["base"].values, pa.array(scores)]
+                yield pa.RecordBatch.from_arrays(columns, names=["rid", "id", "held_out", "n_tokens", "n_known", "base", "score"])
 
-    part = written(src.mapInArrow(run, T.StructType(fields)), "scored")
-    rare = part.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    fields = [("rid", T.LongType()), ("id", id_type), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), *each[:2], ("score", T.DoubleType())]
+    whole = batches.drop("rare", "times").join(gram_levels(batches, n), "batch")
+    part = whole.mapInArrow(scored, T.StructType([T.StructField(k, t) for k, t in fields]))
+    rare = batches.select("batch", F.posexplode(F.arrays_zip("rare", "times"))).select((F.col("batch") + F.col("pos")).alias("rid"), F.explode(F.arrays_zip("col.rare", "col.times")).alias("x")).select("rid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     joined = rare.join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
     sums = joined.groupBy("rid").agg(F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(n + v + 1)))).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("also"))
-    out = part.drop("rare", "times").join(sums, "rid", "left")
+    out = part.join(sums, "rid", "left")
     zero = F.lit(0)
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", zero)).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")

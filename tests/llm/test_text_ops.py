@@ -115,6 +115,44 @@ def test_bloom_counts_are_close_and_never_low():
     assert (model.level(lm.mixed(np.arange(10**6, 10**6 + 20_000, dtype=np.uint64))) > 0).mean() < 0.01
 
 
+def test_every_word_pair_of_the_training_texts_counts(spark, monkeypatch):
+    import collections
+
+    texts = [(k, " ".join(f"w{(k * 37 + j * j) % 400}" for j in range(60))) for k in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    held = {r["doc_id"]: r["held_out"] for r in docs.select("doc_id", lm.held_out(docs, "doc_id").alias("held_out")).collect()}
+    tokens = {i: [*t.split(), ""] for i, t in texts}
+    one, two = collections.Counter(), collections.Counter()
+    for i, w in tokens.items():
+        if not held[i]:
+            one.update(w)
+            two.update(zip(["", *w[:-1]], w, strict=True))
+    assert list(two.values()).count(1) > 100
+    kept = lambda c: (3 * 2 ** (c.bit_length() - 1) - 1) / 2 if c else 0
+    scale = sum(one.values()) + len(one) + 1
+    for tokens_a_batch in (1_500_000, 500):
+        monkeypatch.setattr(lm, "BATCH_TOKENS", tokens_a_batch)
+        got = {r["doc_id"]: r["score"] for r in lm.score(docs).collect()}
+        assert set(got) == set(tokens)
+        for i, w in tokens.items():
+            p = [0.15 * min(kept(two[h, x]), kept(one[h])) / kept(one[h]) + 0.85 * (kept(one[x]) + 1) / scale if one[h] else (kept(one[x]) + 1) / scale for h, x in zip(["", *w[:-1]], w, strict=True)]
+            if not held[i]:
+                assert got[i] == pytest.approx(sum(map(math.log10, p)), rel=0.02)  # a level too high is rare
+                assert got[i] > sum(map(math.log10, p)) - 3
+
+
+def test_the_filter_grows_with_what_goes_in():
+    import numpy as np
+    import pandas as pd
+
+    n = 600_000  # of one of 64 ranges: 38 million insertions in all
+    items = np.unique(np.random.default_rng(4).integers(0, 1 << lm.ITEM_BITS, n, dtype=np.uint64))
+    row = (0, 2, 7, lm.packed((items >> np.uint64(32)).astype(np.uint8)), items.astype(np.uint32).tobytes(), lm.packed(np.ones(len(items), np.uint32)))
+    got = lm._looked_up(pd.DataFrame([row], columns=["range", "order", "batch", "high", "low", "counts"]))
+    level = lm.unpacked(got["levels"][0], np.uint8)
+    assert len(level) == len(items) and (level >= 1).all() and (level == 1).mean() > 0.9
+
+
 def test_model_beats_the_base_on_held_out_texts(sf_docs):
     r = lm.score(sf_docs).filter("held_out").agg(F.sum("score"), F.sum("base_score")).head()
     assert r[0] > r[1]
