@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tarnlake.functions import columns as X
 from tarnlake.operators import aggregates as A
 from tarnlake.operators import joins as J
+from tarnlake.plans import registry
 from tarnlake.sources import files, lake
 from tarnlake.streaming import merge
 
@@ -59,6 +60,14 @@ def test_as_of_takes_the_highest_rank_at_an_instant(spark):
     assert got == {("a", 5): "done", ("a", 1): None, ("b", 9): None}
 
 
+def test_either_key_joins_whole_tables(spark, tmp_path):
+    s, c = [(i, i % 4 if i % 7 else None) for i in range(1, 60)], [(i, i % 5) for i in range(1, 300)]
+    spark.createDataFrame(s, "s_suppkey long, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame(c, "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    got = sorted(tuple(r) for r in registry.queries()["either_key_join"](spark, str(tmp_path)).collect())
+    assert got == sorted((a, b, 0 if x == y else 1) for a, x in s for b, y in c if x == y or a == b)
+
+
 def test_closure_ends_at_a_cycle(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", None)], "n string, p string")
     got = {(r["n"], r["ancestor"]): r["depth"] for r in J.closure(df, "n", "p", 4).collect()}
