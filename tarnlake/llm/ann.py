@@ -75,20 +75,38 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _ordered(valid: DataFrame, curve: int, dims: int) -> DataFrame:
-    """id, v by (key, hash, id) of one curve: equal vectors stand together, smaller ids first."""
+    """id, v by (key, hash, id) of one curve, each pair once: equal vectors stand together, smaller ids first."""
     schema = T.StructType([*valid.schema.fields, T.StructField("key", T.LongType())])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if b.num_rows:  # repeats go before the shuffle, too: a row repeated very often would stay in one task
+                pairs = np.stack([b.column("id").to_numpy(), b.column("h").to_numpy()], axis=1)
+                b = b.take(pa.array(np.sort(np.unique(pairs, axis=0, return_index=True)[1])))
             keys = curve_keys(_matrix(b.column("v"), dims), curve) if b.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], names=schema.names)
 
     order = ["key", "h", "id"]
-    return valid.mapInArrow(keyed, schema).repartitionByRange(*order).sortWithinPartitions(*order).select("id", "v")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_id, last = np.zeros(0, np.int64), np.zeros((0, dims))
+        for b in batches:
+            if b.num_rows:
+                ids, x = np.r_[last_id, b.column("id").to_numpy()], np.concatenate([last, _matrix(b.column("v"), dims)])
+                new = np.r_[np.ones(1 - len(last_id), bool), (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(axis=1)]
+                last_id, last = ids[-1:], x[-1:]
+                yield b.filter(pa.array(new))
+
+    ordered = valid.mapInArrow(keyed, schema).repartitionByRange(*order).sortWithinPartitions(*order).select("id", "v")
+    return ordered.mapInArrow(once, ordered.schema)
 
 
 def _best(queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of flat (query, id, score) the k first of each query: score descending, then id."""
+    """Of flat (query, id, score) the k first of each query: score descending, then id; an id once, by its best score."""
+    order = np.lexsort((-scores, ids, queries))
+    q, i = queries[order], ids[order]
+    order = order[np.r_[True, (q[1:] != q[:-1]) | (i[1:] != i[:-1])][: len(q)]]
+    queries, ids, scores = queries[order], ids[order], scores[order]
     order = np.lexsort((ids, -scores, queries))
     q = queries[order]
     starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
@@ -152,8 +170,10 @@ def _scan(ordered: DataFrame, dims: int, q_ids: np.ndarray, q: np.ndarray, beat:
                 if not len(may):
                     continue
                 s = q[may] @ x.T
-                if s.shape[1] > k:
-                    least = np.partition(s, -k - 1, axis=1)[:, -k - 1]
+                # An id may have several vectors: so many rows hold k + 1 ids.
+                enough = (k + 1) * int(np.unique(ids, return_counts=True)[1].max())
+                if s.shape[1] >= enough:
+                    least = np.partition(s, -enough, axis=1)[:, -enough]
                     least = np.maximum(least, floor[may])
                 else:
                     least = floor[may]
@@ -173,6 +193,7 @@ def _scan(ordered: DataFrame, dims: int, q_ids: np.ndarray, q: np.ndarray, beat:
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -181,7 +202,8 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     """query_id, rank, vec_id, score: the k nearest by inner product of each query.
 
     Queries are the rows whose id is divisible by ``every``; candidates are the rows of
-    other ids.  Ties go to the smaller id.  Vectors that are null, zero, hold null or
+    other ids.  Ties go to the smaller id.  An id has one place at most, however many rows
+    it has; of several vectors of an id the best score counts, on either side.  Vectors that are null, zero, hold null or
     non-finite components or have another length than most take no part, nor do null
     ids; an empty table gives an empty one.  Other columns are ignored.  ``exact=False`` returns the merged windows alone.
     """
@@ -200,18 +222,18 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p)
-    merged = written(_top(merged.distinct(), k), "windows")
+    merged = written(_top(merged, k), "windows")
     if not exact:
         return merged.select("query_id", "rank", "vec_id", "score")
     beat = merged.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("beat"))
-    queries = valid.filter(F.col("id") % every == 0).join(beat, F.col("id") == F.col("query_id"), "left").select("id", "v", "beat")
+    queries = base.filter(F.col("id") % every == 0).join(beat, F.col("id") == F.col("query_id"), "left").select("id", "v", "beat")
     n = queries.count()
     blocks = max(1, -(-n // query_block))
     queries = written(queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "queries")
     found = merged.select("query_id", "vec_id", "score")
     for b in range(blocks):  # the stated query set against all rows, a bounded block at a time
-        own = queries.filter(F.col("block") == b).select("id", "v", "beat").dropDuplicates(["id"]).toArrow()
+        own = queries.filter(F.col("block") == b).select("id", "v", "beat").toArrow()
         if own.num_rows:
             floor = np.array([-np.inf if x is None else x for x in own.column("beat").to_pylist()])
             found = found.unionByName(_scan(base, dims, own.column("id").to_numpy(), _matrix(own.column("v").combine_chunks(), dims), floor, k, run_rows))
-    return _top(found.distinct(), k).select("query_id", "rank", "vec_id", "score")
+    return _top(found, k).select("query_id", "rank", "vec_id", "score")

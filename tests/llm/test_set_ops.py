@@ -205,6 +205,25 @@ def test_nearest_is_exact(spark):
     assert ann.nearest(df.filter("vec_id < 0")).count() == 0
 
 
+def test_repeated_rows_take_one_place(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(200)]
+    rows += [(300 + i, [1.0] * 6) for i in range(30)] + [(20, rows[21][1]), (7, rows[40][1]), (9, rows[60][1])]  # ids of several vectors
+    rows = rows * 2 + [(41, rows[40][1])] * 50 + [(303, [1.0] * 6)] * 40
+    best = {}
+    for i, q in rows:
+        if i % 20 == 0:
+            for j, x in rows:
+                if i != j:
+                    best[i, j] = max(best.get((i, j), -np.inf), ann.dots(np.array(q), np.array(x)))
+    want = set()
+    for i in {i for i, _ in best}:
+        want |= {(i, n + 1, j) for n, (_, j) in enumerate(sorted((-s, j) for (a, j), s in best.items() if a == i)[:20])}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for options in ({}, {"run_rows": 64, "width": 4, "query_block": 3}):
+        assert {(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, every=20, k=20, **options).collect()} == want
+
+
 def test_windows_alone_find_neighbours_in_few_dimensions(spark):
     rng = np.random.default_rng(9)
     rows = [(i, [*(v := rng.standard_normal(3)), 0.0]) for i in range(2000)]
