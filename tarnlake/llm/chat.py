@@ -1,18 +1,25 @@
 """Quotation linking: which message a message answers, and what it says itself.
 
-A line's quote level is the number of ``>`` marks in front of it.  Quoted lines are
-normalised (marks off, lower case, white space collapsed) and hashed; every message's
-own lines are too.  For a hash only its earliest place counts, in each conversation and
-over all, so the join of quoted lines to originals adds no rows however common a line
-is.  A message answers the one that most of its level-1 lines come from; without such
-lines, the turn before it.  Threads follow the quotation links by pointer doubling, so
-no conversation is ever gathered into one task.
+A line's quote level is the number of ``>`` marks in front of it.  Lines are normalised
+(marks off, lower case, white space collapsed) and hashed; lines without text are left
+out.  A quoted passage is a run of lines of one level.  The whole passage is looked for
+in the own lines of all messages, and so is each of its lines: only where an own line
+begins a passage that is quoted somewhere its run is hashed.  Each passage and line finds
+the nearest earlier message of the conversation that has it, by one window over the
+hash's places in the conversation, or else the first place in another conversation; so a
+common line adds no rows.  A passage that is found votes as a whole, of others each line
+votes; a vote counts the less, the more messages have its text.  A message answers the
+one with the most votes of its lowest level that has any; without, the turn before it.
+Links to conversations of higher number could form a cycle, whose first message then
+loses its link.  Threads follow the quotation links by pointer doubling, so no
+conversation is ever gathered into one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import written
 
@@ -23,12 +30,61 @@ def _normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(line, MARKS, "")), r"[\s]+", " "))
 
 
-def _lines(messages: DataFrame) -> DataFrame:
-    """mid, conv, turn, level, hash of every line with text."""
-    x = messages.select("mid", "conv", "turn", F.explode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("line"))
-    level = F.length(F.regexp_replace(F.regexp_extract("line", MARKS, 0), "[ \t]", ""))
-    x = x.select("mid", "conv", "turn", level.alias("level"), _normal(F.col("line")).alias("norm")).filter("norm <> ''")
-    return x.select("mid", "conv", "turn", "level", F.xxhash64("norm", F.lit(1)).alias("hash"))
+def _lines() -> Column:
+    """level, hash of every line with text, in order."""
+    line = F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")
+    level = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 0), "[ \t]", ""))
+    rows = F.filter(F.transform(line, lambda x: F.struct(level(x).alias("level"), _normal(x).alias("norm"))), lambda x: x["norm"] != "")
+    return F.transform(rows, lambda x: F.struct(x["level"].alias("level"), F.xxhash64(x["norm"], F.lit(1)).alias("hash")))
+
+
+def _passages(m: DataFrame) -> DataFrame:
+    """mid, conv, turn, level, run, whole, first, n, key: the quoted passages and each of their lines."""
+    lines = m.filter(F.exists("ls", lambda x: x["level"] > 0)).select("mid", "conv", "turn", F.posexplode("ls").alias("pos", "l")).select("mid", "conv", "turn", "pos", "l.level", "l.hash").filter("level > 0")
+    lines = lines.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("mid", "level").orderBy("pos")))
+    runs = lines.groupBy("mid", "conv", "turn", "level", "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "hash"))), lambda x: x["hash"]).alias("hs"))
+
+    def piece(whole: bool, hs: Column) -> Column:
+        return F.struct(F.lit(whole).alias("whole"), hs[0].alias("first"), F.size(hs).alias("n"), F.xxhash64(hs).alias("key"))
+
+    pieces = F.concat(F.array(piece(True, F.col("hs"))), F.transform("hs", lambda h: piece(False, F.array(h))))
+    return runs.select("mid", "conv", "turn", "level", "run", F.explode(pieces).alias("p")).select("mid", "conv", "turn", "level", "run", "p.*")
+
+
+def _places(m: DataFrame, passages: DataFrame) -> DataFrame:
+    """key, conv, turn: the messages whose own lines hold a passage."""
+    own = m.filter("conv is not null and turn is not null").select("mid", "conv", "turn", F.transform(F.filter("ls", lambda x: x["level"] == 0), lambda x: x["hash"]).alias("own"))
+    begun = own.select("mid", F.size("own").alias("size"), F.posexplode("own").alias("pos", "first")).join(passages.select("first", "n").distinct(), "first")
+    begun = begun.filter("pos + n <= size").groupBy("mid").agg(F.collect_list(F.struct("pos", "n")).alias("begun"))
+    key = F.transform("begun", lambda x: F.xxhash64(F.slice("own", x["pos"] + 1, x["n"])))
+    runs = own.join(begun, "mid").select(F.explode(F.array_distinct(key)).alias("key"), "conv", "turn")
+    return runs.join(passages.select("key").distinct(), "key", "left_semi").distinct()
+
+
+def _origins(asked: DataFrame, places: DataFrame) -> DataFrame:
+    """key, conv, turn, o, n_places: the nearest earlier place in the conversation, or else the first in another one."""
+    both = asked.select("key", "conv", "turn", F.lit(0).alias("side"), F.lit(None).cast("long").alias("at")).unionByName(places.select("key", "conv", "turn", F.lit(1).alias("side"), F.col("turn").alias("at")))
+    so_far = Window.partitionBy("key", "conv").orderBy("turn", "side").rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("near", F.last("at", ignorenulls=True).over(so_far)).filter("side = 0").drop("side", "at")
+    firsts = places.groupBy("key", "conv").agg(F.min("turn").alias("turn"))
+    firsts = firsts.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("conv"))).filter("k <= 2")  # one of two is another conversation
+    firsts = firsts.groupBy("key").agg(F.min(F.struct("conv", "turn")).alias("g"), F.max(F.struct("conv", "turn")).alias("g2"))
+    out = near.join(firsts, "key", "left").join(places.groupBy("key").agg(F.count("*").alias("n_places")), "key", "left")
+    here = F.struct("conv", F.col("near").alias("turn"))
+    o = F.when(F.col("near").isNotNull(), here).when(F.col("g.conv") != F.col("conv"), F.col("g")).when(F.col("g2.conv") != F.col("conv"), F.col("g2"))
+    return out.select("key", "conv", "turn", o.alias("o"), "n_places")
+
+
+def _cycle_heads(up: DataFrame) -> DataFrame:
+    """conv, turn of the first message of each cycle of links (conv, turn) -> o."""
+    place = F.struct("conv", "turn")
+    if up.filter(F.col("o") > place).isEmpty():  # links to earlier places alone form none
+        return up.filter("false").select("conv", "turn")
+    ways = written(up.select(place.alias("p"), F.col("o").alias("r"), F.col("o").alias("least")), "cycles")
+    for _ in range(ways.count().bit_length()):  # then every way has gone round its cycle, or ended
+        on = ways.select(F.col("p").alias("r"), F.col("r").alias("r2"), F.col("least").alias("least2"))
+        ways = written(ways.join(on, "r", "left").select("p", F.col("r2").alias("r"), F.least("least", "least2").alias("least")), "cycles")
+    return ways.filter("r is not null and least = p").select("p.conv", "p.turn")
 
 
 def quotation_links(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", most_rounds: int = 64) -> DataFrame:
@@ -38,33 +94,33 @@ def quotation_links(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     thread_conv, thread_turn and depth along quotation links.  In the order (thread,
     depth, conversation, turn) every message follows the one it quotes.
 
-    Within a conversation only earlier turns are originals, elsewhere only messages that
-    come before in (conversation, turn) order; so links never form a cycle.  A null text
+    Within a conversation only earlier turns are originals; in other conversations any
+    message is, as ids say nothing about time, and where links would form a cycle its
+    first message in (conversation, turn) order is linked to none.  A null text
     is empty; rows of null conversation or turn are linked to nothing.  Repeated rows
     stay, and stand for one message as originals.  Other columns are ignored.
     """
     m = messages.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    m = written(m.withColumn("mid", F.monotonically_increasing_id()), "messages")
-    lines = written(_lines(m), "lines")
-    own = lines.filter("level = 0 and conv is not null and turn is not null")
-    place = F.struct("conv", "turn")
-    here = own.groupBy("hash", "conv").agg(F.min("turn").alias("h_turn"))
-    anywhere = own.groupBy("hash").agg(F.min(place).alias("g"))
-    quoted = lines.filter("level > 0")
-    found = quoted.join(here, ["hash", "conv"], "left").join(anywhere, "hash", "left")
-    near = F.col("h_turn") < F.col("turn")
-    far = F.col("g") < place
-    origin = F.when(near, F.struct(F.col("conv").alias("conv"), F.col("h_turn").alias("turn"))).when(far, F.col("g"))
-    found = found.select("mid", "level", origin.alias("o"))
-    counts = found.groupBy("mid").agg(F.count("*").alias("n_quoted"), F.count("o").alias("n_linked"))
-    votes = found.filter("level = 1 and o is not null").groupBy("mid", "o").agg(F.count("*").alias("n")).groupBy("mid").agg(F.max_by("o", F.struct("n", "o")).alias("o"))
+    m = written(m.withColumn("mid", F.monotonically_increasing_id()).withColumn("ls", _lines()), "messages")
+    passages = written(_passages(m), "passages")
+    asked = passages.filter("conv is not null and turn is not null").select("key", "conv", "turn").distinct()
+    found = passages.join(_origins(asked, written(_places(m, passages), "places")), ["key", "conv", "turn"], "left")
+    found = written(found.select("mid", "conv", "level", "run", "whole", "n", "o", "n_places"), "found")
+    counts = found.filter("not whole").groupBy("mid").agg(F.count("*").alias("n_quoted"), F.count("o").alias("n_linked"))
+    known = F.max(F.col("whole") & F.col("o").isNotNull()).over(Window.partitionBy("mid", "level", "run"))
+    votes = found.withColumn("known", known).filter("o is not null and whole = known")
+    votes = votes.groupBy("mid", "conv", "level", "o").agg(F.round(F.sum(F.col("n") / F.col("n_places")), 9).alias("weight"))
+    votes = votes.groupBy("mid").agg(F.max_by("o", F.struct(-F.col("level"), "weight", F.col("o.conv") == F.col("conv"), "o")).alias("o"))
     keys = m.filter("conv is not null and turn is not null").select("conv", "turn").distinct()
     before = keys.select("conv", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("follows"))
     linked = m.join(counts, "mid", "left").join(votes, "mid", "left").join(before, ["conv", "turn"], "left")
-    linked = written(linked, "linked")
+    linked = written(linked.drop("ls"), "linked")
+    up = linked.filter("o is not null").groupBy("conv", "turn").agg(F.max("o").alias("o"))
+    heads = _cycle_heads(up).withColumn("head", F.lit(True))
+    linked = linked.join(heads, ["conv", "turn"], "left").withColumn("o", F.when(F.col("head").isNull(), F.col("o"))).drop("head")
 
     # Threads: each message's way up doubles in a round, until all ways end at a root.
-    up = linked.filter("o is not null").groupBy("conv", "turn").agg(F.max("o").alias("o"))
+    up = up.join(heads, ["conv", "turn"], "left_anti")
     ways = written(up.select("conv", "turn", F.col("o.conv").alias("r_conv"), F.col("o.turn").alias("r_turn"), F.lit(1).cast("long").alias("depth")), "ways")
     for _ in range(most_rounds):
         on = ways.select(F.col("conv").alias("r_conv"), F.col("turn").alias("r_turn"), F.col("r_conv").alias("n_conv"), F.col("r_turn").alias("n_turn"), F.col("depth").alias("n_depth"))

@@ -177,6 +177,28 @@ def test_quotation_links(spark):
     assert chat.quotation_links(df.filter("turn = 77")).count() == 0
 
 
+def test_quotes_find_the_nearest_whole_passage(spark):
+    rows = [
+        (1, 0, "hello\nthanks"),
+        (1, 1, "hello\nthe pump is broken\nthanks"),
+        (1, 2, "other"),
+        (1, 3, "thanks"),
+        (1, 4, "> thanks\nok"),  # said at turns 0, 1 and 3
+        (1, 5, "> hello\n> the pump is broken\n> thanks\nso?"),
+        (1, 6, ">> other\nyes"),  # level 2 alone
+        (1, 7, "> hello\n> the pump is broken\n> altered\n> thanks\nhm"),  # not as a whole
+        (5, 0, "> only said later\nindeed"),
+        (9, 0, "only said later"),
+        (20, 0, "> left\nright"),  # these two quote each other
+        (21, 0, "> right\nleft"),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["reply_conv"], r["reply_turn"], r["link"]) for r in chat.quotation_links(df).collect()}
+    want = {(1, 4): (1, 3), (1, 5): (1, 1), (1, 6): (1, 2), (1, 7): (1, 1), (5, 0): (9, 0), (21, 0): (20, 0)}
+    assert {k: got[k] for k in want} == {k: (*v, "quote") for k, v in want.items()}
+    assert got[20, 0] == (None, None, None) and len(got) == len(rows)
+
+
 def test_quotations_of_the_tables(spark):
     c = spark.read.parquet(f"{SF}/conversations.parquet")
     assert chat.quotation_links(c).count() == c.count()
