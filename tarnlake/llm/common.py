@@ -7,18 +7,23 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor a checkpoint directory exists (tests in
-    local mode) a temporary folder is made and set as checkpoint directory.
+    Only in local mode, where neither that setting nor a checkpoint directory exists, a
+    temporary folder is made and set as checkpoint directory; on a cluster that is an error.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="tarnlake-")
         atexit.register(shutil.rmtree, own, True)
         path = "file://" + own
@@ -44,6 +49,36 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys with more than 1/MOST_BROADCAST of all rows are joined by broadcast; so there are fewer of them.
+MOST_BROADCAST = 2_000
+
+
+def attach(rows: DataFrame, facts: DataFrame, keys: list[str], size_col: str) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, which has one row for each key and in
+    ``size_col`` how many rows have it.
+
+    The few keys that many rows have go by broadcast, so that no task of the join by key
+    gets more than its share.  Null keys match nothing.
+    """
+    total = facts.agg(F.sum(size_col)).head()[0] or 0
+    hot = F.col(size_col) > total / MOST_BROADCAST
+    few = F.broadcast(facts.filter(hot))
+    common = rows.join(few, keys)
+    rest = rows.join(few.select(*keys), keys, "left_anti").join(facts.filter(~hot), keys)
+    return common.unionByName(rest)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """An array's bytes by place (all first ones, all second ones, ...), compressed."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, kind: type) -> np.ndarray:
+    planes = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def tokenizer_file(name: str) -> str:
     """Place of a public tokenizer file; a name with a slash is a path already."""
     if "/" in name:

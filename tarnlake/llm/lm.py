@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import small_batches
-from .common import written
+from .common import packed, unpacked, written
 
 END = b""  # no word is empty, so the empty word stands for a document's end
 #: Of a filter held as a whole: 2**LOG_BITS bits in 2**LOG_SEGMENTS parts.  There are as many ranges as parts at least.
@@ -131,17 +131,6 @@ def expected(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (3.0 * 2.0 ** (level - 1) - 1) / 2, 0.0)
 
 
-def packed(x: np.ndarray) -> bytes:
-    """An array's bytes by place (all first ones, all second ones, ...), compressed."""
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
-    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
-
-
-def unpacked(raw: bytes, kind: type) -> np.ndarray:
-    planes = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
 # -- counting -----------------------------------------------------------------
 def held_out(docs: DataFrame, id_col: str) -> F.Column:
     """Whether a row's id puts it into the held-out seventh."""

@@ -2,13 +2,18 @@
 
 1. Every text becomes the set of hashes of its n-grams.  Equal sets are one class.
 2. Hashes are dealt by range.  Only a hash that another class has too can ever count
-   in an intersection, so the ranges send back those alone, and a class with under
-   ``threshold`` of its hashes shared drops out.  What remains is ordered by exact
-   document frequency.
+   in an intersection, so those alone come back, and a class with under ``threshold`` of
+   its hashes shared drops out.  A stretch of input tells a range about a hash once,
+   however many of its sets have it, so no task ever holds all sets of a common hash.
+   What remains is ordered by exact document frequency.
 3. Prefix lists: sets that reach the threshold share one of their rarest hashes.
    Sets on a common list form a candidate group (a star for each list, never all its
-   pairs); large groups are cut into blocks, and every pair of blocks of compatible
-   set sizes is one bounded unit of work.
+   pairs).  A group is one unit of work as long as it has ``block_sets`` sets at most.
+   A larger one is cut into blocks by class of size (sets that match are in the same or
+   in neighbouring classes).  First the blocks are done alone, each with a set that all
+   blocks of its kind have; a dense group, such as thousands of near copies, is one
+   component then.  Only pairs of blocks of neighbouring classes that still hold different
+   components follow.
 4. Inside a unit, index lists are ordered by set size, so that the stretch outside the
    possible sizes is skipped by position.  A set's overlaps with all others are
    derived from those of a highly similar set that has been done: only the hashes in
@@ -30,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import attach, packed, unpacked, written
 from .components import components
-from .common import written
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,21 +92,62 @@ def _chunks(texts: pa.Array, most: int = 2_000_000) -> Iterator[list[str]]:
 
 
 def set_classes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """id, n_shingles, sig (of the set) of every row."""
-    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("sig", T.LongType())])
+    """id, rid (hash of id), n_shingles, sig (of the set) of every row."""
+    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    schema = T.StructType([T.StructField("id", src.schema["id"].dataType), *[T.StructField(x, T.LongType()) for x in ("rid", "n_shingles", "sig")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [(len(s), _sig(s)) for part in _chunks(b.column("text")) for s in shingler(n).sets(part)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rid"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
 
-def _dealt(docs: DataFrame, text_col: str, n: int, bits: int) -> DataFrame:
-    """range, idx, tok, sigs, sizes: for each range of hash values and stretch of input one
-    row, with hashes and, by position in sigs and sizes, the sets they are from."""
+def _delta(tok: np.ndarray) -> bytes:
+    """Ascending hashes as differences, whose leading bytes pack away."""
+    return packed(np.diff(tok, prepend=np.uint64(0)))
+
+
+def _undelta(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw, np.uint64), dtype=np.uint64)
+
+
+def _bucket(sig: np.ndarray, bits: int) -> np.ndarray:
+    return (sig.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(sig), np.int64)
+
+
+def _by_bucket(tok: np.ndarray, sig: np.ndarray, size: np.ndarray, bits: int) -> Iterator[tuple]:
+    """bucket, sigs, sizes, runs, toks: (set, hash) pairs, each once, by range of sets."""
+    if not len(tok):
+        return
+    order = np.lexsort((tok, sig.view(np.uint64)))  # a bucket is a range of sets
+    tok, sig, size = tok[order], sig[order], size[order]
+    new = np.r_[True, (sig[1:] != sig[:-1]) | (tok[1:] != tok[:-1])]
+    tok, sig, size = tok[new], sig[new], size[new]
+    bucket = _bucket(sig, bits)
+    firsts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    runs = np.diff(np.r_[firsts, len(sig)]).astype(np.uint32)
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    for a, b in zip(starts, np.r_[starts[1:], len(bucket)], strict=True):
+        i, j = np.searchsorted(firsts, (a, b))
+        yield int(bucket[a]), sig[firsts[i:j]].tobytes(), size[firsts[i:j]].tobytes(), runs[i:j].tobytes(), packed(tok[a:b])
+
+
+#: Rows that tasks send to a range: hashes of one set each, hashes that several sets have, pairs on their way to a bucket.
+SINGLE, SEVERAL, PAIRS = 0, 1, 2
+DEALT = "range long, kind int, idx binary, tok binary, sigs binary, sizes binary, runs binary"
+
+
+def _dealt(docs: DataFrame, id_col: str, text_col: str, n: int, bits: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """DEALT, one stretch of input at a time.
+
+    A stretch tells a range about a hash once: by its set, if one set has it, or else that
+    it is shared already; then its (set, hash) pairs go to the sets' buckets right away.
+    So a range never holds the sets of a very common hash.  ``hot``: ascending sigs of very
+    common sets and for each the hash of the id whose row speaks for it.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def emit(sets: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
         sizes = np.array([len(s) for _, s in sets], np.uint32)
@@ -110,21 +156,38 @@ def _dealt(docs: DataFrame, text_col: str, n: int, bits: int) -> DataFrame:
         sigs = np.array([g for g, _ in sets], np.int64)
         order = np.argsort(tok, kind="stable")
         tok, own = tok[order], own[order]
-        ranges = (tok >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tok), np.int64)
-        at = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]])
-        rows = []
-        for a, b in zip(at, np.r_[at[1:], len(tok)], strict=True):
-            there, idx = np.unique(own[a:b], return_inverse=True)
-            rows.append((int(ranges[a]), idx.astype(np.uint32).tobytes(), tok[a:b].tobytes(), sigs[there].tobytes(), sizes[there].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k == 0 else pa.binary()) for k in range(5)], names=["range", "idx", "tok", "sigs", "sizes"])
+        first = np.r_[True, tok[1:] != tok[:-1]]
+        single = first & np.r_[first[1:], True]
+        rows = [(bucket, PAIRS, b"", toks, s, z, runs) for bucket, s, z, runs, toks in _by_bucket(tok[~single], sigs[own[~single]], sizes[own[~single]], bits)]
+        for kind, keep in ((SINGLE, single), (SEVERAL, first & ~single)):
+            t, o = tok[keep], own[keep]
+            if not len(t):
+                continue
+            ranges = (t >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(t), np.int64)
+            at = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]])
+            for a, b in zip(at, np.r_[at[1:], len(t)], strict=True):
+                if kind == SEVERAL:
+                    rows.append((int(ranges[a]), kind, b"", _delta(t[a:b]), b"", b"", b""))
+                    continue
+                there, idx = np.unique(o[a:b], return_inverse=True)
+                rows.append((int(ranges[a]), kind, packed(idx.astype(np.uint32)), _delta(t[a:b]), sigs[there].tobytes(), sizes[there].tobytes(), b""))
+        types = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["range", "kind", "idx", "tok", "sigs", "sizes", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_sigs, speakers = shared.value
         seen: set[int] = set()
         held, count = [], 0
         for b in batches:
-            for part in _chunks(b.column(0)):
-                for s in shingler(n).sets(part):
-                    if not len(s) or (g := _sig(s)) in seen:
+            rids, at = b.column(0).to_numpy(), 0
+            for part in _chunks(b.column(1)):
+                sets = list(shingler(n).sets(part))
+                sig = np.array([_sig(s) for s in sets], np.int64)
+                place = np.minimum(np.searchsorted(hot_sigs, sig), max(0, len(hot_sigs) - 1))
+                silent = (hot_sigs[place] == sig) & (speakers[place] != rids[at : at + len(sets)]) if len(hot_sigs) else np.zeros(len(sets), bool)
+                at += len(sets)
+                for s, g, quiet in zip(sets, sig.tolist(), silent.tolist(), strict=True):
+                    if not len(s) or quiet or g in seen:
                         continue  # copies within a task count once
                     if len(seen) < 1_000_000:
                         seen.add(g)
@@ -136,39 +199,37 @@ def _dealt(docs: DataFrame, text_col: str, n: int, bits: int) -> DataFrame:
         if held:
             yield emit(held)
 
-    return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "range long, idx binary, tok binary, sigs binary, sizes binary")
+    src = docs.select(F.xxhash64(id_col).alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return src.mapInArrow(run, DEALT)
 
 
 def _shared(bits: int):
-    """Of one range: the hashes that two sets have or more, packed by bucket of the set."""
+    """Of one range: the pairs of hashes that two sets have or more, packed by bucket of the set."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        tok, sig, size = [], [], []
+        tok, sig, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        several = [np.zeros(0, np.uint64)]
+        out = []
         for r in rows.itertuples(index=False):
-            idx = np.frombuffer(r.idx, np.uint32)
-            tok.append(np.frombuffer(r.tok, np.uint64))
-            sig.append(np.frombuffer(r.sigs, np.int64)[idx])
-            size.append(np.frombuffer(r.sizes, np.uint32)[idx])
-        none = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-        tok, sig, size = (np.concatenate(x or y) for x, y in zip((tok, sig, size), none, strict=True))
+            if r.kind == PAIRS:
+                out.append((r.range, r.sigs, r.sizes, r.runs, r.tok))
+            elif r.kind == SEVERAL:
+                several.append(_undelta(r.tok))
+            else:
+                idx = unpacked(r.idx, np.uint32)
+                tok.append(_undelta(r.tok))
+                sig.append(np.frombuffer(r.sigs, np.int64)[idx])
+                size.append(np.frombuffer(r.sizes, np.uint32)[idx])
+        tok, sig, size = (np.concatenate(x) for x in (tok, sig, size))
         order = np.argsort(tok, kind="stable")
         tok, sig, size = tok[order], sig[order], size[order]
         if len(tok):
             # a hash counts as shared if its holders aren't all the same set
             starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
             differs = np.maximum.reduceat(sig, starts) != np.minimum.reduceat(sig, starts)
+            differs |= np.isin(tok[starts], np.concatenate(several))
             keep = np.repeat(differs, np.diff(np.r_[starts, len(tok)]))
-            tok, sig, size = tok[keep], sig[keep], size[keep]
-        bucket = (sig.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(sig), np.int64)
-        order = np.argsort(sig.view(np.uint64), kind="stable")  # a bucket is a range of sets too
-        tok, sig, size, bucket = tok[order], sig[order], size[order], bucket[order]
-        firsts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
-        runs = np.diff(np.r_[firsts, len(sig)]).astype(np.uint32)
-        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-        out = []
-        for a, b in zip(starts, np.r_[starts[1:], len(bucket)][: len(starts)], strict=True):
-            i, j = np.searchsorted(firsts, (a, b))
-            out.append((int(bucket[a]), sig[firsts[i:j]].tobytes(), size[firsts[i:j]].tobytes(), runs[i:j].tobytes(), tok[a:b].tobytes()))
+            out += _by_bucket(tok[keep], sig[keep], size[keep], bits)
         return pd.DataFrame(out, columns=["bucket", "sigs", "sizes", "runs", "toks"])
 
     return run
@@ -181,7 +242,7 @@ def _alive(percent: int):
         runs = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["runs"]])
         sig = np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in rows["sigs"]]), runs)
         size = np.repeat(np.concatenate([np.frombuffer(x, np.uint32) for x in rows["sizes"]]), runs)
-        tok = np.concatenate([np.frombuffer(x, np.int64) for x in rows["toks"]])
+        tok = np.concatenate([unpacked(x, np.int64) for x in rows["toks"]])
         order = np.lexsort((tok, sig))
         sig, size, tok = sig[order], size[order], tok[order]
         new = np.r_[True, (sig[1:] != sig[:-1]) | (tok[1:] != tok[:-1])] if len(sig) else np.zeros(0, bool)
@@ -279,40 +340,96 @@ def _unit(percent: int):
     return run
 
 
+# -- units of large groups ----------------------------------------------------
+def _first_units(large: DataFrame, block_sets: int) -> DataFrame:
+    """root, c, h, part, sig, n, tok: bounded blocks of sets of like size with a common rarest hash.
+
+    Where they are too many for one block, one of them is in every part, so that a dense
+    group is linked through it.
+    """
+    keys = ["root", "c", "h"]
+    large = large.withColumn("h", F.pmod(F.xxhash64(F.get("prefix", F.lit(0))), 4 * F.ceil(F.col("k") / block_sets)))
+    count = large.groupBy(*keys).agg(F.count("*").alias("size"), F.min("sig").alias("hub"))
+    rows = attach(large.drop("prefix"), count, keys, "size").withColumn("parts", F.ceil(F.col("size") / block_sets))
+    plain = rows.withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")))
+    hubs = rows.filter("sig = hub and parts > 1").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    columns = [*keys, "part", "sig", "n", "tok"]
+    return plain.select(*columns).unionByName(hubs.select(*columns))
+
+
+def _open_pairs(light: DataFrame, block_sets: int) -> DataFrame:
+    """unit, sig: pairs of blocks that may hold sets of different components that can match.
+
+    ``light``: root, sig, n, c, r (the component so far).  Blocks are of one size class and,
+    where a component fills a block, of one component; pairs inside one component are done,
+    and classes that aren't neighbours differ too much in size.
+    """
+    mixed = light.groupBy("root").agg(F.min("r").alias("a"), F.max("r").alias("b")).filter("a < b").select("root")
+    light = light.join(mixed, "root", "left_semi")
+    each = light.groupBy("root", "c", "r").agg(F.count("*").alias("size"))
+    each = each.withColumn("alone", 2 * F.col("size") >= block_sets).withColumn("own", F.when(F.col("alone"), F.col("r")).otherwise(0))
+    total = each.groupBy("root", "c", "alone", "own").agg(F.sum("size").alias("all"))
+    each = each.join(total, ["root", "c", "alone", "own"])
+    rows = attach(light, each, ["root", "c", "r"], "size").withColumn("parts", F.ceil(F.col("all") / block_sets))
+    part = F.when(F.col("alone"), F.pmod(F.xxhash64("sig"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("r"), F.col("parts")))
+    rows = written(rows.select("root", "c", "sig", "r", F.xxhash64("root", "c", "alone", "own", part).alias("block")), "blocks")
+    blocks = rows.groupBy("root", "c", "block").agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
+    a, b = (blocks.select("root", *[F.col(x).alias(x + s) for x in ("c", "block", "lo", "hi")]) for s in ("1", "2"))
+    pairs = a.join(b, "root").filter("(c1 = c2 and block1 <= block2) or c2 = c1 + 1").filter("not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)")
+    pairs = pairs.select(F.xxhash64("block1", "block2").alias("unit"), F.explode(F.array_distinct(F.array("block1", "block2"))).alias("block"))
+    return pairs.join(rows, "block").select("unit", "sig").distinct()
+
+
 # -- the join -----------------------------------------------------------------
-def similar_sets(docs: DataFrame, text_col: str = "text", n: int = 5, percent: int = 80, n_rows: int = 0, range_hashes: int = 1_500_000, block_sets: int = 1024) -> DataFrame:
-    """node, root: classes of equal sets (by sig) that are linked to another class."""
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, n_hashes: int = 0, hot: DataFrame | None = None, range_hashes: int = 1_500_000, block_sets: int = 1024) -> DataFrame:
+    """node, root: classes of equal sets (by sig) that are linked to another class.
+
+    ``hot``: sig, speaker of very common sets (see ``_dealt``), MOST_HOT at the most.
+    """
     spark = docs.sparkSession
-    bits = max(0, (max(1, n_rows) // range_hashes).bit_length())
-    dealt = _dealt(docs, text_col, n, bits)
-    packed = dealt.groupBy("range").applyInPandas(_shared(bits), "bucket long, sigs binary, sizes binary, runs binary, toks binary")
-    alive = written(packed.groupBy("bucket").applyInPandas(_alive(percent), "sig long, n int, tok array<long>"), "alive")
+    bits = max(0, (max(1, n_hashes) // range_hashes).bit_length())
+    table = hot.select("sig", "speaker").toArrow() if hot is not None else pa.table({"sig": pa.array([], pa.int64()), "speaker": pa.array([], pa.int64())})
+    sigs, speakers = table.column("sig").to_numpy(), table.column("speaker").to_numpy()
+    order = np.argsort(sigs)
+    dealt = _dealt(docs, id_col, text_col, n, bits, (sigs[order], speakers[order]))
+    pairs = dealt.groupBy("range").applyInPandas(_shared(bits), "bucket long, sigs binary, sizes binary, runs binary, toks binary")
+    alive = written(pairs.groupBy("bucket").applyInPandas(_alive(percent), "sig long, n int, tok array<long>"), "alive")
     # Frequencies among the sets that are left; a hash that only one of them has can't count any more.
     tokens = alive.select("sig", "n", F.explode("tok").alias("t"))
-    tokens = written(tokens, "tokens")
-    frequency = tokens.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
-    sets = tokens.join(frequency, "t").groupBy("sig", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("x"))  # one text's hashes
+    frequency = written(tokens.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1"), "frequency")
+    sets = attach(tokens, frequency, ["t"], "df").groupBy("sig", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("x"))  # one text's hashes
     sets = sets.filter(100 * F.size("x") >= percent * F.col("n"))
     # The rest of the prefix of n - ceil(percent n) + 1 are hashes no other set has.
     quota = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - (F.col("n") - F.size("x"))
     sets = written(sets.select("sig", "n", F.col("x.t").alias("tok"), F.slice("x.t", 1, quota.cast("int")).alias("prefix")), "sets")
     posts = sets.select("sig", F.explode("prefix").alias("t"))
-    stars = posts.groupBy("t").agg(F.min("sig").alias("hub"), F.max("sig").alias("other")).filter("hub < other")
-    edges = posts.join(stars.select("t", "hub"), "t").select(F.col("sig").alias("u"), F.col("hub").alias("v")).filter("u <> v")
-    groups = written(components(edges), "groups")
+    stars = posts.groupBy("t").agg(F.min("sig").alias("hub"), F.max("sig").alias("other"), F.count("*").alias("size")).filter("hub < other")
+    edges = attach(posts, stars, ["t"], "size").select(F.col("sig").alias("u"), F.col("hub").alias("v")).filter("u <> v")
+    groups = components(edges)
+    size = groups.groupBy("root").agg(F.count("*").alias("k"))
+    groups = written(attach(groups, size, ["root"], "k"), "groups")
     if groups.isEmpty():
         return spark.createDataFrame([], "node long, root long")
-    # Blocks by hash of the class; a unit is a pair of blocks of one group.
-    size = groups.groupBy("root").agg(F.count("*").alias("k")).withColumn("blocks", F.ceil(F.col("k") / block_sets).cast("int"))
-    placed = sets.select("sig", "n", "tok").join(groups, F.col("sig") == F.col("node")).join(size, "root")
-    placed = placed.withColumn("b", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = placed.select("root", F.least("b", "c").alias("b1"), F.greatest("b", "c").alias("b2"), "sig", "n", "tok")
-    found = written(units.groupBy("root", "b1", "b2").applyInPandas(_unit(percent), "u long, v long"), "links")
-    return components(found)
-
-
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, **options) -> DataFrame:
+    placed = sets.join(groups, F.col("sig") == F.col("node")).drop("node")
+    links = written(placed.filter(F.col("k") <= block_sets).groupBy("root").applyInPandas(_unit(percent), "u long, v long"), "links")
+    if groups.filter(F.col("k") > block_sets).isEmpty():
+        return components(links)
+    # Sets that match are in the same or in neighbouring classes of size.
+    c = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
+    large = written(placed.filter(F.col("k") > block_sets).withColumn("c", c), "large")
+    first = written(_first_units(large, block_sets).groupBy("root", "c", "h", "part").applyInPandas(_unit(percent), "u long, v long"), "links")
+    so_far = components(first).select(F.col("node").alias("sig"), F.col("root").alias("r"))
+    light = written(large.select("root", "sig", "n", "c").join(so_far, "sig", "left").withColumn("r", F.coalesce("r", "sig")), "light")
+    units = _open_pairs(light, block_sets).join(large.select("sig", "n", "tok"), "sig")
+    second = written(units.groupBy("unit").applyInPandas(_unit(percent), "u long, v long"), "links")
+    return components(links.unionByName(first).unionByName(second))
+
+
+#: Sets that more rows have than a millionth of them, and than LEAST_HOT, are very common: there are MOST_HOT at the most, 16 bytes each.
+LEAST_HOT, MOST_HOT = 10_000, 1_000_000
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, least_hot: int = LEAST_HOT, **options) -> DataFrame:
     """id_col, n_shingles, component_id (the smallest id reachable by links).
 
     Sets are distinct n-grams of lower-cased (A-Z) words; fewer words are one n-gram as a
@@ -321,12 +438,17 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ignored.
     """
     classes = written(set_classes(docs, id_col, text_col, n), "classes")
-    total = classes.agg(F.sum("n_shingles")).head()[0] or 0
-    roots = similar_sets(docs, text_col, n, percent, n_rows=total, **options)
-    full = classes.filter("n_shingles > 0").join(roots, F.col("sig") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("root", "sig").alias("class"))
-    full = written(full, "placed")
-    least = full.groupBy("class").agg(F.min("id").alias("least"))
-    out = full.join(least, "class").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("least")).alias("component_id"))
+    by_sig = classes.filter("n_shingles > 0").groupBy("sig").agg(F.min("id").alias("least"), F.min("rid").alias("speaker"), F.count("*").alias("size"))
+    by_sig = written(by_sig, "by_sig")
+    n_hashes, rows = classes.agg(F.sum("n_shingles"), F.count("*")).head()
+    hot = by_sig.filter(F.col("size") > max(least_hot, rows // MOST_HOT))
+    roots = similar_sets(docs, id_col, text_col, n, percent, n_hashes=n_hashes or 0, hot=hot, **options)
+    # Equal sets are one row up to here, so only the last join meets very common ones.
+    placed = by_sig.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", "size", "root")
+    of_root = placed.filter("root is not null").groupBy("root").agg(F.min("least").alias("of_root"), F.count("*").alias("n_sigs"))
+    single = placed.filter("root is null").select("sig", "least", "size")
+    grouped = attach(placed.filter("root is not null").drop("least"), of_root, ["root"], "n_sigs").select("sig", F.col("of_root").alias("least"), "size")
+    out = attach(classes.filter("n_shingles > 0"), written(single.unionByName(grouped), "least"), ["sig"], "size").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("least")).alias("component_id"))
     empty = classes.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
     return out.unionByName(empty).withColumnRenamed("id", id_col)
 

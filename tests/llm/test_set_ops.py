@@ -112,6 +112,28 @@ def test_join_matches_all_pairs(edge_docs, edge_rows, sf_docs):
         assert got == want
 
 
+def test_join_of_large_groups(spark):
+    """A passage in every text, a large group of near copies and one of exact copies; blocks and limits are small."""
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(60):
+        w = list(words)
+        for _ in range(k % 4):
+            w[r.randrange(60)] = f"x{r.randrange(9)}"
+        texts.append(" ".join(w))
+    texts += [texts[0]] * 40
+    passage = " ".join(f"p{k}" for k in range(40))
+    for k in range(60):  # mostly passage: one candidate group, of texts that match and texts that don't
+        texts.append(f"{passage} " + " ".join(f"t{k % 20}-{j}" for j in range(r.randrange(4, 24))))
+    rows = list(enumerate(texts))
+    want = brute.jaccard_components(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for options in ({}, {"block_sets": 3, "range_hashes": 500, "least_hot": 5}):
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.ngram_join(docs, **options).collect()}
+        assert got == want
+
+
 def test_links_of_random_sets():
     r = random.Random(5)
     for _ in range(100):

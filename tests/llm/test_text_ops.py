@@ -8,7 +8,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from tarnlake.llm import bpe, lm, pii, quality, token_count
+from tarnlake.llm import common, bpe, lm, pii, quality, token_count
 from tarnlake.llm.common import tokenizer_file
 
 SF = "/root/testdata/sf0.001"
@@ -147,9 +147,9 @@ def test_the_filter_grows_with_what_goes_in():
 
     n = 600_000  # of one of 64 ranges: 38 million insertions in all
     items = np.unique(np.random.default_rng(4).integers(0, 1 << lm.ITEM_BITS, n, dtype=np.uint64))
-    row = (0, 2, 7, lm.packed((items >> np.uint64(32)).astype(np.uint8)), items.astype(np.uint32).tobytes(), lm.packed(np.ones(len(items), np.uint32)))
+    row = (0, 2, 7, common.packed((items >> np.uint64(32)).astype(np.uint8)), items.astype(np.uint32).tobytes(), common.packed(np.ones(len(items), np.uint32)))
     got = lm._looked_up(pd.DataFrame([row], columns=["range", "order", "batch", "high", "low", "counts"]))
-    level = lm.unpacked(got["levels"][0], np.uint8)
+    level = common.unpacked(got["levels"][0], np.uint8)
     assert len(level) == len(items) and (level >= 1).all() and (level == 1).mean() > 0.9
 
 
