@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import attach, new_path, written
 
 INDEX = "page_id long, file string, offset long, length long, url string, digest string, record_type string, refers_to long"
 READ = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -74,18 +74,21 @@ def revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_b
     """page_id, url, html, digest, first (the page that has the payload; null: itself)."""
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
+    ids = written(p.filter(F.octet_length("html") >= least_bytes).select("page_id", "digest"), "digests")
     # A digest is counted once for each task before it is shuffled, so a very common page costs no more than another.
-    big = p.filter(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    # Only ids go through the join; a payload is shuffled by no key that it shares.
-    return p.join(big, "digest", "left")
+    first = written(ids.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "firsts")
+    # Only ids and digests meet by digest; pages meet the few that revisit another one by their own id.
+    again = attach(ids, first, ["digest"], "n").filter("first <> page_id").select("page_id", "digest", "first").distinct()
+    return p.join(again, ["page_id", "digest"], "left")
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000) -> DataFrame:
     """Write a record for each page and return the index (INDEX).
 
-    Null html is the empty payload; null ids and URLs are empty fields.  Of pages of
-    equal payload of at least ``least_bytes``, that with the largest id is the response
-    and the others revisit it; of repeated rows with this id each is a response.
+    Null html is the empty payload; null ids and URLs are empty fields.  Ids are read as
+    long.  Of pages of equal payload of at least ``least_bytes``, that with the largest id
+    is the response and the others revisit it; of repeated rows with this id each is a
+    response, and so is a row of null id.
     """
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
