@@ -4,10 +4,10 @@ Text is cut where the pre-tokenizer always cuts (before white space that follows
 something else), so the chunks encode independently; each distinct chunk is
 encoded once per worker.  A chunk without such a place that is longer than a leaf
 is long unsplit text: it goes through a binary tree.  The leaves (halves of
-halves) are encoded as one batch, which the library runs in parallel, and sibling
-sequences are joined by encoding a window of tokens around the join again.  The
-window grows until its first token is the left side's token at that place and its
-last token is the right side's.  Then every adjacent pair of the result occurs in
+halves) are encoded as one batch, which the library runs in parallel, and the sibling
+sequences of a level are joined by encoding a window of tokens around each join again,
+these as a batch too.  A window grows until its first token is the left side's token at
+that place and its last token is the right side's.  Then every adjacent pair of the result occurs in
 a correct encoding, and a sequence of pairwise stable tokens is *the* encoding of
 its text, so the join is exact.
 """
@@ -45,6 +45,7 @@ class TreeCodec:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.plain = Tokenizer(self.tok.model)  # no pre-tokenizer: it takes what it gets as one piece
         self.leaf, self.window, self.cache_chunks = leaf, window, cache_chunks
         alphabet = byte_alphabet()
         self.to_marks = str.maketrans({chr(b): c for b, c in enumerate(alphabet)})
@@ -61,30 +62,34 @@ class TreeCodec:
         self.cache: dict[str, tuple[int, ...]] = {}
 
     # -- encoding ---------------------------------------------------------
-    def bpe(self, raw: bytes) -> list[int]:
-        """BPE of bytes inside one pre-token, without the pre-tokenizer."""
-        return [t.id for t in self.tok.model.tokenize(raw.decode("latin-1").translate(self.to_marks))]
-
-    def join(self, left: list[int], right: list[int]) -> list[int]:
-        """Encoding of two neighbouring stretches of one pre-token from theirs."""
-        if not left or not right:
-            return left or right
-        size = self.window
-        while True:
-            i, j = max(0, len(left) - size), min(len(right), size)
-            middle = self.bpe(b"".join(self.bytes_of[t] for t in left[i:] + right[:j]))
-            agrees = (i == 0 or middle[0] == left[i]) and (j == len(right) or middle[-1] == right[j - 1])
-            if agrees:
-                return left[:i] + middle + right[j:]
-            size *= 2
+    def bpe(self, raws: list[bytes]) -> list[list[int]]:
+        """BPE of stretches inside one pre-token each, as one batch that the library runs in parallel."""
+        marked = [raw.decode("latin-1").translate(self.to_marks) for raw in raws]
+        return [e.ids for e in self.plain.encode_batch_fast(marked, add_special_tokens=False)]
+
+    def joins(self, level: list[list[int]]) -> list[list[int]]:
+        """Encodings of neighbouring stretches of one pre-token, joined two and two."""
+        out: list = [None] * (len(level) // 2)
+        waiting, size = list(range(len(out))), self.window
+        while waiting:
+            cut = [(level[2 * k], level[2 * k + 1], max(0, len(level[2 * k]) - size), min(len(level[2 * k + 1]), size)) for k in waiting]
+            middles = self.bpe([b"".join(self.bytes_of[t] for t in left[i:] + right[:j]) for left, right, i, j in cut])
+            open_ = []
+            for k, (left, right, i, j), middle in zip(waiting, cut, middles, strict=True):
+                if (i == 0 or middle[0] == left[i]) and (j == len(right) or middle[-1] == right[j - 1]):
+                    out[k] = left[:i] + middle + right[j:]
+                else:
+                    open_.append(k)
+            waiting, size = open_, size * 2
+        return out
 
     def tree(self, raw: bytes) -> list[int]:
-        """One long pre-token: leaves as one batch, then joins level by level."""
+        """One long pre-token: leaves as one batch, then the joins level by level."""
         n = 1 << max(0, (-(-len(raw) // self.leaf) - 1).bit_length())
         cuts = [len(raw) * k // n for k in range(n + 1)]
-        level = [self.bpe(raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        level = self.bpe([raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
         while len(level) > 1:
-            level = [self.join(level[k], level[k + 1]) for k in range(0, len(level), 2)]
+            level = self.joins(level)
         return level[0]
 
     def long_chunk(self, text: str) -> list[int]:
@@ -92,9 +97,10 @@ class TreeCodec:
         ids: list[int] = []
         at = 0
         for m in [*self.special_re.finditer(text), None]:
-            for p in self.pretoken.finditer(text[at : m.start() if m else len(text)]):
-                raw = p[0].encode()
-                ids += self.tree(raw) if len(raw) > self.leaf else self.bpe(raw)
+            pieces = [p[0].encode() for p in self.pretoken.finditer(text[at : m.start() if m else len(text)])]
+            short = iter(self.bpe([raw for raw in pieces if len(raw) <= self.leaf]))
+            for raw in pieces:
+                ids += self.tree(raw) if len(raw) > self.leaf else next(short)
             if m:
                 ids.append(self.special[m[0]])
                 at = m.end()
