@@ -148,3 +148,12 @@ def quotation_links(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
         F.coalesce("r_turn", "turn").alias("thread_turn"),
         F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
     )
+
+
+def reply_order(links: DataFrame) -> DataFrame:
+    """The rows of ``quotation_links`` as conversations: threads one after another, and in a
+    thread every message after the one it quotes.
+
+    A sort by range: a thread that very many messages belong to is over several tasks.
+    """
+    return links.orderBy("thread_conv", "thread_turn", "depth", "conv_id", "turn")

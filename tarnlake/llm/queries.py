@@ -61,9 +61,9 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import quotation_links
+    from .chat import quotation_links, reply_order
 
-    return quotation_links(table(spark, sf_dir, "conversations"))
+    return reply_order(quotation_links(table(spark, sf_dir, "conversations")))
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
