@@ -1,14 +1,16 @@
 """Nearest neighbours by shifted space-filling curves, completed exactly.
 
 Directions of the vectors are projected by several random rotations to a few
-dimensions, shifted, and ordered along a Hilbert curve.  For each curve Spark deals
-the rows out by key range, and the windows of neighbouring keys around each query are
-scored on the original vectors; the curves' windows merge into first answers.  Where
-the dimension is high the true neighbours are scattered over any curve, so windows
-alone miss most of them.  The first answers therefore only give each query a score to
-beat: all rows are then scanned in curve order against blocks of queries, and runs of
-a curve whose ball (centre and radius) can't hold a better score are skipped.  The
-result is exact.
+dimensions, shifted, and ordered along a Hilbert curve; Spark deals all curves out by
+range of key in one sort.  A curve is cut into cells of neighbouring keys.  Each query
+goes to the cells its window touches on every curve, is scored there on the original
+vectors, and the curves' answers merge.  How many curves and how wide a window it takes
+for the wanted recall is measured against brute force on a few queries.  Where the
+vectors have many independent dimensions, neighbours are scattered over any curve and
+the windows grow to much of the table.
+
+An exact check may follow: the queries also go to the other cells of the first curve,
+unless a cell's ball (centre and radius) can't hold a score that would count.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +28,8 @@ from pyspark.sql import Window
 from .common import written
 
 DIMENSIONS, BITS = 8, 7
+#: Cells whose balls are held in a worker to leave queries out; of more cells, all are asked.
+MOST_BALLS = 20_000
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -74,33 +79,6 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ordered(valid: DataFrame, curve: int, dims: int) -> DataFrame:
-    """id, v by (key, hash, id) of one curve, each pair once: equal vectors stand together, smaller ids first."""
-    schema = T.StructType([*valid.schema.fields, T.StructField("key", T.LongType())])
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:  # repeats go before the shuffle, too: a row repeated very often would stay in one task
-                pairs = np.stack([b.column("id").to_numpy(), b.column("h").to_numpy()], axis=1)
-                b = b.take(pa.array(np.sort(np.unique(pairs, axis=0, return_index=True)[1])))
-            keys = curve_keys(_matrix(b.column("v"), dims), curve) if b.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], names=schema.names)
-
-    order = ["key", "h", "id"]
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_id, last = np.zeros(0, np.int64), np.zeros((0, dims))
-        for b in batches:
-            if b.num_rows:
-                ids, x = np.r_[last_id, b.column("id").to_numpy()], np.concatenate([last, _matrix(b.column("v"), dims)])
-                new = np.r_[np.ones(1 - len(last_id), bool), (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(axis=1)]
-                last_id, last = ids[-1:], x[-1:]
-                yield b.filter(pa.array(new))
-
-    ordered = valid.mapInArrow(keyed, schema).repartitionByRange(*order).sortWithinPartitions(*order).select("id", "v")
-    return ordered.mapInArrow(once, ordered.schema)
-
-
 def _best(queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of flat (query, id, score) the k first of each query: score descending, then id; an id once, by its best score."""
     order = np.lexsort((-scores, ids, queries))
@@ -115,81 +93,152 @@ def _best(queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> t
     return queries[keep], ids[keep], scores[keep]
 
 
-def _windows(ordered: DataFrame, dims: int, every: int, k: int, width: int) -> DataFrame:
-    """The k best of the ``width`` rows on either side of each query on a curve."""
+# -- places on the curves -----------------------------------------------------
+def _places(base: DataFrame, dims: int, curves: int, n: int) -> DataFrame:
+    """id, h, curve, pos: the place of each row on each curve.
 
-    def score(ids: np.ndarray, x: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        offsets = np.r_[-width:0, 1 : width + 1]
-        for part in np.array_split(at, max(1, len(at) // 256)):
-            if not len(part):
-                continue
-            near = part[:, None] + offsets
-            there = (near >= 0) & (near < len(ids))
-            near = np.clip(near, 0, len(ids) - 1)
-            s = dots(x[part][:, None, :], x[near])
-            there &= ids[near] != ids[part][:, None]
-            q = np.broadcast_to(ids[part][:, None], near.shape)[there]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in _best(q, ids[near][there], s[there], k)], names=["query_id", "vec_id", "score"])
+    One sort by (curve, key) of rows without vectors, dealt by range; every curve has all
+    ``n`` rows, so places follow from the number of rows in the partitions before.
+    """
+    schema = "id long, h long, curve int, key long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x, first = np.zeros(0, np.int64), np.zeros((0, dims)), 0
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column("v"), dims)
+            for t in range(curves if b.num_rows else 0):
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), pa.array(np.full(b.num_rows, t, np.int32)), pa.array(curve_keys(x, t))], names=["id", "h", "curve", "key"])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
         for b in batches:
-            ids = np.concatenate([ids, b.column("id").to_numpy()])
-            x = np.concatenate([x, _matrix(b.column("v"), dims)])
-            upto = len(ids) - width  # these have their whole window
-            if upto > first:
-                at = np.arange(first, upto)
-                yield from score(ids, x, at[ids[at] % every == 0])
-                keep = max(0, upto - width)
-                ids, x, first = ids[keep:], x[keep:], upto - keep
-        at = np.arange(first, len(ids))
-        yield from score(ids, x, at[ids[at] % every == 0])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), b.column("curve"), pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.arange(at, at + b.num_rows))], names=["id", "h", "curve", "part", "local"])
+            at += b.num_rows
 
-    return ordered.mapInArrow(run, FOUND)
+    order = ["curve", "key", "h", "id"]
+    rows = base.select("id", "h", "v").mapInArrow(keyed, schema).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(rows.mapInArrow(numbered, "id long, h long, curve int, part int, local long"), "places")
+    starts, at = {}, 0
+    for part, count in sorted((r["part"], r["count"]) for r in rows.groupBy("part").count().collect()):  # a row for each partition
+        starts[part], at = at, at + count
+    start = F.element_at(F.create_map(*[F.lit(x) for p, s in starts.items() for x in (p, s)]), F.col("part"))
+    return rows.select("id", "h", "curve", (start + F.col("local") - F.col("curve").cast("long") * n).alias("pos"))
 
 
-def _scan(ordered: DataFrame, dims: int, q_ids: np.ndarray, q: np.ndarray, beat: np.ndarray, k: int, run_rows: int) -> DataFrame:
-    """The k best of each partition for one block of queries, where they reach the score to beat."""
+def _true_neighbours(base: DataFrame, queries: pa.Table, dims: int, k: int) -> DataFrame:
+    """The nearest of a few queries, by all rows."""
+    q_ids, q = queries.column("id").to_numpy(), _matrix(queries.column("v").combine_chunks(), dims)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        norms = np.linalg.norm(q, axis=1)
-        floor = beat.copy()
-        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         for b in batches:
-            for at in range(0, b.num_rows, run_rows):
-                own = b.slice(at, run_rows)
-                ids, x = own.column("id").to_numpy(), _matrix(own.column("v"), dims)
-                # Of equal vectors in a row only the k + 1 first can be among the k nearest.
-                new = np.r_[True, (x[1:] != x[:-1]).any(axis=1)]
-                starts = np.flatnonzero(new)
-                keep = np.arange(len(ids)) - starts[np.cumsum(new) - 1] <= k
-                ids, x = ids[keep], x[keep]
-                centre = x.mean(axis=0)
-                radius = np.linalg.norm(x - centre, axis=1).max()
-                may = np.flatnonzero(q @ centre + norms * radius >= floor - 1e-9)
-                if not len(may):
-                    continue
-                s = q[may] @ x.T
-                # An id may have several vectors: so many rows hold k + 1 ids.
-                enough = (k + 1) * int(np.unique(ids, return_counts=True)[1].max())
+            ids, s = b.column("id").to_numpy(), q @ _matrix(b.column("v"), dims).T
+            found = _best(np.repeat(q_ids, len(ids)), np.tile(ids, len(q_ids)), np.where(q_ids[:, None] == ids, -np.inf, s).ravel(), k)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
+
+    return _top(base.select("id", "v").mapInArrow(run, FOUND).filter(F.col("score") > float("-inf")), k)
+
+
+def window_width(base: DataFrame, places: DataFrame, dims: int, every: int, k: int, curves: int, recall: float, sample: int, cell_rows: int) -> tuple[int, int]:
+    """Number of curves and width of the windows that find ``recall`` of the neighbours.
+
+    Measured against brute force for ``sample`` queries, those of least hash: the widths
+    come from how far apart on the curves they and their true neighbours are.
+    """
+    chosen = base.filter(F.col("id") % every == 0).orderBy(F.xxhash64("id", F.lit(1)), "h").select("id", "v").limit(sample).toArrow()
+    pairs = [(r["query_id"], r["vec_id"]) for r in _true_neighbours(base, chosen, dims, k).collect()]
+    if not pairs:
+        return 1, 1
+    spots: dict[int, dict[int, list[int]]] = {}
+    for r in places.filter(F.col("id").isin(sorted({x for p in pairs for x in p}))).collect():  # sample * (k + 1) * curves
+        spots.setdefault(r["id"], {}).setdefault(r["curve"], []).append(r["pos"])
+    apart = np.array([[min(abs(a - b) for a in spots[q][t] for b in spots[v][t]) for t in range(curves)] for q, v in pairs])
+    best = None
+    for use in range(1, curves + 1):
+        width = int(np.quantile(apart[:, :use].min(axis=1), recall, method="higher")) + 1
+        cost = use * (2 * width + cell_rows)
+        if best is None or cost < best[0]:
+            best = (cost, use, width)
+    return best[1:]
+
+
+# -- cells --------------------------------------------------------------------
+def _scored(dims: int, k: int):
+    """The k best of one cell's rows for the queries that came to it, where they reach the score to beat."""
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if rows.num_rows and asked.num_rows:
+            ids, x = rows.column("id").to_numpy(), _matrix(rows.column("v").combine_chunks(), dims)
+            q_ids, q, floor = asked.column("q_id").to_numpy(), _matrix(asked.column("q_v").combine_chunks(), dims), asked.column("q_floor").to_numpy()
+            # An id may have several vectors: so many rows hold k + 1 ids.
+            enough = (k + 1) * int(np.unique(ids, return_counts=True)[1].max())
+            for at in range(0, len(q), 512):
+                s = q[at : at + 512] @ x.T
+                least = floor[at : at + 512]
                 if s.shape[1] >= enough:
-                    least = np.partition(s, -enough, axis=1)[:, -enough]
-                    least = np.maximum(least, floor[may])
-                else:
-                    least = floor[may]
+                    least = np.maximum(least, np.partition(s, -enough, axis=1)[:, -enough])
                 # The product's rounding depends on the place: take a margin, then sum row by row.
-                r, c = np.nonzero(s >= least[:, None] - 1e-9)
-                other = q_ids[may[r]] != ids[c]
-                r, c = may[r[other]], c[other]
-                exact = dots(q[r], x[c])
-                found = list(_best(np.concatenate([found[0], r]), np.concatenate([found[1], ids[c]]), np.concatenate([found[2], exact]), k))
-                full = np.bincount(found[0], minlength=len(q)) >= k
-                worst = np.full(len(q), np.inf)
-                np.minimum.at(worst, found[0], found[2])
-                floor = np.where(full, np.maximum(floor, worst), floor)
-        yield pa.RecordBatch.from_arrays([pa.array(q_ids[found[0]]), pa.array(found[1]), pa.array(found[2])], names=["query_id", "vec_id", "score"])
+                r, c = np.nonzero(s >= least[:, None] - 1e-9 * np.maximum(1.0, np.abs(least[:, None])))
+                other = q_ids[at + r] != ids[c]
+                r, c = at + r[other], c[other]
+                new = (q_ids[r], ids[c], dots(q[r], x[c]))
+                found = [np.concatenate(p) for p in zip(found, _best(*new, k), strict=True)]
+        return pa.table([pa.array(y) for y in found], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def _answers(rows: DataFrame, asked: DataFrame, keys: list[str], dims: int, k: int, at_once: int) -> DataFrame:
+    """FOUND of each key's rows (a cell) for its queries, of which a task gets about 4,096."""
+    shares = max(1, -(-at_once // 4096))
+    a = rows.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))) if shares > 1 else F.lit(0))
+    b = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns], F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int").alias("q_share"))
+    return a.groupBy(*keys, "share").cogroup(b.groupBy(*[f"q_{c}" for c in keys], "q_share")).applyInArrow(_scored(dims, k), FOUND)
+
+
+def _windows(placed: DataFrame, dims: int, every: int, k: int, width: int, cell_rows: int, n: int) -> DataFrame:
+    """Each curve is cut into cells; a query goes to the cells that its window touches."""
+    cell = lambda pos: F.floor(pos / cell_rows)
+    rows = placed.select("curve", cell(F.col("pos")).alias("cell"), "id", "v")
+    touched = F.sequence(cell(F.greatest(F.col("pos") - width, F.lit(0))), cell(F.least(F.col("pos") + width, F.lit(n - 1))))
+    asked = placed.filter(F.col("id") % every == 0).select("curve", F.explode(touched).alias("cell"), "id", "v", F.lit(float("-inf")).alias("floor"))
+    return _answers(rows, asked, ["curve", "cell"], dims, k, (2 * width + cell_rows) // every + 1)
+
+
+def _rest(placed: DataFrame, merged: DataFrame, dims: int, every: int, k: int, width: int, cell_rows: int, n: int) -> DataFrame:
+    """What the windows on the first curve left out: its other cells, but for those whose
+    ball (centre and radius) can't hold a better score than the k-th found."""
+    cells = -(-n // cell_rows)
+    first = placed.filter("curve = 0").withColumn("cell", F.floor(F.col("pos") / cell_rows))
+    floor = merged.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    q = first.filter(F.col("id") % every == 0).join(floor, F.col("id") == F.col("query_id"), "left")
+    lo, hi = F.floor(F.greatest(F.col("pos") - width, F.lit(0)) / cell_rows), F.floor(F.least(F.col("pos") + width, F.lit(n - 1)) / cell_rows)
+    q = q.select("id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), lo.alias("lo"), hi.alias("hi"))
+    balls = None
+    if cells <= MOST_BALLS:
+
+        def ball(rows: pa.Table) -> pa.Table:
+            x = _matrix(rows.column("v").combine_chunks(), dims)
+            centre = x.mean(axis=0)
+            return pa.table({"cell": rows.column("cell")[:1], "centre": [centre], "radius": [np.linalg.norm(x - centre, axis=1).max()]})
+
+        t = first.select("cell", "v").groupBy("cell").applyInArrow(ball, "cell long, centre array<double>, radius double").toArrow().sort_by("cell")
+        balls = (t.column("cell").to_numpy(), _matrix(t.column("centre").combine_chunks(), dims), t.column("radius").to_numpy())
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                own = b.slice(at, 256)
+                lo, hi, floor = (own.column(c).to_numpy() for c in ("lo", "hi", "floor"))
+                every_cell = balls[0] if balls else np.arange(cells)
+                may = (every_cell < lo[:, None]) | (every_cell > hi[:, None])
+                if balls:
+                    x = _matrix(own.column("v"), dims)
+                    may &= x @ balls[1].T + np.linalg.norm(x, axis=1)[:, None] * balls[2] >= floor[:, None] - 1e-9 * np.maximum(1.0, np.abs(floor[:, None]))
+                for i, j in zip(*(np.array_split(y, max(1, len(y) // 4096)) for y in np.nonzero(may)), strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array(every_cell[j]), own.column("id").take(i), own.column("v").take(i), own.column("floor").take(i)], names=["cell", "id", "v", "floor"])
 
-    return ordered.mapInArrow(run, FOUND)
+    asked = q.mapInArrow(dealt, "cell long, id long, v array<double>, floor double")
+    return _answers(first.select("cell", "id", "v"), asked, ["cell"], dims, k, n // every + 1)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -198,14 +247,17 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, curves: int = 4, width: int = 48, query_block: int = 8192, run_rows: int = 2048, exact: bool = True) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, curves: int = 16, recall: float = 0.92, sample: int = 64, cell_rows: int = 2048, exact: bool = True) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest by inner product of each query.
 
     Queries are the rows whose id is divisible by ``every``; candidates are the rows of
     other ids.  Ties go to the smaller id.  An id has one place at most, however many rows
-    it has; of several vectors of an id the best score counts, on either side.  Vectors that are null, zero, hold null or
-    non-finite components or have another length than most take no part, nor do null
-    ids; an empty table gives an empty one.  Other columns are ignored.  ``exact=False`` returns the merged windows alone.
+    it has; of several vectors of an id the best score counts, on either side.  Vectors
+    that are null, zero, hold null or non-finite components or (an extension) have another
+    length than most take no part, nor do null ids, which are read as long; an empty table
+    gives an empty one.  Other columns are ignored.  ``recall`` is that of the windows on
+    up to ``curves`` curves, measured on ``sample`` queries; ``exact=False`` returns their
+    answers.
     """
     spark = vectors.sparkSession
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
@@ -216,24 +268,16 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims = lengths["d"]
-    valid = src.filter(F.size("v") == dims).withColumn("h", F.xxhash64("v"))
-    base = written(_ordered(valid, 0, dims), "curve")
-    parts = [_windows(base if t == 0 else _ordered(valid, t, dims), dims, every, k, width) for t in range(curves)]
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
-    merged = written(_top(merged, k), "windows")
+    # Repeated rows go first; the partial aggregate keeps one of them for each task.
+    valid = src.filter(F.size("v") == dims).withColumn("h", F.xxhash64("v")).groupBy("id", "h").agg(F.first("v").alias("v"))
+    base = written(valid, "vectors")
+    n = base.count()
+    places = _places(base, dims, curves, n)
+    use, width = window_width(base, places, dims, every, k, curves, recall, sample, cell_rows)
+    spots = places.filter(F.col("curve") < use).groupBy("id", "h").agg(F.collect_list(F.struct("curve", "pos")).alias("spots"))  # one a curve
+    placed = base.join(spots, ["id", "h"]).select("id", "v", F.explode("spots").alias("s")).select("id", "v", "s.curve", "s.pos")
+    merged = written(_top(_windows(placed, dims, every, k, width, cell_rows, n), k), "windows")
     if not exact:
         return merged.select("query_id", "rank", "vec_id", "score")
-    beat = merged.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("beat"))
-    queries = base.filter(F.col("id") % every == 0).join(beat, F.col("id") == F.col("query_id"), "left").select("id", "v", "beat")
-    n = queries.count()
-    blocks = max(1, -(-n // query_block))
-    queries = written(queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "queries")
     found = merged.select("query_id", "vec_id", "score")
-    for b in range(blocks):  # the stated query set against all rows, a bounded block at a time
-        own = queries.filter(F.col("block") == b).select("id", "v", "beat").toArrow()
-        if own.num_rows:
-            floor = np.array([-np.inf if x is None else x for x in own.column("beat").to_pylist()])
-            found = found.unionByName(_scan(base, dims, own.column("id").to_numpy(), _matrix(own.column("v").combine_chunks(), dims), floor, k, run_rows))
-    return _top(found, k).select("query_id", "rank", "vec_id", "score")
+    return _top(found.unionByName(_rest(placed, merged, dims, every, k, width, cell_rows, n)), k).select("query_id", "rank", "vec_id", "score")
