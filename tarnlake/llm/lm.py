@@ -247,6 +247,19 @@ def gram_levels(batches: DataFrame, n_tokens: int, range_items: int = 2_000_000)
     return out.groupBy("batch").agg(F.collect_list(F.struct("order", "range", "levels")).alias("levels"))
 
 
+def _frequent(counts: DataFrame) -> dict[bytes, int]:
+    """Words that are more frequent than a certain count, HOT_WORDS at the most; ties go in or stay out together."""
+    short = counts.filter(F.octet_length("word") <= HOT_BYTES).withColumn("step", F.floor(16 * F.log2("c")))
+    least, room = None, HOT_WORDS
+    for step, n in sorted(((r["step"], r["count"]) for r in short.groupBy("step").count().collect()), reverse=True):  # a row for each step, 800 at most
+        room -= n
+        if room < 0:
+            break
+        least = step
+    rows = short.filter(F.col("step") >= least).select("word", "c").toArrow() if least is not None else pa.table({"word": [], "c": []})
+    return dict(zip(rows.column("word").to_pylist(), rows.column("c").to_pylist(), strict=True))
+
+
 # -- scoring ------------------------------------------------------------------
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: float = 0.15) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
@@ -260,8 +273,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weigh
     texts = src.filter(~F.col("held_out")).select("text")
     counts = written(word_counts(texts), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
-    hot_rows = counts.filter(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("c"), "word").limit(HOT_WORDS)
-    hot = spark.sparkContext.broadcast({bytes(r["word"]): r["c"] for r in hot_rows.toLocalIterator()})
+    hot = spark.sparkContext.broadcast(_frequent(counts))
     id_type = src.schema["id"].dataType
     each = [("n_known", T.LongType()), ("base", T.DoubleType()), ("rare", T.ArrayType(T.BinaryType())), ("times", T.ArrayType(T.IntegerType()))]
     lists = [("ids", id_type), ("held_out", T.BooleanType()), ("sizes", T.LongType()), *each]
