@@ -77,3 +77,95 @@ def jaccard_components(rows, percent=80):
 
 def sha(text):
     return hashlib.sha256(text.encode("utf-8")).hexdigest()
+
+
+# -- quotations ---------------------------------------------------------------
+def quotations(rows):
+    """(conv, turn, text), each place once -> place -> (reply place or None, 'quote'/'turn'/None, n_quoted, n_linked)."""
+    lines = {}
+    for conv, turn, text in rows:
+        own = []
+        for line in re.split("\n", re.sub("\r\n?", "\n", text)):
+            marks = re.match(r"([ \t]*>)*", line)[0]
+            norm = re.sub(r"\s+", " ", line[len(marks) :].lower()).strip(" ")
+            if norm:
+                own.append((marks.count(">"), norm))
+        lines[conv, turn] = own
+
+    def places(passage):
+        found = []
+        for place, own in lines.items():
+            said = [x for level, x in own if level == 0]
+            if any(said[k : k + len(passage)] == passage for k in range(len(said) - len(passage) + 1)):
+                found.append(place)
+        return found
+
+    def origin(passage, conv, turn):
+        at = places(passage)
+        before = [p for p in at if p[0] == conv and p[1] < turn]
+        return (max(before) if before else min((p for p in at if p[0] != conv), default=None)), len(at)
+
+    up, counts = {}, {}
+    for (conv, turn), own in lines.items():
+        runs = []
+        for k, (level, x) in enumerate(own):
+            if level:
+                if k and own[k - 1][0] == level:
+                    runs[-1][1].append(x)
+                else:
+                    runs.append((level, [x]))
+        singles = [origin([x], conv, turn)[0] for _, run in runs for x in run]
+        counts[conv, turn] = (len(singles), sum(o is not None for o in singles))
+        votes = collections.defaultdict(float)
+        for level, run in runs:
+            pieces = [run] if origin(run, conv, turn)[0] else [[x] for x in run]
+            for piece in pieces:
+                o, n = origin(piece, conv, turn)
+                if o:
+                    votes[level, o] += len(piece) / n
+        if votes:
+            up[conv, turn] = max(votes, key=lambda k: (-k[0], round(votes[k], 9), k[1][0] == conv, k[1]))[1]
+    heads = set()
+    for start in up:
+        seen, at = [], start
+        while at in up and at not in seen:
+            seen.append(at)
+            at = up[at]
+        if at in seen:
+            heads.add(min(seen[seen.index(at) :]))
+    out = {}
+    for place in lines:
+        quoted = up.get(place) if place not in heads else None
+        before = (place[0], place[1] - 1)
+        out[place] = (quoted, "quote", *counts[place]) if quoted else (before, "turn", *counts[place]) if before in lines else (None, None, *counts[place])
+    return out
+
+
+# -- disclosure ---------------------------------------------------------------
+def sensitive(texts, width, min_contexts, disclose, remove):
+    """term -> removed, from the definition: all entities and terms of all distinct texts."""
+    from tarnlake.llm import pii as p
+
+    near, holds = collections.defaultdict(lambda: (set(), set())), collections.defaultdict(set)
+    has = collections.defaultdict(set)
+    for text in set(texts):
+        for t in re.findall(r"[^\W_]{2,}", text):
+            holds[t.lower()].add(text)
+        spans = p.entity_spans(text)
+        covered = {k for _, a, b in spans for k in range(a, b)}
+        terms = [m for m in re.finditer(r"[^\W_]{2,}", text) if not covered & set(range(*m.span()))]
+        for kind, a, b in spans:
+            before = [m[0].lower() for m in terms if m.start() <= a][-width:]
+            after = [m[0].lower() for m in terms if m.start() > a and m.start() > b][:width]
+            for e in p.entities(kind, text[a:b]):
+                has[e].add(text)
+                for t in {*before, *after}:
+                    near[e, t][0].add(text)
+                    near[e, t][1].add(" ".join(before + after))
+    n, out = len(set(texts)), {}
+    for (e, t), (own, contexts) in near.items():
+        if len(contexts) >= min_contexts and 2 * len(has[e]) < n:
+            d = 1 + math.log2(len(own) / len(holds[t])) / math.log2(n / len(has[e]))
+            if d >= disclose:
+                out[t] = max(out.get(t, 0), d)
+    return {t: d >= remove for t, d in out.items()}

@@ -221,6 +221,31 @@ def test_quotes_find_the_nearest_whole_passage(spark):
     assert got[20, 0] == (None, None, None) and len(got) == len(rows)
 
 
+def test_random_quotations_match_the_plain_version(spark):
+    r = random.Random(8)
+    said = ["hello", "thanks", "Pump  broken", "valve open", "try oil", "left", "right", "it leaks"]
+    rows = []
+    for conv in range(12):
+        for turn in range(r.randrange(1, 6)):
+            text = []
+            for _ in range(r.randrange(1, 6)):
+                text.append(r.choice(["", "", "> ", ">", ">> ", " > > ", ">>>"]) + r.choice([*said, "", "\t"]))
+            rows.append((conv, turn, r.choice(["\n", "\n", "\r\n"]).join(text)))
+    rows.append((50, 0, "\n".join(["> thanks"] * 3000 + ["long line " * 5000])))
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").repartition(3)
+    out = chat.reply_order(chat.quotation_links(df)).collect()
+    got = {(x["conv_id"], x["turn"]): ((x["reply_conv"], x["reply_turn"]) if x["link"] else None, x["link"], x["n_quoted"], x["n_linked"]) for x in out}
+    assert got == brute.quotations(rows)
+    assert all(">" not in (x["body"] or "") for x in out)
+    at = {(x["conv_id"], x["turn"]): k for k, x in enumerate(out)}
+    for x in out:
+        if x["link"] == "quote":
+            assert at[x["reply_conv"], x["reply_turn"]] < at[x["conv_id"], x["turn"]]
+    # repeated rows stay and stand for one message
+    twice = chat.quotation_links(df.unionByName(df)).select("conv_id", "turn", "reply_conv", "reply_turn", "link")
+    assert twice.count() == 2 * len(rows) and twice.distinct().count() == len(rows)
+
+
 def test_quotations_of_the_tables(spark):
     c = spark.read.parquet(f"{SF}/conversations.parquet")
     assert chat.quotation_links(c).count() == c.count()
@@ -243,10 +268,13 @@ def test_nearest_is_exact(spark):
     rows += [(400, None), (401, [0.0] * 8), (420, [1.0, None] + [0.0] * 6), (440, [float("nan")] + [1.0] * 7), (460, [float("inf")] + [1.0] * 7)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("h", F.lit(0)).withColumn("key", F.lit(0)).repartition(4)
     want = nearest_by_hand(rows, 20, 7)
-    for options in ({}, {"run_rows": 16, "query_block": 5, "width": 4}):
+    for options in ({}, {"curves": 2, "recall": 0.3, "cell_rows": 16}):
         got = {(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, every=20, k=7, **options).collect()}
         assert got == want
     assert ann.nearest(df.filter("vec_id < 0")).count() == 0
+    assert ann.nearest(df.filter("vec_id % 20 = 1")).count() == 0  # no query
+    odd = df.select("vec_id", "embedding").unionByName(spark.createDataFrame([(None, [1.0] * 8), (500, [1.0] * 3)], "vec_id long, embedding array<double>"))
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(odd, every=20, k=7).collect()} == want
 
 
 def test_repeated_rows_take_one_place(spark):
@@ -264,10 +292,20 @@ def test_repeated_rows_take_one_place(spark):
     for i in {i for i, _ in best}:
         want |= {(i, n + 1, j) for n, (_, j) in enumerate(sorted((-s, j) for (a, j), s in best.items() if a == i)[:20])}
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    for options in ({}, {"run_rows": 64, "width": 4, "query_block": 3}):
+    for options in ({}, {"curves": 2, "recall": 0.3, "cell_rows": 32}):
         assert {(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, every=20, k=20, **options).collect()} == want
 
 
+def test_windows_alone_reach_their_recall_in_many_dimensions(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rng.standard_normal((1500, 64)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = nearest_by_hand(rows, 20, 20)
+    got = {(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, exact=False, cell_rows=64).collect()}
+    pairs = {(q, v) for q, _, v in want}
+    assert len({(q, v) for q, _, v in got} & pairs) >= 0.9 * len(pairs)
+
+
 def test_windows_alone_find_neighbours_in_few_dimensions(spark):
     rng = np.random.default_rng(9)
     rows = [(i, [*(v := rng.standard_normal(3)), 0.0]) for i in range(2000)]

@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import re
+from collections import Counter
 
 import brute
 import pytest
@@ -36,7 +38,7 @@ def test_find_pii(docs):
     got = {r["doc_id"]: r for r in pii.find_pii(docs).collect()}
     for i, t in rows(docs):
         base = brute.pii(t or "")
-        own = [s for s in got[i]["spans"].split(",") if s and not s.startswith("term:")]
+        own = [s for s in got[i]["spans"].split(",") if s and not s.startswith(("term:", "secret:"))]
         text = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
         assert ",".join(own) == text
         assert got[i]["base_sha256"] == brute.sha(text)
@@ -61,6 +63,28 @@ def test_sensitive_terms_are_those_that_occur_with_one_entity(spark):
         pii.BLOCK_TERMS = blocks
 
 
+def test_sensitive_terms_match_the_plain_version(spark):
+    """Entities that occur once count by group and kind; many spans, spans within a span, long runs of digits."""
+    r = random.Random(12)
+    words = [f"word{k}" for k in range(30)]
+    texts = []
+    for k in range(120):
+        w = [r.choice(words) for _ in range(25)]
+        if k % 5 == 0:
+            w.insert(r.randrange(20), r.choice([f"ask Zanzibar p{k}.x@corp.example.org now", f"key = {hashlib.sha1(str(k).encode()).hexdigest()}", f"dial +1 (5{k:02d}) 555-{1000 + k}", "4111 1111 1111 1111 visa"]))
+        texts.append(" ".join(w))
+    texts += [texts[0]] * 9 + ["", " ".join(["1.2.3.4"] * 6) + "@a.b rest", "1.2.3.4.1.2.3.4.1.2.3.4name@host.org tail", "9" * 100_000, None]
+    want = brute.sensitive([t or "" for t in texts], 6, 3, 0.9, 0.99)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["term"]: x["removed"] for x in pii.sensitive_terms(docs).collect()}
+    assert got == want and {"zanzibar", "key", "dial"} <= set(got)
+    found = {x["doc_id"]: x for x in pii.find_pii(docs).collect()}
+    for k, t in enumerate(texts):
+        own = {k for _, a, b in pii.entity_spans(t or "") for k in range(a, b)}
+        terms = [m.span() for m in re.finditer(r"[^\W_]{2,}", t or "") if m[0].lower() in want and not own & set(range(*m.span()))]
+        assert [x for x in found[k]["spans"].split(",") if x.startswith("term:")] == [f"term:{a}:{b}" for a, b in terms]
+
+
 def test_quality_counts(docs):
     got = {r["id"]: r for r in quality.features(docs).collect()}
     for i, t in rows(docs):
@@ -153,6 +177,37 @@ def test_the_filter_grows_with_what_goes_in():
     assert len(level) == len(items) and (level >= 1).all() and (level == 1).mean() > 0.9
 
 
+def test_scores_are_those_of_the_quantised_counts(spark, sf_docs):
+    """The model from its definition, with plain counters; a false positive of the filter may lift a text's score a little."""
+    texts = sf_docs.unionByName(sf_docs.select((F.col("doc_id") + 5000).alias("doc_id"), "text", "lang", "source", "n_chars").limit(40))
+    all_rows = [(r["doc_id"], [*brute.words(brute.lower(r["text"])), ""]) for r in texts.collect()]
+    got = lm.score(texts).collect()
+    held = {r["doc_id"]: r["held_out"] for r in got}
+    one, two = Counter(), Counter()
+    for i, ws in all_rows:
+        if not held[i]:
+            one.update(ws)
+            two.update(zip(["", *ws[:-1]], ws, strict=True))
+    n, v = sum(one.values()), len(one)
+    near = lambda c: (3 * 2 ** (c.bit_length() - 1) - 1) / 2 if c else 0.0
+    want = {}
+    for i, ws in all_rows:
+        s = 0.0
+        for h, w in zip(["", *ws[:-1]], ws, strict=True):
+            ch, cw, base = near(one[h]), near(two[h, w]), (near(one[w]) + 1) / (n + v + 1)
+            s += math.log10(0.15 * min(cw, ch) / ch + 0.85 * base) if ch else math.log10(base)
+        want[i] = s
+    off = [abs(r["score"] / want[r["doc_id"]] - 1) for r in got]
+    assert min(off) < 1e-9 and sum(off) / len(off) < 0.01 and max(off) < 0.05, (min(off), sum(off) / len(off), max(off))
+
+
+def test_frequent_words_go_in_by_step(spark, monkeypatch):
+    counts = spark.createDataFrame([(f"w{k}".encode(), 1 + k // 10) for k in range(100)], "word binary, c long")
+    monkeypatch.setattr(lm, "HOT_WORDS", 35)
+    assert set(lm._frequent(counts).values()) == {8, 9, 10}
+    assert lm._frequent(counts.limit(0)) == {}
+
+
 def test_model_beats_the_base_on_held_out_texts(sf_docs):
     r = lm.score(sf_docs).filter("held_out").agg(F.sum("score"), F.sum("base_score")).head()
     assert r[0] > r[1]
