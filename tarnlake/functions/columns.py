@@ -65,6 +65,25 @@ def json_names(x: Column) -> Column:
     return F.coalesce(F.transform(F.filter(names, lambda n: n["name"].isNotNull()), lambda n: n["name"]), F.array().cast("array<string>"))
 
 
+def json_member(x: Column, path: str) -> Column:
+    """The text at a path; null where there is none or the text is no JSON."""
+    return F.get_json_object(x, path)
+
+
+def named_value(x: Column) -> Column:
+    """The name (else title, else value) of a JSON object, the text of a JSON string, other text as it is."""
+    t = F.trim(x)
+    named = F.coalesce(*[F.get_json_object(x, f"$.{k}") for k in ("name", "title", "value")])
+    return F.when(t.startswith("{") & F.get_json_object(x, "$").isNotNull(), named).when(t.startswith('"'), F.coalesce(F.get_json_object(F.concat(F.lit('{"t":'), x, F.lit("}")), "$.t"), x)).otherwise(x)
+
+
+def document_text(x: Column) -> Column:
+    """All texts of a JSON document (type 'doc') joined by blanks; other text as it is."""
+    parts = F.regexp_extract_all(x, F.lit(r'"text"\s*:\s*"((?:[^"\\]|\\.)*)"'), 1)
+    joined = F.array_join(F.transform(parts, lambda s: F.get_json_object(F.concat(F.lit('{"t":"'), s, F.lit('"}')), "$.t")), " ")
+    return F.when(F.get_json_object(x, "$.type") == "doc", joined).otherwise(x)
+
+
 def bucket_start(ts: Column, unit: str, zone: str) -> Column:
     """First local day of the week, month or quarter of an instant."""
     return F.to_date(F.date_trunc(unit, F.from_utc_timestamp(ts, zone)))
@@ -99,13 +118,22 @@ def normal_name(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"\p{P}", " "), r"\s+", " "))
 
 
-def fibonacci_bucket(share: Column) -> Column:
-    """Percent rank to the step 1, 2, 3, 5, 8, 13."""
-    steps = (1, 2, 3, 5, 8, 13)
-    out = F.lit(steps[-1])
-    for k in range(len(steps) - 2, -1, -1):
-        out = F.when(share < (k + 1) / len(steps), F.lit(steps[k])).otherwise(out)
-    return F.when(share.isNotNull(), out)
+#: Upper ends of percent ranks and the steps up to them; fixed values.
+FIBONACCI_STEPS = ((0.15, 1), (0.30, 2), (0.45, 3), (0.60, 5), (0.75, 8), (0.90, 13))
+FIBONACCI_LAST = 20
+
+
+def fibonacci_bucket(share: Column, bump: Column | None = None) -> Column:
+    """Percent rank to its step; null stays null.  Where ``bump`` holds, the step after it (the last stays)."""
+    steps = [*[n for _, n in FIBONACCI_STEPS], FIBONACCI_LAST]
+
+    def of(values: list[int]) -> Column:
+        out = F.lit(values[-1])
+        for (end, _), n in reversed(list(zip(FIBONACCI_STEPS, values, strict=False))):
+            out = F.when(share <= end, F.lit(n)).otherwise(out)
+        return F.when(share.isNotNull(), out)
+
+    return of(steps) if bump is None else F.when(bump, of([*steps[1:], steps[-1]])).otherwise(of(steps))
 
 
 def scaled_sigmoid(p: Column, temperature: Column) -> Column:

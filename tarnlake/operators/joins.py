@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tarnlake.store import written
+
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str], rank: str | None = None) -> DataFrame:
     """Left rows with the right side's values at the latest right_ts <= left_ts.
@@ -69,12 +71,12 @@ def closure(edges: DataFrame, child: str, parent: str, most_depth: int = 20) ->
 
     ``edges``: one row for each node, parent null at roots.  Cycles end at ``most_depth``.
     """
-    node = edges.select(F.col(child).alias("node"), F.col(parent).alias("up")).distinct()
+    node = written(edges.select(F.col(child).alias("node"), F.col(parent).alias("up")).distinct(), "nodes")
     out = level = node.select(F.col("node").alias(child), F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
     step = node.filter("up is not null")
     for d in range(1, most_depth + 1):
         level = level.select(child, F.col("ancestor").alias("node")).join(step, "node").select(child, F.col("up").alias("ancestor"), F.lit(d).alias("depth")).distinct()
-        level = level.checkpoint() if d % 5 == 0 and level.sparkSession.sparkContext.getCheckpointDir() else level
+        level = written(level, "level")
         if level.isEmpty():
             break
         out = out.unionByName(level)

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.plans.adapter import Tables
 from tarnlake.plans.relational import query
+from tarnlake.store import new_path
 from tarnlake.streaming import merge
 
 
 def folder(t: Tables) -> str:
-    """A new folder under the shared ``spark.checkpoint.dir``; a temporary one in local tests."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tarnlake-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder under the shared one."""
+    return new_path(t.spark, "stream")
 
 
 def events(t: Tables) -> DataFrame:
