@@ -196,12 +196,26 @@ def _answers(rows: DataFrame, asked: DataFrame, keys: list[str], dims: int, k: i
 
 
 def _windows(placed: DataFrame, dims: int, every: int, k: int, width: int, cell_rows: int, n: int) -> DataFrame:
-    """Each curve is cut into cells; a query goes to the cells that its window touches."""
+    """Each curve is cut into cells; a query goes to the cells that its window touches.
+
+    Its own cells come first and give it a score to beat in the others, which so return few
+    rows however wide the window is.
+    """
     cell = lambda pos: F.floor(pos / cell_rows)
-    rows = placed.select("curve", cell(F.col("pos")).alias("cell"), "id", "v")
+    at = placed.withColumn("cell", cell(F.col("pos")))
+    rows, queries = at.select("curve", "cell", "id", "v"), at.filter(F.col("id") % every == 0)
+    own = queries.select("curve", "cell", "id", "v", F.lit(float("-inf")).alias("floor"))
+    near = written(_top(_answers(rows, own, ["curve", "cell"], dims, k, cell_rows // every + 1), k).drop("rank"), "near")
     touched = F.sequence(cell(F.greatest(F.col("pos") - width, F.lit(0))), cell(F.least(F.col("pos") + width, F.lit(n - 1))))
-    asked = placed.filter(F.col("id") % every == 0).select("curve", F.explode(touched).alias("cell"), "id", "v", F.lit(float("-inf")).alias("floor"))
-    return _answers(rows, asked, ["curve", "cell"], dims, k, (2 * width + cell_rows) // every + 1)
+    others = queries.join(_floors(near, k), "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    others = others.select("curve", F.explode(F.array_remove(touched, F.col("cell"))).alias("cell"), "id", "v", "floor")
+    return near.unionByName(_answers(rows, others, ["curve", "cell"], dims, k, (2 * width + cell_rows) // every + 1))
+
+
+def _floors(found: DataFrame, k: int) -> DataFrame:
+    """id, floor: the k-th score of each query, minus infinity where it has fewer answers."""
+    kth = F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf")))
+    return found.groupBy(F.col("query_id").alias("id")).agg(kth.alias("floor"))
 
 
 def _rest(placed: DataFrame, merged: DataFrame, dims: int, every: int, k: int, width: int, cell_rows: int, n: int) -> DataFrame:
@@ -209,8 +223,7 @@ def _rest(placed: DataFrame, merged: DataFrame, dims: int, every: int, k: int, w
     ball (centre and radius) can't hold a better score than the k-th found."""
     cells = -(-n // cell_rows)
     first = placed.filter("curve = 0").withColumn("cell", F.floor(F.col("pos") / cell_rows))
-    floor = merged.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    q = first.filter(F.col("id") % every == 0).join(floor, F.col("id") == F.col("query_id"), "left")
+    q = first.filter(F.col("id") % every == 0).join(_floors(merged, k), "id", "left")
     lo, hi = F.floor(F.greatest(F.col("pos") - width, F.lit(0)) / cell_rows), F.floor(F.least(F.col("pos") + width, F.lit(n - 1)) / cell_rows)
     q = q.select("id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), lo.alias("lo"), hi.alias("hi"))
     balls = None
@@ -275,7 +288,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     places = _places(base, dims, curves, n)
     use, width = window_width(base, places, dims, every, k, curves, recall, sample, cell_rows)
     spots = places.filter(F.col("curve") < use).groupBy("id", "h").agg(F.collect_list(F.struct("curve", "pos")).alias("spots"))  # one a curve
-    placed = base.join(spots, ["id", "h"]).select("id", "v", F.explode("spots").alias("s")).select("id", "v", "s.curve", "s.pos")
+    placed = written(base.join(spots, ["id", "h"]), "placed").select("id", "v", F.explode("spots").alias("s")).select("id", "v", "s.curve", "s.pos")
     merged = written(_top(_windows(placed, dims, every, k, width, cell_rows, n), k), "windows")
     if not exact:
         return merged.select("query_id", "rank", "vec_id", "score")
