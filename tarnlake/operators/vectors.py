@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.operators.joins import top_n
+
 
 def project(df: DataFrame, col: str, k: int) -> DataFrame:
     """``df`` with ``projected``: the k first principal components, scaled to unit length."""
@@ -54,3 +56,17 @@ def pool(rows: DataFrame, key: list[str], probability: str, weight: str) -> Data
     logit = F.log(q / (1 - q))
     g = rows.groupBy(*key).agg((F.sum(logit * F.col(weight)) / F.sum(weight)).alias("l"), F.count_if(q > 0.5).alias("yes"), F.count("*").alias("n"))
     return g.select(*key, (1 / (1 + F.exp(-F.col("l")))).alias("pooled"), (F.greatest(F.col("yes"), F.col("n") - F.col("yes")) / F.col("n")).alias("agreement"))
+
+
+def cosine_top_k(rows: DataFrame, id_col: str, vector_col: str, queries: DataFrame, query_id: str, query_vector: str, k: int, most_queries: int = 1000) -> DataFrame:
+    """query_id, id, score, rank of the k nearest rows by cosine of a few queries, the row of its own id apart.
+
+    The queries are broadcast: more than ``most_queries`` are an error.  A zero vector has no cosine.
+    """
+    if queries.limit(most_queries + 1).count() > most_queries:
+        raise ValueError("too many queries for a broadcast")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    x = rows.join(F.broadcast(queries.select(F.col(query_id).alias("__q"), F.col(query_vector).alias("__e"))), F.col(id_col) != F.col("__q"))
+    score = F.try_divide(dot(vector_col, "__e"), F.sqrt(dot(vector_col, vector_col) * dot("__e", "__e")))
+    found = x.select(F.col("__q").alias(query_id), id_col, F.round(score, 6).alias("score")).filter("score is not null")
+    return top_n(found, [query_id], k, F.desc("score"), F.asc(id_col))

@@ -68,10 +68,10 @@ def rolling_week(t: Tables) -> DataFrame:
     return d.select("user_id", "d_day", F.round(F.sum("v").over(w), 6).alias("week_value"))
 
 
-@query("""SELECT lower(left(sha256(coalesce("text", '')), 12)) AS content, min(doc_id) AS record_id, count(*) copies FROM documents GROUP BY 1""")
+@query("""SELECT sha256(coalesce("text", '')) AS content, min(doc_id) AS record_id, count(*) copies FROM documents GROUP BY 1""")
 def representative_by_content(t: Tables) -> DataFrame:
     """The lowest id of each content; copies cost one partial row a task."""
-    h = F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 12)
+    h = F.sha2(F.coalesce("text", F.lit("")), 256)
     return t.raw("documents").groupBy(h.alias("content")).agg(F.min("doc_id").alias("record_id"), F.count("*").alias("copies"))
 
 

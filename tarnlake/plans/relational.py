@@ -9,6 +9,8 @@ from pyspark.sql import Window
 from tarnlake.functions import columns as X
 from tarnlake.operators import aggregates as A
 from tarnlake.operators import joins as J
+from tarnlake.operators import ranks as R
+from tarnlake.operators import vectors as V
 from tarnlake.plans.adapter import CHANGE_SQL, INCIDENT_SQL, ORG_SQL, Tables
 from tarnlake.sources import lake
 
@@ -42,10 +44,12 @@ def latest_version(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {VERSIONS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) k FROM versions)
-SELECT user_id, true AS gone FROM r WHERE k = 1 AND NOT gone AND user_id NOT IN (SELECT s_suppkey FROM supplier)""")
+SELECT user_id, event_id, true AS gone FROM r WHERE k = 1 AND NOT gone AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 8 <> 5)""")
 def reconcile_missing_keys(t: Tables) -> DataFrame:
-    live = lake.latest(_versions(t), key="user_id", deleted="gone", order=("ts", "event_id"))
-    return live.join(t.raw("supplier").select(F.col("s_suppkey").alias("user_id")), "user_id", "left_anti").select("user_id", F.lit(True).alias("gone"))
+    """Live records whose key the source no longer lists, as tombstones."""
+    v = _versions(t).select(F.col("user_id").alias("_source_key"), F.col("user_id").alias("_record_id"), F.col("ts").alias("_source_updated_at"), F.col("ts").alias("_fetched_at"), F.col("event_id").alias("_file"), F.col("gone").alias("_deleted"))
+    keys = t.raw("customer").filter("c_custkey % 8 <> 5").select(F.col("c_custkey").alias("_source_key"))
+    return lake.reconcile(v, keys, most_share=0.5).select(F.col("_source_key").alias("user_id"), F.col("_file").alias("event_id"), F.col("_deleted").alias("gone"))
 
 
 @query("""WITH x AS (SELECT p_type, p_brand, TRY_CAST(substr(p_brand, 7) AS BIGINT) brand_no, TRY_CAST(p_type AS BIGINT) type_no FROM part)
@@ -136,9 +140,10 @@ def either_key_join(t: Tables) -> DataFrame:
     return J.either_key(s, c, [("s_nationkey", "c_nationkey"), ("s_suppkey", "c_custkey")]).select("s_suppkey", "c_custkey", "matched")
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)""")
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 400000)""")
 def anti_join_idle_customers(t: Tables) -> DataFrame:
-    o = t.raw("orders").select(F.col("o_custkey").alias("c_custkey")).filter("c_custkey IS NOT NULL")
+    """Customers without a large order; a null key would make NOT IN hold for nobody, so nulls go first."""
+    o = t.raw("orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")).filter("c_custkey IS NOT NULL")
     return t.raw("customer").join(o, "c_custkey", "left_anti").select("c_custkey")
 
 
@@ -155,9 +160,9 @@ def best_owner(t: Tables) -> DataFrame:
     return t.raw("nation").join(F.broadcast(s), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("n_nationkey", "n_name", F.col("s_suppkey").alias("owner"))
 
 
-@query("""SELECT lower(trim(p_name)) AS p_name, min(p_partkey) p_partkey FROM part WHERE trim(p_name) <> '' GROUP BY 1 HAVING count(DISTINCT p_partkey) = 1""")
+@query("""SELECT lower(trim(p_type || ' ' || p_size)) AS name, min(p_partkey) p_partkey FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) = 1""")
 def unique_names(t: Tables) -> DataFrame:
-    return J.only_owner(t.raw("part"), "p_name", "p_partkey")
+    return J.only_owner(t.raw("part").select(F.concat_ws(" ", "p_type", "p_size").alias("name"), "p_partkey"), "name", "p_partkey")
 
 
 @query("""WITH o AS (SELECT o_custkey, list(DISTINCT o_orderpriority) ps FROM orders GROUP BY 1)
@@ -234,12 +239,13 @@ def repeat_within_30_days(t: Tables) -> DataFrame:
     return t.incident_fact().filter("NOT excluded").select("record_id", "is_repeat")
 
 
-@query("""WITH r AS (SELECT s_suppkey, percent_rank() OVER (ORDER BY s_acctbal) pr FROM supplier)
-SELECT s_suppkey, round(pr, 9) share, CASE WHEN pr < 1/6.0 THEN 1 WHEN pr < 2/6.0 THEN 2 WHEN pr < 3/6.0 THEN 3 WHEN pr < 4/6.0 THEN 5 WHEN pr < 5/6.0 THEN 8 ELSE 13 END AS bucket FROM r""")
+@query("""WITH x AS (SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN round(s_acctbal / 10) END v, s_suppkey % 9 = 0 AS hot FROM supplier), r AS (SELECT *, CASE WHEN v IS NOT NULL THEN percent_rank() OVER (PARTITION BY v IS NULL ORDER BY v) END pr FROM x),
+f AS (SELECT *, CASE WHEN pr IS NULL THEN NULL WHEN pr <= 0.15 THEN 1 WHEN pr <= 0.30 THEN 2 WHEN pr <= 0.45 THEN 3 WHEN pr <= 0.60 THEN 5 WHEN pr <= 0.75 THEN 8 WHEN pr <= 0.90 THEN 13 ELSE 20 END fib FROM r)
+SELECT s_suppkey, round(pr, 9) AS share, fib AS bucket, CASE WHEN NOT hot THEN fib ELSE CASE fib WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 5 WHEN 5 THEN 8 WHEN 8 THEN 13 WHEN 13 THEN 20 WHEN 20 THEN 20 END END AS bumped FROM f""")
 def percent_rank_buckets(t: Tables) -> DataFrame:
-    # over a table of entities (at most some 10**5 rows), never over facts
-    r = t.raw("supplier").withColumn("pr", F.percent_rank().over(Window.orderBy("s_acctbal")))
-    return r.select("s_suppkey", F.round("pr", 9).alias("share"), X.fibonacci_bucket(F.col("pr")).alias("bucket"))
+    v = F.when(F.col("s_acctbal") > 0, F.round(F.col("s_acctbal") / 10))
+    r = R.percent_rank(t.raw("supplier").select("s_suppkey", v.alias("v")), "v", "pr")
+    return r.select("s_suppkey", F.round("pr", 9).alias("share"), X.fibonacci_bucket(F.col("pr")).alias("bucket"), X.fibonacci_bucket(F.col("pr"), F.col("s_suppkey") % 9 == 0).alias("bumped"))
 
 
 @query("""WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS "rank" FROM lineitem)
@@ -303,24 +309,26 @@ def quality_checks(t: Tables) -> DataFrame:
 SELECT round(sum(abs(a) * n) / sum(n), 9) ece FROM (SELECT b, avg(p) - avg(y) a, count(*) n FROM b GROUP BY 1)""")
 def calibration_error(t: Tables) -> DataFrame:
     p = t.raw("events").select("event_id", (F.col("value") / 500).alias("p"), (F.col("value") > 100).cast("int").alias("y"))
-    b = p.withColumn("b", F.ntile(15).over(Window.orderBy("p", "event_id")))
-    g = b.groupBy("b").agg((F.avg("p") - F.avg("y")).alias("a"), F.count("*").alias("n"))
+    g = R.ntile(p, [F.asc("p"), F.asc("event_id")], 15, "b").groupBy("b").agg((F.avg("p") - F.avg("y")).alias("a"), F.count("*").alias("n"))
     return g.agg(F.round(F.sum(F.abs("a") * F.col("n")) / F.sum("n"), 9).alias("ece"))
 
 
-@query("""SELECT label, count(*) size, round(sqrt(sum(m * m)), 9) norm FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) m, count(*) c FROM embeddings, (SELECT unnest(range(1, 65)) i) GROUP BY ALL) JOIN (SELECT label l, count(*) size FROM embeddings GROUP BY 1) ON l = label GROUP BY label""".replace("count(*) size, round", "CAST(max(size) AS BIGINT) AS size, round"))
+@query("""WITH m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) m, count(*) c FROM embeddings, (SELECT unnest(range(1, 65)) i) GROUP BY ALL), n AS (SELECT label, sqrt(sum(m * m)) n, max(c) AS size FROM m GROUP BY 1)
+SELECT label, size, array_to_string(list(CAST(CAST(round(m / n * 1000) AS BIGINT) AS VARCHAR) ORDER BY i), ',') AS centroid FROM m JOIN n USING (label) GROUP BY 1, 2""")
 def centroids(t: Tables) -> DataFrame:
-    e = t.raw("embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
-    m = e.groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"), F.count("*").alias("size"))
-    return m.groupBy("label").agg(F.max("size").alias("size"), F.round(F.sqrt(F.sum(F.col("m") * F.col("m"))), 9).alias("norm"))
+    c = V.centroids(t.raw("embeddings"), "label", "embedding")
+    return c.select("label", "size", F.array_join(F.transform("centroid", lambda x: F.round(x * 1000).cast("bigint").cast("string")), ",").alias("centroid"))
 
 
-@query("""WITH q AS (SELECT embedding e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(e[i] AS DOUBLE))), 6) score FROM embeddings, q WHERE vec_id <> 0 ORDER BY score DESC, vec_id LIMIT 10""")
+_COSINE_SQL = "list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(e[i] AS DOUBLE))) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) * list_sum(list_transform(e, lambda x: CAST(x AS DOUBLE) * x)))"
+
+
+@query(f"""WITH q AS (SELECT vec_id q_id, embedding e FROM embeddings WHERE vec_id IN (0, 7)), r AS (SELECT q_id, vec_id, round({_COSINE_SQL}, 6) score FROM embeddings, q WHERE vec_id <> q_id AND label <> 3)
+SELECT q_id, vec_id, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS "rank" FROM r QUALIFY "rank" <= 10""")
 def cosine_top_k(t: Tables) -> DataFrame:
-    q = t.raw("embeddings").filter("vec_id = 0").select(F.col("embedding").alias("e"))
-    dot = F.aggregate(F.zip_with("embedding", "e", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, v: a + v)
-    x = t.raw("embeddings").filter("vec_id <> 0").crossJoin(F.broadcast(q))  # one query vector
-    return x.select("vec_id", F.round(dot, 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
+    """Nearest by cosine of a few queries among the rows that pass a filter."""
+    q = t.raw("embeddings").filter("vec_id in (0, 7)").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("e"))
+    return V.cosine_top_k(t.raw("embeddings").filter("label <> 3"), "vec_id", "embedding", q, "q_id", "e", 10)
 
 
 @query("""SELECT l.quality, l.toxic, count(*) n FROM labels l JOIN documents d USING (doc_id) GROUP BY 1, 2""")
@@ -376,6 +384,14 @@ def session_windows(t: Tables) -> DataFrame:
     return s.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n")
 
 
-@query("""SELECT count(*) n FROM part""")
+def _cell_sql(name: str, kind: str) -> str:
+    text = {"int": f"CAST({name} AS VARCHAR)", "double": f"printf('%.8e', {name})", "text": f"length({name}) || ':' || {name}"}[kind]
+    return f"coalesce({text}, '-')"
+
+
+_PART_CELLS = " || chr(31) || ".join(_cell_sql(c, k) for c, k in (("p_brand", "text"), ("p_name", "text"), ("p_partkey", "int"), ("p_retailprice", "double"), ("p_size", "int"), ("p_type", "text")))
+
+
+@query(f"""WITH h AS (SELECT sha256({_PART_CELLS}) h FROM part) SELECT count(*) n, sha256(array_to_string([{", ".join(f"CAST(coalesce(sum(CAST(('0x' || substr(h, {1 + 12 * k}, 12)) AS BIGINT)), 0) AS VARCHAR)" for k in range(4))}], ',')) AS rows_sha256 FROM h""")
 def row_set_hash(t: Tables) -> DataFrame:
-    return A.row_set_hash(t.raw("part")).select("n")
+    return A.row_set_hash(t.raw("part"))
