@@ -28,7 +28,7 @@ def filled(raw: Column) -> Column:
 
 
 #: Tables that several others are made from: they are written once.
-REUSED = {"stg_issue", "stg_ci", "stg_group", "core_team", "core_service", "core_service_map", "core_name_lookup", "core_incident", "core_work_item", "core_change", "core_work_item_closure", "core_event"}
+REUSED = {"stg_issue", "stg_ci", "stg_group", "core_team", "core_service", "core_service_map", "core_name_lookup", "core_incident", "core_work_item", "core_change", "core_work_item_closure", "core_event", "fact_incident", "fact_change", "fact_org_closure", "score_attribution", "score_funding", "score_metrics", "score_org", "score_lever", "score_portfolio_input", "score_portfolio"}
 
 
 class Model:
@@ -44,7 +44,7 @@ class Model:
     def enums(self, domain: str) -> DataFrame:
         return rawlake.enum_table(self.t, domain)
 
-    def _kept(self, name: str, build) -> DataFrame:
+    def kept(self, name: str, build) -> DataFrame:
         if name not in self.made:
             df = build()
             if name in REUSED:
@@ -61,10 +61,23 @@ class Model:
                 return staging.link(self.stg("issue"))
             return staging.BUILDERS[name](self.raw, self.enums)
 
-        return self._kept(f"stg_{name}", build)
+        return self.kept(f"stg_{name}", build)
 
     def core(self, name: str) -> DataFrame:
-        return self._kept(f"core_{name}", lambda: CORE[name](self))
+        return self.kept(f"core_{name}", lambda: CORE[name](self))
+
+    def fact(self, name: str) -> DataFrame:
+        from tarnlake.plans.facts import FACTS  # facts are built over this module
+
+        return self.kept(f"fact_{name}", lambda: FACTS[name](self))
+
+    @classmethod
+    def of(cls, t: Tables) -> Model:
+        """The session's model of a folder of tables: what is written stays for later queries of the session."""
+        return _MODELS.setdefault((t.spark.sparkContext.applicationId, t.dir), cls(t))
+
+
+_MODELS: dict[tuple[str, str], Model] = {}
 
 
 # -- organisation -------------------------------------------------------------------

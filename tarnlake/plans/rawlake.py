@@ -207,6 +207,12 @@ RAW: dict[str, str] = {
     "service_ci_class": "SELECT 'cmdb_ci_service' AS ci_class",
     "approved_mapping": "SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'jira_component' WHEN n_nationkey = 5 THEN 'host' ELSE 'team' END AS subject_type, 'servicenow:cmdb_ci:svc' || n_nationkey AS service_id, CASE WHEN n_nationkey % 3 = 0 THEN CAST(NULL AS STRING) ELSE 'servicenow:sys_user_group:g' || n_nationkey END AS team_id, 'P' || (n_nationkey % 6) AS jira_project, CASE WHEN n_nationkey % 4 = 0 THEN 'c' || (n_nationkey % 5) END AS jira_component, 0.5 + n_nationkey * 0.01 AS score FROM @nation",
     "deleted_record": "SELECT 'servicenow:incident:inc' || o_orderkey AS record_id FROM @orders WHERE o_orderkey % 500 = 77",
+    # results of enrichment
+    "cluster_member": "SELECT 'servicenow:incident:inc' || o_orderkey AS record_id, 'c' || (o_custkey % 12) AS cluster_id, CAST(0.25 + (o_orderkey % 8) * 0.1 AS DOUBLE) AS membership_prob FROM @orders WHERE o_orderkey % 5 <> 2 UNION ALL SELECT 'servicenow:incident:inc' || o_orderkey, 'c' || ((o_custkey + 1) % 12), CAST(0.55 AS DOUBLE) FROM @orders WHERE o_orderkey % 5 = 0",
+    "change_link": "SELECT 'servicenow:incident:inc' || l_orderkey AS incident_id, 'servicenow:change_request:chg' || (l_orderkey * 10 + l_linenumber) AS change_id, CAST(0.35 + (l_linenumber % 6) * 0.1 AS DOUBLE) AS score FROM @lineitem WHERE l_returnflag = 'R' AND l_orderkey % 3 = 0",
+    "cluster": "SELECT DISTINCT 'c' || (o_custkey % 12) AS cluster_id, CASE (o_custkey % 12) % 3 WHEN 0 THEN 'disk' WHEN 1 THEN 'network' ELSE 'code' END AS root_cause_category FROM @orders",
+    "cluster_service": "SELECT 'c' || (n_nationkey % 12) AS cluster_id, 'servicenow:cmdb_ci:svc' || n_nationkey AS service_id FROM @nation",
+    "decision": "SELECT 'jira:issue:iss' || o_orderkey AS record_id, 'root_cause' AS question, CASE o_orderkey % 3 WHEN 0 THEN 'disk' WHEN 1 THEN 'network' ELSE 'code' END AS answer, CAST(0.5 + (o_orderkey % 5) * 0.1 AS DOUBLE) AS probability, o_orderdate AS decided_at, 'd0' AS decider FROM @orders WHERE o_orderkey % 4 <> 3 UNION ALL SELECT 'jira:issue:iss' || o_orderkey, 'root_cause', 'code', CAST(0.8 AS DOUBLE), o_orderdate + INTERVAL 1 DAY, 'd1' FROM @orders WHERE o_orderkey % 6 = 1",
 }
 
 #: Enum tables: domain, raw word (lower case), canonical value.
