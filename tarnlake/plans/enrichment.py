@@ -81,7 +81,7 @@ def hash_folds(t: Tables) -> DataFrame:
 
 
 @query("""SELECT p_brand, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) FILTER (WHERE p_size >= 45) AS large, count(*) FILTER (WHERE p_size < 5) small, round(sum(p_retailprice), 2) AS total FROM part GROUP BY 1""")
-def portfolio_input(t: Tables) -> DataFrame:
+def filtered_lists(t: Tables) -> DataFrame:
     """Ordered lists and filtered counts of each candidate group, one aggregation."""
     ids = F.array_sort(F.collect_list(F.when(F.col("p_size") >= 45, F.col("p_partkey"))))
     return t.raw("part").groupBy("p_brand").agg(F.nullif(F.array_join(F.transform(ids, lambda x: x.cast("string")), ","), F.lit("")).alias("large"), F.count_if(F.col("p_size") < 5).alias("small"), F.round(F.sum("p_retailprice"), 2).alias("total"))

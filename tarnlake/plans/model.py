@@ -47,15 +47,15 @@ def staging_cast_statistics(t: Tables) -> DataFrame:
 # -- funding --------------------------------------------------------------------------
 @query(model_sql.with_tables("SELECT candidate_id, kind AS record_kind, record_id, tier, round(w, 9) AS weight, round(share, 9) AS share, round(pain, 3) AS pain, round(q, 9) AS quality FROM fa_shares"))
 def funding_attribution(t: Tables) -> DataFrame:
-    return _shares(Model.of(t)).select(*funding.RECORD, "candidate_id", "tier", F.round("weight", 9).alias("weight"), F.round("share", 9).alias("share"), F.round("pain", 3).alias("pain"), F.round("quality", 9).alias("quality"))
+    return shares_of(Model.of(t)).select(*funding.RECORD, "candidate_id", "tier", F.round("weight", 9).alias("weight"), F.round("share", 9).alias("share"), F.round("pain", 3).alias("pain"), F.round("quality", 9).alias("quality"))
 
 
-def _shares(m: Model) -> DataFrame:
+def shares_of(m: Model) -> DataFrame:
     return m.kept("score_attribution", lambda: funding.attribution(m))
 
 
-def _funding(m: Model) -> DataFrame:
-    return m.kept("score_funding", lambda: funding.score(m, _shares(m)))
+def funding_of(m: Model) -> DataFrame:
+    return m.kept("score_funding", lambda: funding.score(m, shares_of(m)))
 
 
 _NINE = ", ".join(f"round({c}, 6) AS {c}" for c in ("confidence", "priority", "wsjf"))
@@ -64,7 +64,7 @@ _NINE = ", ".join(f"round({c}, 6) AS {c}" for c in ("confidence", "priority", "w
 @query(model_sql.with_tables(f"SELECT candidate_id, candidate_type, title, annual_pain_usd, addressable_pain_usd, expected_reduction, n_incidents, strategic_weight, effort_cost_usd, flags, {_NINE} FROM fs_score"))
 def funding_score(t: Tables) -> DataFrame:
     columns = ["candidate_id", "candidate_type", "title", "annual_pain_usd", "addressable_pain_usd", "expected_reduction", "n_incidents", "strategic_weight", "effort_cost_usd", "flags"]
-    return _funding(Model.of(t)).select(*columns, *[F.round(c, 6).alias(c) for c in ("confidence", "priority", "wsjf")])
+    return funding_of(Model.of(t)).select(*columns, *[F.round(c, 6).alias(c) for c in ("confidence", "priority", "wsjf")])
 
 
 # -- portfolio ------------------------------------------------------------------------
@@ -82,24 +82,24 @@ def portfolio_input(t: Tables) -> DataFrame:
 
 
 def _portfolio_input(m: Model) -> DataFrame:
-    return m.kept("score_portfolio_input", lambda: portfolio.portfolio_input(m, _funding(m)))
+    return m.kept("score_portfolio_input", lambda: portfolio.portfolio_input(m, funding_of(m)))
 
 
-def _portfolio(m: Model) -> DataFrame:
+def portfolio_of(m: Model) -> DataFrame:
     limits = portfolio.Limits(budget=60_000.0, capacity={}, default_capacity=25.0, quarters=2)
     return m.kept("score_portfolio", lambda: portfolio.scenario(_portfolio_input(m), "base", limits))
 
 
-QUERIES["portfolio"] = lambda spark, sf_dir: _portfolio(Model.of(Tables(spark, sf_dir)))
+QUERIES["portfolio"] = lambda spark, sf_dir: portfolio_of(Model.of(Tables(spark, sf_dir)))
 
 
 # -- teams and organisations ----------------------------------------------------------
-def _metrics(m: Model) -> DataFrame:
+def metrics_of(m: Model) -> DataFrame:
     return m.kept("score_metrics", lambda: orgscore.metric_values(m))
 
 
-def _orgs(m: Model) -> DataFrame:
-    return m.kept("score_org", lambda: orgscore.org_score(m, _metrics(m)))
+def orgs_of(m: Model) -> DataFrame:
+    return m.kept("score_org", lambda: orgscore.org_score(m, metrics_of(m)))
 
 
 def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
@@ -108,7 +108,7 @@ def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 @query(model_sql.with_tables("SELECT * REPLACE (round(\"value\", 6) AS \"value\", round(numerator, 6) AS numerator) FROM os_values"))
 def metric_values(t: Tables) -> DataFrame:
-    return _rounded(_metrics(Model.of(t)), "value", "numerator")
+    return _rounded(metrics_of(Model.of(t)), "value", "numerator")
 
 
 _OS = ("value", "peer_median", "z_score", "trend_slope", "composite")
@@ -116,13 +116,20 @@ _OS = ("value", "peer_median", "z_score", "trend_slope", "composite")
 
 @query(model_sql.with_tables("SELECT * REPLACE (" + ", ".join(f'round("{c}", 6) AS "{c}"' for c in _OS) + ") FROM os_score"))
 def org_score(t: Tables) -> DataFrame:
-    return _rounded(_orgs(Model.of(t)), *_OS)
+    return _rounded(orgs_of(Model.of(t)), *_OS)
+
+
+def levers_of(m: Model) -> DataFrame:
+    return m.kept("score_lever", lambda: orgscore.levers(m, orgs_of(m)))
+
+
+def causes_of(m: Model) -> DataFrame:
+    return facts.causes(m)
 
 
 @query(model_sql.with_tables("SELECT entity_type, entity_id, metric, target_kind, round(current_value, 6) AS current_value, round(target_value, 6) AS target_value, round(delta_usd, 0) AS delta_usd FROM os_lever"))
 def levers(t: Tables) -> DataFrame:
-    m = Model.of(t)
-    x = m.kept("score_lever", lambda: orgscore.levers(m, _orgs(m))).drop("template_params")
+    x = levers_of(Model.of(t)).drop("template_params")
     return _rounded(x, "current_value", "target_value").withColumn("delta_usd", F.round("delta_usd", 0))
 
 
@@ -158,7 +165,11 @@ def _check_sql() -> str:
 
 @query(_check_sql())
 def quality_checks(t: Tables) -> DataFrame:
-    return checks.build_checks(Model.of(t), _PREVIOUS, _STARTED).withColumn("value", F.round("value", 9))
+    return build_checks_of(Model.of(t)).withColumn("value", F.round("value", 9))
+
+
+def build_checks_of(m: Model) -> DataFrame:
+    return checks.build_checks(m, _PREVIOUS, _STARTED)
 
 
 _NAMES = "fact_duration_negative:incident fact_duration_negative:change fact_duration_negative:work_item metric_ratio_range metric_pct_range metric_negative metric_count_integral share_sum share_range pain_total confidence_range funding_rank_unique org_z_finite portfolio_budget portfolio_parent_child portfolio_blockers".split()
@@ -168,4 +179,4 @@ _NAMES = "fact_duration_negative:incident fact_duration_negative:change fact_dur
 def invariants(t: Tables) -> DataFrame:
     m = Model.of(t)
     usd = funding.record_costs(m).select(*funding.RECORD, "usd")
-    return checks.invariants(m, _shares(m), _funding(m), _metrics(m), _orgs(m), _portfolio(m), usd, ("incident_count",))
+    return checks.invariants(m, shares_of(m), funding_of(m), metrics_of(m), orgs_of(m), portfolio_of(m), usd, ("incident_count",))

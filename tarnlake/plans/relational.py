@@ -293,18 +293,6 @@ def duplicate_keys(t: Tables) -> DataFrame:
     return one("customer", "c_custkey").unionByName(one("lineitem", "l_orderkey", "l_linenumber")).unionByName(one("documents", "text"))
 
 
-@query(f"""WITH {INCIDENT_SQL} SELECT 'resolved_before_opened' AS check_name, CAST(count(*) FILTER (WHERE resolved_at < opened_at) AS DOUBLE) AS "value", 0.0::DOUBLE threshold, count(*) FILTER (WHERE resolved_at < opened_at) = 0 passed FROM incident
-UNION ALL SELECT 'incident_service_null', CAST(count(*) FILTER (WHERE service_id IS NULL) AS DOUBLE) / count(*), 0.05, CAST(count(*) FILTER (WHERE service_id IS NULL) AS DOUBLE) / count(*) <= 0.05 FROM incident
-UNION ALL SELECT 'future_timestamp', CAST(count(*) FILTER (WHERE opened_at > TIMESTAMP '2001-01-01') AS DOUBLE), 0.0, count(*) FILTER (WHERE opened_at > TIMESTAMP '2001-01-01') = 0 FROM incident""")
-def quality_checks(t: Tables) -> DataFrame:
-    i = t.incident()
-    n = lambda c: F.count_if(c).cast("double")
-    checks = [("resolved_before_opened", n(F.col("resolved_at") < F.col("opened_at")), 0.0), ("incident_service_null", n(F.col("service_id").isNull()) / F.count("*"), 0.05), ("future_timestamp", n(F.col("opened_at") > F.lit("2001-01-01").cast("timestamp")), 0.0)]
-    # one pass over the facts for all checks
-    one = i.agg(F.array(*[F.struct(F.lit(name).alias("check_name"), v.alias("value"), F.lit(th).alias("threshold")) for name, v, th in checks]).alias("c"))
-    return one.select(F.explode("c").alias("c")).select("c.*").withColumn("passed", F.col("value") <= F.col("threshold"))
-
-
 @query("""WITH p AS (SELECT event_id, "value" / 500 p, CAST("value" > 100 AS INTEGER) y FROM events), b AS (SELECT p, y, ntile(15) OVER (ORDER BY p, event_id) b FROM p)
 SELECT round(sum(abs(a) * n) / sum(n), 9) ece FROM (SELECT b, avg(p) - avg(y) a, count(*) n FROM b GROUP BY 1)""")
 def calibration_error(t: Tables) -> DataFrame:

@@ -1,21 +1,16 @@
-"""Snapshots, scorecards, peers, levers, attribution and the portfolio."""
+"""Snapshots of work, outcome statistics, decisions and clusters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from tarnlake.functions import columns as X
-from tarnlake.operators import aggregates as A
 from tarnlake.operators import joins as J
 from tarnlake.plans.adapter import FACTS_SQL, INCIDENT_SQL, Tables, item_fact
-from tarnlake.plans.relational import QUERIES, query
+from tarnlake.plans.relational import query
 
 AS_OF = "2001-12-01"
-TIER_WEIGHTS = {1: 0.8, 2: 0.6, 3: 0.3}
-MIN_PEERS = 5
 
 
 # -- snapshots: an item is repeated for the month starts it spans, never crossed with all --
@@ -60,147 +55,6 @@ def m26_epic_predictability(t: Tables) -> DataFrame:
     return t.incident_fact().filter("NOT excluded").groupBy(F.col("cluster_id").alias("epic")).agg(F.sum(pts).alias("committed"), done.alias("done"), F.round(F.try_divide(done.cast("double"), F.sum(pts)), 9).alias("ratio"))
 
 
-# -- scorecard ----------------------------------------------------------------
-SCORECARD = {"mttr": 0.5, "reopen": 0.3, "repeat": 0.2}
-CARD_SQL = f"""{INCIDENT_SQL},
-wide AS (SELECT team_id, avg(resolve_h) mttr, avg(CAST(reopens > 0 AS INTEGER)) reopen, avg(CAST(is_repeat AS INTEGER)) AS "repeat", count(*) n, sum(cost_usd) usd FROM incident_fact WHERE NOT excluded GROUP BY 1),
-card AS (SELECT team_id, 'mttr' AS metric, mttr AS "value", 0.5 w, n FROM wide UNION ALL SELECT team_id, 'reopen', reopen, 0.3, n FROM wide UNION ALL SELECT team_id, 'repeat', "repeat", 0.2, n FROM wide),
-med AS (SELECT metric, median("value") median FROM card GROUP BY 1), dev AS (SELECT card.*, median, abs("value" - median) d FROM card JOIN med USING (metric)),
-scale AS (SELECT metric, median(d) mad, avg(d) mean_dev FROM dev GROUP BY 1),
-z AS (SELECT dev.*, greatest(-5.0, least(5.0, CASE WHEN mad > 0 THEN ("value" - median) / (1.4826 * mad) WHEN mean_dev > 0 THEN ("value" - median) / (1.2533 * mean_dev) ELSE 0 END)) z FROM dev JOIN scale USING (metric))"""
-
-
-def scorecard(t: Tables) -> DataFrame:
-    """team_id, metric, value, weight, n, median, z: badness of each figure among peers."""
-    rate = lambda c: F.avg(F.expr(c).cast("int"))
-    wide = t.incident_fact().filter("NOT excluded").groupBy("team_id").agg(F.avg("resolve_h").alias("mttr"), rate("reopens > 0").alias("reopen"), rate("is_repeat").alias("repeat"), F.count("*").alias("n"))
-    long = wide.select("team_id", "n", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.lit(w).alias("weight")) for m, w in SCORECARD.items()])).alias("c")).select("team_id", "n", "c.*")
-    return A.robust_scale(long, ["metric"], "value").withColumn("z", X.clip(F.col("z"), -5, 5))
-
-
-@query(f"""WITH {CARD_SQL}, c AS (SELECT team_id, sum(w * z) FILTER (WHERE "value" IS NOT NULL) / nullif(sum(w) FILTER (WHERE "value" IS NOT NULL), 0) composite, sum(w) FILTER (WHERE "value" IS NOT NULL) cover FROM z GROUP BY 1),
-s AS (SELECT team_id, round(CASE WHEN cover >= 0.5 THEN composite END, 6) composite FROM c)
-SELECT team_id, composite, row_number() OVER (ORDER BY composite DESC NULLS LAST, team_id) AS "rank" FROM s""")
-def org_score(t: Tables) -> DataFrame:
-    w = F.when(F.col("value").isNotNull(), F.col("weight"))
-    c = scorecard(t).groupBy("team_id").agg(F.round(F.when(F.sum(w) >= 0.5, F.sum(w * F.col("z")) / F.sum(w)), 6).alias("composite"))
-    # a ranking of teams, not of facts
-    return c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("composite"), "team_id")))
-
-
-@query(f"""WITH {CARD_SQL} SELECT team_id, metric, round("value", 6) AS current_value, round(median, 6) target_value, round(("value" - median) * n * CASE metric WHEN 'mttr' THEN 40.0 ELSE 250.0 END, 2) delta_usd FROM z WHERE "value" > median""")
-def levers(t: Tables) -> DataFrame:
-    usd = F.when(F.col("metric") == "mttr", F.lit(40.0)).otherwise(250.0)
-    return scorecard(t).filter("value > median").select("team_id", "metric", F.round("value", 6).alias("current_value"), F.round("median", 6).alias("target_value"), F.round((F.col("value") - F.col("median")) * F.col("n") * usd, 2).alias("delta_usd"))
-
-
-@query(f"""WITH b AS (SELECT s_suppkey, s_nationkey, CAST(floor(s_acctbal / 2500) AS BIGINT) bucket FROM supplier), n AS (SELECT bucket, s_nationkey, count(*) k FROM b GROUP BY 1, 2), a AS (SELECT bucket, count(*) k FROM b GROUP BY 1)
-SELECT s_suppkey, CASE WHEN n.k >= {MIN_PEERS} THEN 'nation' WHEN a.k >= {MIN_PEERS} THEN 'bucket' ELSE 'all' END AS peer_key, CASE WHEN n.k >= {MIN_PEERS} THEN n.k WHEN a.k >= {MIN_PEERS} THEN a.k ELSE (SELECT count(*) FROM b) END peers
-FROM b JOIN n USING (bucket, s_nationkey) JOIN a USING (bucket)""")
-def peer_groups(t: Tables) -> DataFrame:
-    b = t.raw("supplier").select("s_suppkey", "s_nationkey", F.floor(F.col("s_acctbal") / 2500).alias("bucket"))
-    n = b.groupBy("bucket", "s_nationkey").agg(F.count("*").alias("near"))
-    a = n.groupBy("bucket").agg(F.sum("near").alias("wide"))
-    total = b.count()
-    near, wide = F.col("near") >= MIN_PEERS, F.col("wide") >= MIN_PEERS
-    return b.join(n, ["bucket", "s_nationkey"]).join(a, "bucket").select("s_suppkey", F.when(near, "nation").when(wide, "bucket").otherwise("all").alias("peer_key"), F.when(near, F.col("near")).when(wide, F.col("wide")).otherwise(F.lit(total)).alias("peers"))
-
-
-# -- attribution --------------------------------------------------------------
-PATHS_SQL = f"""{INCIDENT_SQL}, cand AS (SELECT p_partkey candidate_id, p_partkey % 25 cluster_id, p_partkey % 25 service_id FROM part WHERE p_size >= 49),
-paths AS (SELECT i.record_id, l_partkey candidate_id, 1 tier, 0.8 w FROM incident_fact i JOIN lineitem ON l_orderkey = i.record_id JOIN part ON p_partkey = l_partkey AND p_size >= 49 WHERE NOT excluded
-  UNION ALL SELECT record_id, candidate_id, 2, 0.6 FROM incident_fact i JOIN cand c ON c.cluster_id = i.cluster_id WHERE NOT excluded
-  UNION ALL SELECT record_id, candidate_id, 3, 0.3 FROM incident_fact i JOIN cand c ON c.service_id = i.service_id WHERE NOT excluded),
-best AS (SELECT record_id, candidate_id, min(tier) tier, arg_min(w, tier) w FROM paths GROUP BY 1, 2), kept AS (SELECT *, min(tier) OVER (PARTITION BY record_id) least FROM best),
-shares AS (SELECT record_id, candidate_id, tier, w / sum(w) OVER (PARTITION BY record_id) share FROM kept WHERE tier = least)"""
-
-
-def attribution(t: Tables) -> DataFrame:
-    """record_id, candidate_id, tier, share: each record's cost over its best candidates.
-
-    Of several paths between a pair the lowest tier holds; only a record's lowest tier
-    stays; shares are in proportion to the paths' weights.  Partial aggregates come
-    before every shuffle by record.
-    """
-    inc = t.incident_fact().filter("NOT excluded").select("record_id", "cluster_id", "service_id")
-    part = t.raw("part").filter("p_size >= 49").select(F.col("p_partkey").alias("candidate_id"))
-    cand = part.withColumn("cluster_id", F.col("candidate_id") % 25).withColumn("service_id", F.col("cluster_id"))
-    lines = t.raw("lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_partkey").alias("candidate_id"))
-    tier = lambda df, n: df.select("record_id", "candidate_id", F.lit(n).alias("tier"))
-    direct = tier(lines.join(part, "candidate_id", "left_semi").join(inc, "record_id", "left_semi"), 1)
-    paths = direct.unionByName(tier(inc.join(cand.drop("service_id"), "cluster_id"), 2)).unionByName(tier(inc.join(cand.drop("cluster_id"), "service_id"), 3))
-    best = paths.groupBy("record_id", "candidate_id").agg(F.min("tier").alias("tier"))
-    least = best.groupBy("record_id").agg(F.min("tier").alias("least"))
-    kept = best.join(least, "record_id").filter("tier = least").withColumn("w", X.lookup(F.col("tier"), TIER_WEIGHTS, 0.0))
-    total = kept.groupBy("record_id").agg(F.sum("w").alias("total"))
-    return kept.join(total, "record_id").select("record_id", "candidate_id", "tier", (F.col("w") / F.col("total")).alias("share"))
-
-
-@query(f"""WITH {PATHS_SQL} SELECT record_id, candidate_id, tier, round(share, 9) share FROM shares""")
-def funding_attribution(t: Tables) -> DataFrame:
-    return attribution(t).select("record_id", "candidate_id", "tier", F.round("share", 9).alias("share"))
-
-
-@query(f"""WITH {PATHS_SQL}, f AS (SELECT candidate_id, count(*) n, round(sum(share * CAST(cost_usd AS DOUBLE)), 2) pain FROM shares JOIN incident_fact USING (record_id) GROUP BY 1),
-g AS (SELECT *, p_retailprice * 50 effort, greatest(0.05, least(1.0, 0.9 * least(1.0, sqrt(n / 30.0)))) confidence FROM f JOIN part ON p_partkey = candidate_id)
-SELECT candidate_id, n, pain, round(confidence, 9) confidence, round(pain * confidence / effort, 6) priority, row_number() OVER (ORDER BY round(pain * confidence / effort, 6) DESC, candidate_id) AS "rank" FROM g""")
-def funding_score(t: Tables) -> DataFrame:
-    cost = t.incident_fact().select("record_id", F.col("cost_usd").cast("double").alias("usd"))
-    f = attribution(t).join(cost, "record_id").groupBy("candidate_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("share") * F.col("usd")), 2).alias("pain"))
-    g = f.join(t.raw("part"), F.col("p_partkey") == F.col("candidate_id"))
-    confidence = X.clip(0.9 * F.least(F.lit(1.0), F.sqrt(F.col("n") / 30.0)), 0.05, 1.0)
-    priority = F.round(F.col("pain") * confidence / (F.col("p_retailprice") * 50), 6)
-    out = g.select("candidate_id", "n", "pain", F.round(confidence, 9).alias("confidence"), priority.alias("priority"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("priority"), "candidate_id")))
-
-
-@query(f"""WITH {PATHS_SQL}, s AS (SELECT record_id, sum(share) s FROM shares GROUP BY 1) SELECT 'share_sum' AS check_name, count(*) FILTER (WHERE abs(s - 1) > 1e-6) n_bad, count(*) n FROM s
-UNION ALL SELECT 'share_range', count(*) FILTER (WHERE share <= 0 OR share > 1), count(*) FROM shares""")
-def invariants(t: Tables) -> DataFrame:
-    a = attribution(t)
-    sums = a.groupBy("record_id").agg(F.sum("share").alias("s"))
-    return sums.agg(F.lit("share_sum").alias("check_name"), F.count_if(F.abs(F.col("s") - 1) > 1e-6).alias("n_bad"), F.count("*").alias("n")).unionByName(a.agg(F.lit("share_range").alias("check_name"), F.count_if((F.col("share") <= 0) | (F.col("share") > 1)).alias("n_bad"), F.count("*").alias("n")))
-
-
-def best_portfolio(items: list[tuple[int, float, float]], budget: float, blockers: dict[int, set[int]] | None = None) -> tuple[int, list[int]]:
-    """Largest total impact within the budget; (id, impact, effort); blockers must be chosen too.
-
-    Branch and bound with the fractional bound, over a bounded list of candidates.
-    """
-    blockers = blockers or {}
-    order = sorted(((i, int(v), -int(-e // 1)) for i, v, e in items if e and e > 0 and v > 0), key=lambda x: (-x[1] / x[2], x[0]))
-    best, chosen = 0, []
-    stack = [(0, 0, int(budget), ())]
-    while stack:
-        k, value, left, own = stack.pop()
-        if value > best and all(blockers.get(i, set()) <= set(own) for i in own):
-            best, chosen = value, sorted(own)
-        bound, room = float(value), left
-        for _, v, e in order[k:]:
-            if e > room:
-                bound += v * room / e
-                break
-            bound, room = bound + v, room - e
-        if k < len(order) and bound > best:
-            i, v, e = order[k]
-            stack.append((k + 1, value, left, own))
-            if e <= left:
-                stack.append((k + 1, value + v, left - e, (*own, i)))
-    return best, chosen
-
-
-def portfolio(t: Tables, budget: float = 500_000.0, most: int = 40) -> DataFrame:
-    """The ``most`` best candidates (a report) and which of them the budget takes."""
-    top = funding_score(t).filter(F.col("rank") <= most).join(t.raw("part").select(F.col("p_partkey").alias("candidate_id"), (F.col("p_retailprice") * 50).alias("effort")), "candidate_id")
-    rows = [(r["candidate_id"], r["pain"], r["effort"], r["rank"]) for r in top.orderBy("rank").collect()]
-    _, chosen = best_portfolio([r[:3] for r in rows], budget)
-    schema = T.StructType([T.StructField("candidate_id", T.LongType()), T.StructField("pain", T.DoubleType()), T.StructField("effort", T.DoubleType()), T.StructField("rank", T.IntegerType()), T.StructField("selected", T.BooleanType())])
-    return t.spark.createDataFrame([(*r, r[0] in set(chosen)) for r in rows], schema)
-
-
-QUERIES["portfolio"] = lambda spark, sf_dir: portfolio(Tables(spark, sf_dir))
-
-
 @query("""WITH d AS (SELECT event_type, "value" v, ts >= TIMESTAMP '2024-01-16' AS late, user_id % 2 = 0 treated FROM events), g AS (SELECT event_type, treated, avg(v) FILTER (WHERE late) - avg(v) FILTER (WHERE NOT late) diff FROM d GROUP BY 1, 2)
 SELECT event_type, round(max(diff) FILTER (WHERE treated) - max(diff) FILTER (WHERE NOT treated), 6) did FROM g GROUP BY 1""")
 def difference_in_differences(t: Tables) -> DataFrame:

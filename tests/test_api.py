@@ -21,6 +21,13 @@ def test_named_queries(spark, name):
     assert named.run(spark, SF, name, cap=3).count() <= 3
 
 
+def test_named_rows(spark):
+    assert [r["order_rank"] for r in named.run(spark, SF, "portfolio.rows", cap=3).collect()] == [1, 2, 3]
+    best = named.run(spark, SF, "funding.ranking_by_priority", candidate_type="cluster_fix").head()
+    assert named.run(spark, SF, "funding.attribution", candidate=best["candidate_id"]).count() > 0
+    assert named.run(spark, SF, "clusters.members", cluster="c3").count() > 0
+
+
 def test_named_parameters(spark):
     assert named.run(spark, SF, "incidents.by_state", since="2100-01-01").count() == 0
     with pytest.raises(ValueError):
