@@ -142,6 +142,13 @@ def scaled_sigmoid(p: Column, temperature: Column) -> Column:
     return 1 / (1 + F.exp(-F.log(q / (1 - q)) / temperature))
 
 
+def softmax_of(shares: Column, key: Column, temperature: Column) -> Column:
+    """The share of ``key`` in a map of shares after temperature scaling; a missing key counts as zero."""
+    scaled = lambda x: F.exp(F.log(x + 1e-9) / temperature)
+    total = F.aggregate(F.map_values(shares), F.lit(0.0), lambda a, x: a + scaled(x))
+    return scaled(F.coalesce(F.element_at(shares, key), F.lit(0.0))) / total
+
+
 def flags(*named: tuple[str, Column]) -> Column:
     """Sorted, distinct names of the conditions that hold, joined by commas."""
     held = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in named]), lambda x: x.isNotNull())
