@@ -58,6 +58,14 @@ def pool(rows: DataFrame, key: list[str], probability: str, weight: str) -> Data
     return g.select(*key, (1 / (1 + F.exp(-F.col("l")))).alias("pooled"), (F.greatest(F.col("yes"), F.col("n") - F.col("yes")) / F.col("n")).alias("agreement"))
 
 
+def cosine_pairs(rows: DataFrame, id_col: str, vector_col: str, few: DataFrame, few_id: str, few_vector: str, keep: list[str] | None = None) -> DataFrame:
+    """id, few_id, similarity of every row with each of a few vectors, which are broadcast: bound their number before."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    x = rows.select(id_col, *(keep or []), F.col(vector_col).alias("__v")).join(F.broadcast(few.select(few_id, F.col(few_vector).alias("__e"))), F.lit(True))
+    score = F.try_divide(dot("__v", "__e"), F.sqrt(dot("__v", "__v") * dot("__e", "__e")))
+    return x.select(id_col, *(keep or []), few_id, F.round(score, 6).alias("similarity"))
+
+
 def cosine_top_k(rows: DataFrame, id_col: str, vector_col: str, queries: DataFrame, query_id: str, query_vector: str, k: int, most_queries: int = 1000) -> DataFrame:
     """query_id, id, score, rank of the k nearest rows by cosine of a few queries, the row of its own id apart.
 
