@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tokenizer_file
+from .common import keep_only, per_worker, tokenizer_file
 
 #: The pre-tokenizer's pattern for byte-level BPE of this kind; a fixed value.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -146,7 +145,7 @@ class TreeCodec:
         return b"".join([of[i] for i in ids if 0 <= i < len(of)]).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@per_worker
 def codec(path: str) -> TreeCodec:
     return TreeCodec(path)
 
@@ -214,6 +213,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
 
     def of(column):
+        keep_only(codec)
         c = codec(path)
         name = c.decimal
         for part in small_batches(v.as_py() for v in column):

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,23 @@ def unpacked(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+_CACHES: list = []
+
+
+def per_worker(make):
+    """Decorator: what ``make`` returns is kept in a worker for its next tasks."""
+    kept = lru_cache(maxsize=2)(make)
+    _CACHES.append(kept)
+    return kept
+
+
+def keep_only(kept) -> None:
+    """Workers go on from one operator to the next: an operator drops what the others have kept."""
+    for c in _CACHES:
+        if c is not kept:
+            c.cache_clear()
+
+
 def tokenizer_file(name: str) -> str:
     """Place of a public tokenizer file; a name with a slash is a path already."""
     if "/" in name:

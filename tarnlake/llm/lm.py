@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import small_batches
-from .common import packed, unpacked, written
+from .common import packed, per_worker, unpacked, written
 
 END = b""  # no word is empty, so the empty word stands for a document's end
 #: Of a filter held as a whole: 2**LOG_BITS bits in 2**LOG_SEGMENTS parts.  There are as many ranges as parts at least.
@@ -80,7 +79,7 @@ class WordHashes:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-@lru_cache(maxsize=1)
+@per_worker
 def hashes() -> WordHashes:
     return WordHashes()
 

@@ -25,7 +25,6 @@ The hashes have 64 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, packed, unpacked, written
+from .common import attach, keep_only, packed, per_worker, unpacked, written
 from .components import components
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -45,7 +44,7 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 class Shingler:
     """Sets of n-gram hashes; the hash of a word is made once per worker."""
 
-    def __init__(self, n: int, cache_words: int = 500_000):
+    def __init__(self, n: int, cache_words: int = 300_000):
         self.n, self.cache_words = n, cache_words
         self.words: dict[bytes, int] = {}
 
@@ -76,7 +75,7 @@ class Shingler:
             yield s[np.r_[True, s[1:] != s[:-1]]]
 
 
-@lru_cache(maxsize=4)
+@per_worker
 def shingler(n: int) -> Shingler:
     return Shingler(n)
 
@@ -97,6 +96,7 @@ def set_classes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFram
     schema = T.StructType([T.StructField("id", src.schema["id"].dataType), *[T.StructField(x, T.LongType()) for x in ("rid", "n_shingles", "sig")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(shingler)
         for b in batches:
             got = [(len(s), _sig(s)) for part in _chunks(b.column("text")) for s in shingler(n).sets(part)]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rid"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=schema.names)
@@ -134,6 +134,8 @@ def _by_bucket(tok: np.ndarray, sig: np.ndarray, size: np.ndarray, bits: int) ->
         yield int(bucket[a]), sig[firsts[i:j]].tobytes(), size[firsts[i:j]].tobytes(), runs[i:j].tobytes(), packed(tok[a:b])
 
 
+#: Hashes of a stretch of input: some 100 bytes each while it is dealt.
+STRETCH_HASHES = 2_000_000
 #: Rows that tasks send to a range: hashes of one set each, hashes that several sets have, pairs on their way to a bucket.
 SINGLE, SEVERAL, PAIRS = 0, 1, 2
 DEALT = "range long, kind int, idx binary, tok binary, sigs binary, sizes binary, runs binary"
@@ -175,6 +177,7 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str, n: int, bits: int, hot:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["range", "kind", "idx", "tok", "sigs", "sizes", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(shingler)
         hot_sigs, speakers = shared.value
         seen: set[int] = set()
         held, count = [], 0
@@ -193,7 +196,7 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str, n: int, bits: int, hot:
                         seen.add(g)
                     held.append((g, s))
                     count += len(s)
-                    if count > 4_000_000:
+                    if count > STRETCH_HASHES:
                         yield emit(held)
                         held, count = [], 0
         if held:

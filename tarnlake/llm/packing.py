@@ -16,7 +16,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet, small_batches
-from .common import tokenizer_file, written
+from .common import keep_only, per_worker, tokenizer_file, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -99,7 +98,7 @@ class WordCodec:
             yield b"".join(map(of, t.replace("\n", " ").split(" ")))
 
 
-@lru_cache(maxsize=2)
+@per_worker
 def word_codec(path: str) -> WordCodec:
     return WordCodec(path)
 
@@ -115,6 +114,7 @@ def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(word_codec)
         for b in batches:
             ids, rows = b.column("id").to_pylist(), []
             texts = (v.as_py() for v in b.column("text"))

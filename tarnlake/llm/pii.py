@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, written
+from .common import attach, keep_only, written
 
 KINDS = ("email", "ip", "card", "phone")
 MORE = ("secret", "term")
@@ -39,7 +39,7 @@ PLACEHOLDER = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PH
 #: Terms held in a worker at once, of LONGEST_TERM characters at most; more are joined.
 BLOCK_TERMS, LONGEST_TERM = 100_000, 100
 #: Pairs of term and text that a worker holds before it passes them on.
-HELD_PAIRS = 500_000
+HELD_PAIRS = 100_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -179,6 +179,7 @@ def sensitive_terms(docs: DataFrame, text_col: str = "text", width: int = 6, min
     schema = "entity long, terms array<string>, context long, doc long"
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(None)
         for b in batches:
             rows = [(e, t, c, _hash(text)) for text in b.column(0).to_pylist() for e, t, c in contexts(text, width)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int64()))], names=["entity", "terms", "context", "doc"])
