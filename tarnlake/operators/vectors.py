@@ -36,18 +36,76 @@ def centroids(df: DataFrame, group: str, col: str) -> DataFrame:
     return g.select(group, F.transform("c", lambda x: F.try_divide(x, norm)).alias("centroid"), "size")
 
 
-def match_clusters(old: dict, new: dict, least: float = 0.8) -> dict:
-    """New cluster id to the old one it continues: best cosine pairs first, each id once.
+def best_assignment(gain: np.ndarray) -> list[int]:
+    """Column of each row so that the sum of gains is largest (rows <= columns), by augmenting paths over potentials."""
+    n, m = gain.shape
+    cost = -gain.astype(float)
+    u, v = np.zeros(n), np.zeros(m)
+    row_of = np.full(m, -1)
+    for i in range(n):
+        reach, via, closed = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        row, at = i, -1
+        while True:
+            slack = cost[row] - u[row] - v + (0 if at < 0 else reach[at])
+            better = ~closed & (slack < reach)
+            reach[better], via[better] = slack[better], at
+            at = int(np.where(closed, np.inf, reach).argmin())
+            closed[at] = True
+            if row_of[at] < 0:
+                break
+            row = int(row_of[at])
+        done = closed.copy()
+        done[at] = False
+        u[i] += reach[at]
+        for j in np.flatnonzero(done):
+            u[row_of[j]] += reach[at] - reach[j]
+            v[j] -= reach[at] - reach[j]
+        while at >= 0:
+            before = int(via[at])
+            row_of[at] = i if before < 0 else row_of[before]
+            at = before
+    out = [-1] * n
+    for j, i in enumerate(row_of):
+        if i >= 0:
+            out[int(i)] = j
+    return out
+
+
+def match_clusters(old: dict, new: dict, least: float = 0.8, retired_days: dict | None = None, most_days: int = 90) -> dict:
+    """New cluster id to the old one it continues: the pairing of largest total cosine, each id once, none under ``least``.
 
+    Old ids with an entry in ``retired_days`` come back only within ``most_days``.
     Centroids are one row a cluster.
     """
-    pairs = sorted(((float(np.dot(o, n)), str(a), str(b), a, b) for a, o in old.items() for b, n in new.items()), key=lambda p: (-p[0], p[1], p[2]))
-    used, out = set(), {}
-    for score, _, _, a, b in pairs:
-        if score >= least and a not in used and b not in out:
-            used.add(a)
-            out[b] = a
-    return out
+    gone = retired_days or {}
+    ids = sorted((a for a in old if gone.get(a, 0) <= most_days), key=str)
+    fresh = sorted(new, key=str)
+    if not ids or not fresh:
+        return {}
+    sim = np.array([[float(np.dot(old[a], new[b])) for a in ids] for b in fresh])
+    gain = np.where(sim >= least, sim, 0.0)
+    wide = np.hstack([gain, np.zeros((len(fresh), len(fresh)))])  # none is an answer, too
+    return {fresh[k]: ids[j] for k, j in enumerate(best_assignment(wide)) if j < len(ids) and sim[k, j] >= least}
+
+
+def recluster_due(days_since: int, share_new: float, share_unassigned: float, most_days: int = 30, most_new: float = 0.2, most_unassigned: float = 0.3) -> bool:
+    """Whether clusters are to be made anew rather than extended."""
+    return days_since >= most_days or share_new > most_new or share_unassigned > most_unassigned
+
+
+def fit_temperature(rows: DataFrame, probability: str, truth: str, grid: list[float] | None = None) -> float:
+    """The temperature of least log loss on labelled rows: all of a grid in one pass, then a finer one around the best."""
+    q = F.least(F.greatest(F.col(probability), F.lit(1e-6)), F.lit(1 - 1e-6))
+    logit = F.log(q / (1 - q))
+
+    def best(temperatures: list[float]) -> float:
+        sign = F.when(F.col(truth), F.lit(1.0)).otherwise(-1.0)
+        losses = rows.agg(*[F.sum(F.log1p(F.exp(-sign * logit / t))).alias(f"l{k}") for k, t in enumerate(temperatures)]).head()
+        known = [(x, t) for x, t in zip(losses, temperatures, strict=True) if x is not None]
+        return min(known)[1] if known else 1.0
+
+    t = best(grid or [0.25 * 1.2**k for k in range(22)])
+    return best([t * (0.84 + 0.02 * k) for k in range(19)])
 
 
 def pool(rows: DataFrame, key: list[str], probability: str, weight: str) -> DataFrame:
