@@ -34,7 +34,7 @@ def _versions(entity: str, key: str, updated: str, columns: dict[str, str], sour
 
 
 _ORDERS = "SELECT o_orderkey k, o_custkey ck, o_orderdate od, o_orderstatus st, o_orderpriority pr, c_nationkey nk FROM @orders LEFT JOIN @customer ON c_custkey = o_custkey"
-_LINES = "SELECT l_orderkey k, l_orderkey * 10 + l_linenumber id, l_linenumber ln, l_suppkey sk, l_shipdate sd, l_linestatus ls, l_tax tax FROM @lineitem WHERE l_returnflag = 'R'"
+_LINES = "SELECT l_orderkey k, l_orderkey * 100 + l_linenumber id, l_linenumber ln, min(l_suppkey) sk, min(l_shipdate) sd, min(l_linestatus) ls, max(l_tax) tax FROM @lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey, l_linenumber"
 
 RAW: dict[str, str] = {
     "incident": _versions(
@@ -51,7 +51,7 @@ RAW: dict[str, str] = {
             "cmdb_ci": "'host' || (ck % 60)",
             "assignment_group": "CASE WHEN k % 7 = 0 THEN NULL ELSE 'g' || (ck % 44) END",
             "problem_id": "CASE WHEN k % 11 = 0 THEN 'prb' || (k % 100) ELSE '' END",
-            "caused_by": "CASE WHEN k % 13 = 0 THEN 'chg' || (k * 10 + 1) ELSE '' END",
+            "caused_by": "CASE WHEN k % 13 = 0 THEN 'chg' || (k * 100 + 1) ELSE '' END",
             "reassignment_count": "CASE WHEN k % 17 = 0 THEN 'x' ELSE CAST(k % 4 AS STRING) END",
             "reopen_count": "CAST(k % 2 AS STRING)",
             "short_description": "'Order ' || k",
@@ -209,13 +209,13 @@ RAW: dict[str, str] = {
     "deleted_record": "SELECT 'servicenow:incident:inc' || o_orderkey AS record_id FROM @orders WHERE o_orderkey % 500 = 77",
     # results of enrichment
     "cluster_member": "SELECT 'servicenow:incident:inc' || o_orderkey AS record_id, 'c' || (o_custkey % 12) AS cluster_id, CAST(0.25 + (o_orderkey % 8) * 0.1 AS DOUBLE) AS membership_prob FROM @orders WHERE o_orderkey % 5 <> 2 UNION ALL SELECT 'servicenow:incident:inc' || o_orderkey, 'c' || ((o_custkey + 1) % 12), CAST(0.55 AS DOUBLE) FROM @orders WHERE o_orderkey % 5 = 0",
-    "change_link": "SELECT 'servicenow:incident:inc' || l_orderkey AS incident_id, 'servicenow:change_request:chg' || (l_orderkey * 10 + l_linenumber) AS change_id, CAST(0.35 + (l_linenumber % 6) * 0.1 AS DOUBLE) AS score FROM @lineitem WHERE l_returnflag = 'R' AND l_orderkey % 3 = 0",
+    "change_link": "SELECT DISTINCT 'servicenow:incident:inc' || l_orderkey AS incident_id, 'servicenow:change_request:chg' || (l_orderkey * 100 + l_linenumber) AS change_id, CAST(0.35 + (l_linenumber % 6) * 0.1 AS DOUBLE) AS score FROM @lineitem WHERE l_returnflag = 'R' AND l_orderkey % 3 = 0",
     "cluster": "SELECT DISTINCT 'c' || (o_custkey % 12) AS cluster_id, CASE (o_custkey % 12) % 3 WHEN 0 THEN 'disk' WHEN 1 THEN 'network' ELSE 'code' END AS root_cause_category FROM @orders",
     "cluster_service": "SELECT 'c' || (n_nationkey % 12) AS cluster_id, 'servicenow:cmdb_ci:svc' || n_nationkey AS service_id FROM @nation",
     "decision": "SELECT 'jira:issue:iss' || o_orderkey AS record_id, 'root_cause' AS question, CASE o_orderkey % 3 WHEN 0 THEN 'disk' WHEN 1 THEN 'network' ELSE 'code' END AS answer, CAST(0.5 + (o_orderkey % 5) * 0.1 AS DOUBLE) AS probability, o_orderdate AS decided_at, 'd0' AS decider FROM @orders WHERE o_orderkey % 4 <> 3 UNION ALL SELECT 'jira:issue:iss' || o_orderkey, 'root_cause', 'code', CAST(0.8 AS DOUBLE), o_orderdate + INTERVAL 1 DAY, 'd1' FROM @orders WHERE o_orderkey % 6 = 1",
     "cases": "SELECT o_orderkey AS record_id, CASE o_orderkey % 3 WHEN 0 THEN 'incident' WHEN 1 THEN 'change' ELSE 'problem' END AS entity, 'h' || (o_custkey % 500) || '-' || (o_orderkey % 3) AS content_hash, o_orderdate AS opened_at, o_orderdate + (INTERVAL 1 DAY) * (o_orderkey % 30) AS updated_at, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 4 END AS priority, o_custkey % 25 AS service_id FROM @orders",
     "cases_before": "SELECT o_orderkey AS record_id, 'h' || (o_custkey % 500) || '-' || (CASE WHEN o_orderkey % 7 = 0 THEN 9 ELSE o_orderkey % 3 END) AS content_hash, o_orderdate + (INTERVAL 1 DAY) * (CASE WHEN o_orderkey % 5 = 0 THEN 99 ELSE o_orderkey % 30 END) AS updated_at, 'redacted ' || o_orderkey AS text_redacted FROM @orders WHERE o_orderkey % 4 <> 2",
-    "answers": "SELECT l_orderkey * 10 + l_linenumber AS answer_id, 'h' || (l_partkey % 500) || '-' || (l_linenumber % 3) AS content_hash, 'q' || (l_linenumber % 4) AS question, 'f' || (l_linenumber % 4) || CASE WHEN l_quantity > 45 THEN 'x' ELSE '' END AS fingerprint, CASE l_suppkey % 4 WHEN 0 THEN 'ensemble' WHEN 1 THEN 'small' WHEN 2 THEN 'large' ELSE 'other' END AS decider, CASE WHEN l_tax > 0.04 THEN 'true' ELSE 'false' END AS answer, l_discount * 8 + 0.1 AS p_true, l_shipdate AS decided_at FROM @lineitem",
+    "answers": "SELECT l_orderkey * 100 + l_linenumber AS answer_id, 'h' || (l_partkey % 500) || '-' || (l_linenumber % 3) AS content_hash, 'q' || (l_linenumber % 4) AS question, 'f' || (l_linenumber % 4) || CASE WHEN l_quantity > 45 THEN 'x' ELSE '' END AS fingerprint, CASE l_suppkey % 4 WHEN 0 THEN 'ensemble' WHEN 1 THEN 'small' WHEN 2 THEN 'large' ELSE 'other' END AS decider, CASE WHEN l_tax > 0.04 THEN 'true' ELSE 'false' END AS answer, l_discount * 8 + 0.1 AS p_true, l_shipdate AS decided_at FROM @lineitem",
     "questions": "SELECT 'q0' AS question, 'f0' AS fingerprint, 'bool' AS qtype, CAST(0.7 AS DOUBLE) AS threshold, 'small' AS first_decider, 'large,other' AS chain, 'incident,change' AS applies_to, CAST(1.5 AS DOUBLE) AS t UNION ALL SELECT 'q1', 'f1', 'choice', CAST(0.6 AS DOUBLE), 'large', 'other', 'incident', CAST(0.8 AS DOUBLE) UNION ALL SELECT 'q2', 'f2', 'bool', CAST(0.5 AS DOUBLE), 'small', 'other,large', 'problem,incident', CAST(1.0 AS DOUBLE) UNION ALL SELECT 'q3', 'f3', 'choice', CAST(0.9 AS DOUBLE), 'other', '', 'change', CAST(2.0 AS DOUBLE)",
     "human_answers": "SELECT 'h' || (c_custkey % 500) || '-' || (c_custkey % 3) AS content_hash, 'q' || (c_custkey % 4) AS question, CASE WHEN c_acctbal > 4000 THEN 'true' ELSE 'false' END AS answer, TIMESTAMP '2001-05-01 00:00:00' + (INTERVAL 1 SECOND) * c_custkey AS labeled_at FROM @customer WHERE c_custkey % 6 = 0",
     "embedded": "SELECT DISTINCT 'h' || (o_custkey % 500) || '-' || (o_orderkey % 3) AS content_hash, 'm1' AS model FROM @orders WHERE o_custkey % 3 <> 0",

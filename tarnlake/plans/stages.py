@@ -53,7 +53,7 @@ def _applicable(t: Tables) -> DataFrame:
 def current_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
     """The latest answer of each decider to the question as it reads now, its probability calibrated."""
     q = F.broadcast(questions.select("question", "fingerprint", "qtype", "t"))
-    best = J.best_by(answers.join(q, ["question", "fingerprint"]), ["content_hash", "question", "decider"], F.desc("decided_at"), F.asc("answer"), F.asc("answer_id"))
+    best = J.best_by(answers.join(q, ["question", "fingerprint"]), ["content_hash", "question", "decider"], F.desc("decided_at"), F.asc("answer"), F.asc("answer_id"), F.asc("p_true"))
     p = F.least(F.greatest(F.col("p_true"), F.lit(1e-9)), F.lit(1 - 1e-9))
     yes = 1 / (1 + F.exp(-F.log(p / (1 - p)) / F.col("t")))
     shares = F.create_map(F.lit("true"), F.col("p_true"), F.lit("false"), 1 - F.col("p_true"))
@@ -61,7 +61,7 @@ def current_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
     return best.select("content_hash", "question", "decider", "answer", "decided_at", F.when(F.col("qtype") != "bool", soft).when(F.col("answer") == "false", 1 - yes).otherwise(yes).alias("p_cal"))
 
 
-CTE["st_now"] = """SELECT * FROM (SELECT a.*, q.qtype, q.t, row_number() OVER (PARTITION BY content_hash, question, decider ORDER BY decided_at DESC, answer, answer_id) n FROM answers a JOIN questions q USING (question, fingerprint)) WHERE n = 1"""
+CTE["st_now"] = """SELECT * FROM (SELECT a.*, q.qtype, q.t, row_number() OVER (PARTITION BY content_hash, question, decider ORDER BY decided_at DESC, answer, answer_id, p_true) n FROM answers a JOIN questions q USING (question, fingerprint)) WHERE n = 1"""
 CTE["st_cal"] = """SELECT content_hash, question, decider, answer, decided_at, CASE WHEN qtype <> 'bool' THEN own / (exp(ln(p_true + 1e-9) / t) + exp(ln(1 - p_true + 1e-9) / t)) WHEN answer = 'false' THEN 1 - y ELSE y END AS p_cal
  FROM (SELECT *, exp(ln(CASE WHEN answer = 'true' THEN p_true ELSE 1 - p_true END + 1e-9) / t) own, 1 / (1 + exp(-ln(least(greatest(p_true, 1e-9), 1 - 1e-9) / (1 - least(greatest(p_true, 1e-9), 1 - 1e-9))) / t)) y FROM st_now)"""
 CTE["st_asked"] = """SELECT c.record_id, c.entity, c.content_hash, c.opened_at, q.question, q.fingerprint, q.threshold, q.first_decider, q.chain FROM cases c JOIN questions q ON list_contains(string_split(q.applies_to, ','), c.entity)"""
