@@ -97,7 +97,8 @@ def quotation_links(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     Within a conversation only earlier turns are originals; in other conversations any
     message is, as ids say nothing about time, and where links would form a cycle its
     first message in (conversation, turn) order is linked to none.  A null text
-    is empty; rows of null conversation or turn are linked to nothing.  Repeated rows
+    is empty; conversations and turns are read as long, and rows where one is null are
+    linked to nothing.  Repeated rows
     stay, and stand for one message as originals.  Other columns are ignored.
     """
     m = messages.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -107,7 +107,7 @@ def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, piece, start, length, ids_crc32 of each document's ids and ``end_id``.
 
     Only documents of over ``capacity`` ids are cut.  A null text is the empty text,
-    which is the end id alone; null and repeated ids are kept.
+    which is the end id alone; ids are read as long; null and repeated ids are kept.
     """
     path = tokenizer_file(tokenizer)
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -217,6 +217,9 @@ def pack(pieces: DataFrame, capacity: int = 4096, group_pieces: int = 20_000, mo
     """``pieces`` with sequence_id, offset and certified (the bin count of the piece's
     last group met its lower bound).
 
+    After ``most_rounds`` the groups that are left keep what they have, which costs at
+    most their loosest bins; every piece is packed all the same.
+
     ``pieces`` has doc_id, piece and length from 1 to ``capacity``; other columns must
     be those of PIECES.  An empty table gives an empty one.
     """

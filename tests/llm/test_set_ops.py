@@ -42,6 +42,15 @@ def test_archive_round_trip(spark, pages):
         assert bytes(x["payload"]) == (b"" if revisit else p)
 
 
+def test_repeated_ids_and_long_payloads(spark):
+    big = "<p>" + "y" * 5000 + "</p>"
+    rows = [(1, "u", big), (1, "u", big), (1, "u", "other " * 300), (2, "u", big), (None, "u", big), (9, "u", "long " * 400_000), (8, "u", "long " * 400_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in warc.read_records(warc.write_archives(df)).collect())
+    n = len(big)
+    assert got == sorted([(1, n, "revisit", 2), (1, n, "revisit", 2), (1, 1800, "response", 0), (2, n, "response", 0), (0, n, "response", 0), (9, 2_000_000, "response", 0), (8, 2_000_000, "revisit", 9)])
+
+
 def test_selected_records_only(pages):
     index = warc.write_archives(pages)
     assert {r["page_id"] for r in warc.read_records(index.filter("page_id in (3, 6)"), gap=0).collect()} == {3, 6}
@@ -342,3 +351,19 @@ def test_pipeline(spark):
     rows = c.run(spark, SF).collect()
     check_packing(rows, 4096)
     assert {r["doc_id"] for r in rows} == {i for i in kept if comp[i][1] == i}
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline as c
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, id string, row int, sig long, key string"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "empty" / "labels.parquet"))
+    spark.createDataFrame([], kind).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    assert c.run(spark, str(tmp_path / "empty")).count() == 0
+    good = " ".join(f"word{k}" for k in range(80))
+    rows = [(1, good), (2, good), (3, None), (4, ""), (None, good + " more"), (5, good.replace("word7 ", "other7 ")), (6, " ".join(f"w{k}" for k in range(9000)))]
+    df = spark.createDataFrame([(i, t, None, "s", 0, "x", 1, 2, "k") for i, t in rows], kind)
+    df.write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (None, 0, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "odd" / "labels.parquet"))
+    out = c.run(spark, str(tmp_path / "odd")).collect()
+    assert {r["doc_id"] for r in out} == {1, None, 6}
