@@ -35,9 +35,9 @@ GRIDS: dict[str, tuple[float, ...]] = {
 BROADCAST_STRATA = 10_000
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", whole: bool = False) -> DataFrame:
     """One row for each document: id, row_key (hash of id and text), stratum, the counts
-    and the rules' ratios.
+    and the rules' ratios; with ``whole`` also row, the document as it is.
 
     A null or empty text has no words, lines or symbols.  The test for repeated
     windows sorts (64-bit hash, position) within the row, so it is n log n in the
@@ -45,9 +45,11 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     """
     blank = " \t\n\x0b\f\r"
     key = F.xxhash64(F.col(id_col), F.col(text_col))
-    t = docs.select(F.col(id_col).alias("id"), key.alias("row_key"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = ["row"] if whole else []
+    t = docs.select(*([F.struct(*docs.columns).alias("row")] if whole else []), F.col(id_col).alias("id"), key.alias("row_key"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     t = t.withColumn("trimmed", F.btrim("text", F.lit(blank)))
     t = t.select(
+        *own,
         "id",
         "row_key",
         "stratum",
@@ -56,6 +58,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
     )
     t = t.select(
+        *own,
         "id",
         "row_key",
         "stratum",
@@ -75,7 +78,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     t = t.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return t.select(
-        "id", "row_key", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *own, "id", "row_key", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         per("n_symbols", "word_chars").alias("symbol_ratio"),
         per("n_dup_lines", "n_lines").alias("duplicate_line_ratio"),
@@ -127,12 +130,15 @@ def thresholds(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id", labe
     return grids.select("stratum", "rule", best.alias("cutoff")).filter(F.col("cutoff").isNotNull())
 
 
-def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum_col: str, **risk) -> DataFrame:
-    feats = written(features(docs, id_col, text_col, stratum_col), "features")
+def _cutoffs(feats: DataFrame, labels: DataFrame, id_col: str, **risk) -> tuple[DataFrame, bool]:
+    """stratum, cut (rule to cutoff), and whether the strata are few enough for a broadcast."""
     cut = thresholds(feats, labels, id_col=id_col, **risk).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cut"))  # four rules
     cut = written(cut, "cutoffs")
-    small = cut.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
-    out = feats.join(F.broadcast(cut) if small else cut, "stratum", "left")
+    return cut, cut.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
+
+
+def _judged(feats: DataFrame, cut: DataFrame, few: bool) -> DataFrame:
+    out = feats.join(F.broadcast(cut) if few else cut, "stratum", "left")
     fired = F.filter(F.array(*[F.when(F.col(r) > F.coalesce(F.col("cut")[r], F.lit(float("inf"))), F.lit(r)) for r in GRIDS]), lambda x: x.isNotNull())
     return out.withColumn("fired", fired).withColumn("kept", ~F.col("base_failed") & (F.size("fired") == 0))
 
@@ -143,12 +149,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     Null ids, strata and texts are allowed (a null stratum is the stratum ''), repeated
     rows stay, an empty table gives an empty one.  Only the named columns are read.
     """
-    out = _judged(docs, labels, id_col, text_col, stratum_col, **risk)
+    feats = written(features(docs, id_col, text_col, stratum_col), "features")
+    out = _judged(feats, *_cutoffs(feats, labels, id_col, **risk))
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("fired", ",").alias("fired"))
 
 
 def passed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **risk) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns; nulls as in ``quality_rules``."""
-    kept = _judged(docs, labels, id_col, text_col, stratum_col, **risk).filter("kept").select(F.col("row_key").alias("__row_key")).distinct()
-    keyed = docs.withColumn("__row_key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    return keyed.join(kept, "__row_key", "left_semi").select(*docs.columns)
+    whole = written(features(docs, id_col, text_col, stratum_col, whole=True), "features")
+    feats = whole.drop("row")
+    cut, few = _cutoffs(feats, labels, id_col, **risk)
+    if few:  # the verdict comes to the row: no text is shuffled
+        return _judged(whole, cut, few).filter("kept").select("row.*")
+    kept = _judged(feats, cut, few).filter("kept").select("row_key").distinct()
+    return whole.join(kept, "row_key", "left_semi").select("row.*")
