@@ -72,11 +72,29 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations")).drop("families")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+def op13_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mix import mixture
+
+    return mixture(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=(3, 2), most=2)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_lm_score, op4_warc, op5_best_fit_packing, op6_ngram_join, op7_token_counts, op8_bpe_round_trip, op9_quotation_links, op10_nearest)}
+    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_lm_score, op4_warc, op5_best_fit_packing, op6_ngram_join, op7_token_counts, op8_bpe_round_trip, op9_quotation_links, op10_nearest, op11_prefix_trie, op12_vector_codes, op13_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
     from . import sql
 
-    return {"op2_quality_rules": sql.op2(), "op4_warc": sql.OP4, "op6_ngram_join": sql.OP6, "op10_nearest": sql.OP10}
+    return {"op2_quality_rules": sql.op2(), "op4_warc": sql.OP4, "op6_ngram_join": sql.OP6, "op10_nearest": sql.OP10, "op11_prefix_trie": sql.OP11, "op12_vector_codes": sql.op12(), "op13_mix": sql.OP13}

@@ -169,3 +169,76 @@ def sensitive(texts, width, min_contexts, disclose, remove):
             if d >= disclose:
                 out[t] = max(out.get(t, 0), d)
     return {t: d >= remove for t, d in out.items()}
+
+
+def prefix_trie(turns):
+    """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of
+    (conv_id, turn, role, text); turns of one place go by the digest of (role, text)."""
+    own: dict = {}
+    for c, t, role, text in turns:
+        if c is not None:
+            role, text = role or "", text or ""
+            own.setdefault(c, []).append(((t is not None, t or 0, hashlib.md5(f"{len(role)}:{role}{text}".encode()).digest()), (role, text)))
+    own = {c: [x for _, x in sorted(v)] for c, v in own.items()}
+    members: dict = {}
+    ends: dict = {}
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        rebuilt = tuple(own.get(c - c % 20, [])[:h] + v[h:])
+        for d in range(len(rebuilt) + 1):
+            members.setdefault(rebuilt[:d], set()).add(c)
+        ends.setdefault(rebuilt, []).append(c)
+    out = []
+    for p in members:
+        below = [q for q in members if q[: len(p)] == p]
+        kids = [q for q in below if len(q) == len(p) + 1]
+        leaves = [q for q in below if not any(len(r) > len(q) and r[: len(q)] == q for r in below)]
+        saved = sum((len(members[q]) - 1) * len(words(q[-1][1] if q else "")) for q in below)
+        sha = hashlib.sha256(",".join(map(str, sorted(ends.get(p, [])))).encode()).hexdigest()
+        out.append((min(members[p]), len(p), min(members[p[:-1]]) if p else None, len(members[p]), len(kids), len(leaves), saved, sha))
+    return out
+
+
+def vector_codes(rows, parts=8, entries=16, rounds=6, scale=4096):
+    """(vec_id, code, error, label_error, codebooks) of (vec_id, vector, label), all of one length, by all distances."""
+    kept = [(i, [math.floor(scale * x) for x in v], lab) for i, v, lab in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    if not kept:
+        return []
+    width = len(kept[0][1]) // parts
+    cut = [[v[p * width : (p + 1) * width] for p in range(parts)] for _, v, _ in kept]
+    start = sorted((k for k in range(len(kept)) if kept[k][0] is not None), key=lambda k: (kept[k][0],))[:entries]
+    books = [[list(cut[k][p]) for k in start] for p in range(parts)]
+
+    def nearest(p, x):
+        return min((sum((a - b) ** 2 for a, b in zip(x, e, strict=True)), j) for j, e in enumerate(books[p]))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            own: dict = {}
+            for x in cut:
+                own.setdefault(nearest(p, x[p])[1], []).append(x[p])
+            for j, xs in own.items():
+                books[p][j] = [sum(c) // len(xs) for c in zip(*xs, strict=True)]
+    found = [[nearest(p, x[p]) for p in range(parts)] for x in cut]
+    total: dict = {}
+    for (_, _, lab), f in zip(kept, found, strict=True):
+        total[lab] = total.get(lab, 0) + sum(d for d, _ in f)
+    flat = ",".join(str(c) for b in books for e in b for c in e)
+    return [(i, "".join(f"{j:02x}" for _, j in f), sum(d for d, _ in f), total[lab], hashlib.sha256(flat.encode()).hexdigest()) for (i, _, lab), f in zip(kept, found, strict=True)]
+
+
+def mix_targets(by_source, weights=(3, 1, 2), share=1.5, most=2):
+    """Target of each source (None: no source), by sharing again until none is above its most."""
+    names = sorted(by_source, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    left, open_ = share * sum(by_source.values()), set(names)
+    out: dict = {}
+    while open_:
+        per = left / sum(w[s] for s in open_)
+        over = {s for s in open_ if w[s] * per > most * by_source[s]}
+        if not over:
+            return out | {s: w[s] * per for s in open_}
+        for s in over:
+            out[s] = float(most * by_source[s])
+        left, open_ = left - sum(out[s] for s in over), open_ - over
+    return out
