@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.operators import aggregates as A
 from tarnlake.plans import guard
-from tarnlake.store import new_path
+from tarnlake.store import new_path, written
 
 EVIDENCE = "query_id string, sql string, params string, row_count long, result_hash string, sample array<string>, capped boolean, recorded_at double"
 _PATHS: dict[str, str] = {}
@@ -43,9 +43,7 @@ def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], params: dic
 
     A query of the same id must give the same hash.  After ``seconds`` its jobs are cancelled.
     """
-    guard.check(spark, sql, {t.lower() for t in tables})
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
+    guard.check(spark, sql, tables, args=params)
     tag = f"recorded-{uuid.uuid4().hex}"
     spark.addTag(tag)
     timer = None
@@ -55,8 +53,8 @@ def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], params: dic
         timer = threading.Timer(seconds, lambda: spark.interruptTag(tag))
         timer.start()
     try:
-        rows = spark.sql(normal_sql(sql), args=params or {})
-        over = rows.limit(cap + 1).count() > cap
+        rows = written(spark.sql(normal_sql(sql), args=params or {}).limit(cap + 1), "recorded")  # executed once
+        over = rows.count() > cap
         kept = rows.limit(cap) if over else rows
         h = A.row_set_hash(kept).head()
         line = F.to_json(F.struct(*kept.columns))
