@@ -1,14 +1,17 @@
 """Scalar functions as Column builders: parsing, dates, JSON, text, lookups, calibration.
 
-All stay in the JVM.  Each takes and returns Columns; a value that can't be read is null.
+All but ``document_text`` (a tree of any depth) stay in the JVM.  Each takes and returns Columns; a value that can't be read is null.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+from collections.abc import Iterator, Mapping
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Accepted time formats, in order; fixed values.
 TIME_FORMATS = (
@@ -77,11 +80,23 @@ def named_value(x: Column) -> Column:
     return F.when(t.startswith("{") & F.get_json_object(x, "$").isNotNull(), named).when(t.startswith('"'), F.coalesce(F.get_json_object(F.concat(F.lit('{"t":'), x, F.lit("}")), "$.t"), x)).otherwise(x)
 
 
+def _texts(node: object) -> Iterator[str]:
+    """Values of the keys 'text' of a JSON tree, in the order of the document."""
+    for key, value in node.items() if isinstance(node, dict) else enumerate(node) if isinstance(node, list) else ():
+        if key == "text":
+            yield value if isinstance(value, str) else json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+        yield from _texts(value)
+
+
+@F.pandas_udf(T.StringType())
+def _joined_texts(documents: pd.Series) -> pd.Series:
+    return documents.map(lambda d: " ".join(_texts(json.loads(d))), na_action="ignore")
+
+
 def document_text(x: Column) -> Column:
     """All texts of a JSON document (type 'doc') joined by blanks; other text as it is."""
-    parts = F.regexp_extract_all(x, F.lit(r'"text"\s*:\s*"((?:[^"\\]|\\.)*)"'), 1)
-    joined = F.array_join(F.transform(parts, lambda s: F.get_json_object(F.concat(F.lit('{"t":"'), s, F.lit('"}')), "$.t")), " ")
-    return F.when(F.get_json_object(x, "$.type") == "doc", joined).otherwise(x)
+    is_doc = F.coalesce(F.get_json_object(x, "$.type") == "doc", F.lit(False))
+    return F.when(is_doc, _joined_texts(F.when(is_doc, x))).otherwise(x)
 
 
 def bucket_start(ts: Column, unit: str, zone: str) -> Column:
