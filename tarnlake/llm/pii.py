@@ -36,7 +36,7 @@ from .common import attach, keep_only, written
 KINDS = ("email", "ip", "card", "phone")
 MORE = ("secret", "term")
 PLACEHOLDER = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "secret": "<SECRET>", "term": "<TERM>"}
-#: Terms held in a worker at once, of LONGEST_TERM characters at most; more are joined.
+#: Terms held in a worker at once; more are joined.  Longer ones go by a hash of the whole term.
 BLOCK_TERMS, LONGEST_TERM = 100_000, 100
 #: Pairs of term and text that a worker holds before it passes them on.
 HELD_PAIRS = 100_000
@@ -159,14 +159,20 @@ def contexts(text: str, width: int) -> Iterator[tuple[int, list[str], int]]:
     starts = [m.start() for m in terms]
     for kind, a, b in spans:
         i, j = bisect_right(starts, a), bisect_right(starts, b)
-        near = [m[0].lower()[:LONGEST_TERM] for m in terms[max(0, i - width) : i] + terms[j : j + width]]
+        near = [term_key(m[0]) for m in terms[max(0, i - width) : i] + terms[j : j + width]]
         context, near = _hash(" ".join(near)), sorted(set(near))
         for e in entities(kind, text[a:b]):
             yield e, near, context
 
 
+def term_key(term: str) -> str:
+    """What a term is known by: itself in lower case, or, over LONGEST_TERM characters, a hash of all of it (no term has a '#')."""
+    low = term.lower()
+    return low if len(low) <= LONGEST_TERM else "#" + hashlib.sha256(low.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def terms_of(text: str) -> set[str]:
-    return {t[:LONGEST_TERM] for t in map(str.lower, _TERM.findall(text))}
+    return set(map(term_key, _TERM.findall(text)))
 
 
 def sensitive_terms(docs: DataFrame, text_col: str = "text", width: int = 6, min_contexts: int = 3, disclose: float = 0.9, remove: float = 0.99) -> DataFrame:
@@ -252,7 +258,7 @@ def all_spans(text: str, terms: dict[str, bool]) -> list[Span]:
     if not terms:
         return spans
     covered = Covered(spans)
-    return spans + [("term", *m.span()) for m in _TERM.finditer(text) if m[0].lower()[:LONGEST_TERM] in terms and not covered.meets(*m.span())]
+    return spans + [("term", *m.span()) for m in _TERM.finditer(text) if term_key(m[0]) in terms and not covered.meets(*m.span())]
 
 
 class Sensitive:
@@ -327,7 +333,7 @@ def clean(text: str, terms: dict[str, bool]) -> str:
         if b <= at:
             continue  # within a span already replaced
         out.append(text[at : max(a, at)])
-        out.append("" if kind == "term" and terms[text[a:b].lower()[:LONGEST_TERM]] else PLACEHOLDER[kind])
+        out.append("" if kind == "term" and terms[term_key(text[a:b])] else PLACEHOLDER[kind])
         at = b
     return "".join(out) + text[at:]
 

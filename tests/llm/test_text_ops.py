@@ -63,6 +63,17 @@ def test_sensitive_terms_are_those_that_occur_with_one_entity(spark):
         pii.BLOCK_TERMS = blocks
 
 
+def test_long_terms_of_one_prefix_are_different_terms(spark):
+    stem = "x" * 150
+    rows = [(k, f"filler{k} {stem}secret wrote to ann{k % 2}@corp.example today note{k}") for k in range(8)]
+    rows += [(100 + k, f"nothing here but {stem}plain{k} and other words {k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {r["term"] for r in pii.sensitive_terms(docs).collect()}
+    assert pii.term_key(f"{stem}SECRET") in keys and not any(pii.term_key(f"{stem}plain{k}") in keys for k in range(40))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert all(f"{stem}secret" not in clean[k] for k in range(8)) and all(clean[100 + k] == rows[8 + k][1] for k in range(40))
+
+
 def test_sensitive_terms_match_the_plain_version(spark):
     """Entities that occur once count by group and kind; many spans, spans within a span, long runs of digits."""
     r = random.Random(12)
