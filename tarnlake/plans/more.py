@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.functions import columns as X
+from tarnlake.operators import density, findings
 from tarnlake.operators import joins as J
 from tarnlake.operators import vectors as V
 from tarnlake.plans import model_sql
@@ -155,6 +156,24 @@ def representative_members(t: Tables) -> DataFrame:
     return J.top_n(once, ["label"], 5, F.desc("similarity"), F.asc("vec_id")).select("label", "vec_id", "rank")
 
 
+@query()
+def density_clusters(t: Tables) -> DataFrame:
+    """vec_id, cluster_id, probability: HDBSCAN over prototypes of all vectors; tests hold its steps against plain versions."""
+    return density.density_clusters(t.raw("embeddings"), "vec_id", "embedding", 200, min_cluster_size=3, min_samples=2, iters=8, least=0.3, full=0.8, min_members=5)
+
+
+@query("""WITH RECURSIVE n AS (SELECT l_orderkey id, list_distinct(list(l_linestatus || l_returnflag || CAST(l_quantity AS INTEGER))) ts, list_sort(list_distinct(list(l_returnflag))) qs FROM lineitem GROUP BY 1),
+f AS (SELECT o_custkey e, o_orderkey id, ts, qs, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice * len(ts) DESC, o_orderdate, CAST(o_orderkey AS VARCHAR)) AS place FROM orders JOIN n ON n.id = o_orderkey),
+l AS (SELECT a.e, a.place a, b.place b FROM f a JOIN f b ON a.e = b.e AND a.place <> b.place AND a.qs = b.qs AND list_has_any(a.ts, b.ts) WHERE a.place <= 200 AND b.place <= 200),
+r(e, place, reached) AS (SELECT e, place, place FROM f UNION SELECT r.e, r.place, l.b FROM r JOIN l ON l.e = r.e AND l.a = r.reached), m AS (SELECT e, place, min(reached) least FROM r GROUP BY 1, 2)
+SELECT m.e AS entity_id, CAST(k.id AS VARCHAR) AS keep_id, CAST(f.id AS VARCHAR) AS duplicate_id FROM m JOIN f ON f.e = m.e AND f.place = m.place JOIN f k ON k.e = m.e AND k.place = m.least WHERE m.least <> m.place""")
+def finding_duplicates(t: Tables) -> DataFrame:
+    """Orders of a customer as findings about it: their numbers are the kinds of their lines, their queries the return flags."""
+    lines = t.raw("lineitem").groupBy("l_orderkey").agg(F.collect_set(F.struct(F.col("l_linestatus").alias("query_id"), F.col("l_returnflag").alias("column"), F.col("l_quantity").cast("int").cast("string").alias("row_key"))).alias("numbers"), F.collect_set("l_returnflag").alias("query_ids"))  # a few kinds of lines
+    f = t.raw("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").cast("string").alias("finding_id"), F.col("o_custkey").alias("entity_id"), F.col("o_totalprice").alias("confidence"), F.col("o_orderdate").alias("created_at"), "numbers", "query_ids")
+    return findings.duplicates(f, ("entity_id",))
+
+
 # -- outcome ------------------------------------------------------------------------------------------
 def verdict(t_stat, relative, n, least_n: int = 8, t: float = 2.0, least: float = 0.05):
     """paid_off, worse, no_effect or inconclusive of a difference in differences (a fall is good)."""

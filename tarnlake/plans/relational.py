@@ -11,6 +11,7 @@ from tarnlake.operators import aggregates as A
 from tarnlake.operators import joins as J
 from tarnlake.operators import ranks as R
 from tarnlake.operators import vectors as V
+from tarnlake.operators.concordance import kendall_tau as kendall
 from tarnlake.plans.adapter import CHANGE_SQL, INCIDENT_SQL, ORG_SQL, Tables
 from tarnlake.sources import lake
 
@@ -327,12 +328,19 @@ def confusion_counts(t: Tables) -> DataFrame:
 @query("""WITH a AS (SELECT s_suppkey k, s_acctbal x, s_nationkey y FROM supplier), p AS (SELECT sign(a.x - b.x) * sign(a.y - b.y) s, a.x = b.x tx, a.y = b.y ty FROM a JOIN a b ON a.k < b.k)
 SELECT round(sum(s) / sqrt(CAST(count(*) FILTER (WHERE NOT tx) AS DOUBLE) * count(*) FILTER (WHERE NOT ty)), 9) tau FROM p""")
 def kendall_tau(t: Tables) -> DataFrame:
-    # pairs of a ranked list of entities, not of facts
-    a = t.raw("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("x"), F.col("s_nationkey").alias("y"))
-    one = a.agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("r")).select(F.posexplode("r").alias("i", "a"), "r")
-    p = one.filter(F.col("i") < F.size("r") - 1).select("a", F.explode(F.expr("slice(r, i + 2, size(r))")).alias("b"))
-    s = F.signum(F.col("a.x") - F.col("b.x")) * F.signum((F.col("a.y") - F.col("b.y")).cast("double"))
-    return p.agg(F.round(F.sum(s) / F.sqrt(F.count_if(F.col("a.x") != F.col("b.x")).cast("double") * F.count_if(F.col("a.y") != F.col("b.y"))), 9).alias("tau"))
+    return _tau(t.raw("supplier"), "s_acctbal", "s_nationkey")
+
+
+def _tau(df: DataFrame, x: str, y: str) -> DataFrame:
+    tau = kendall(df, x, y)
+    return df.sparkSession.createDataFrame([(None if tau is None else round(tau, 9),)], "tau double")
+
+
+@query("""WITH a AS (SELECT o_orderkey k, o_totalprice x, o_orderdate y FROM orders), p AS (SELECT sign(a.x - b.x) * CASE WHEN a.y > b.y THEN 1 WHEN a.y < b.y THEN -1 ELSE 0 END s, a.x = b.x tx, a.y = b.y ty FROM a JOIN a b ON a.k < b.k)
+SELECT round(sum(s) / sqrt(CAST(count(*) FILTER (WHERE NOT tx) AS DOUBLE) * count(*) FILTER (WHERE NOT ty)), 9) tau FROM p""")
+def kendall_tau_orders(t: Tables) -> DataFrame:
+    """Over facts: no pair is made."""
+    return _tau(t.raw("orders"), "o_totalprice", "o_orderdate")
 
 
 @query("""WITH t AS (SELECT lang, doc_id, w FROM (SELECT lang, doc_id, unnest(regexp_extract_all(lower("text"), '[a-z]{4,}')) w FROM documents WHERE lang IS NOT NULL)), tf AS (SELECT lang, w, count(*) tf FROM t GROUP BY 1, 2),

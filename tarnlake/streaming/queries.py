@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tarnlake.plans.adapter import Tables
 from tarnlake.plans.relational import query
 from tarnlake.store import new_path
-from tarnlake.streaming import merge
+from tarnlake.sources import manifest, paged
+from tarnlake.streaming import merge, stateful
 
 
 def folder(t: Tables) -> str:
@@ -37,3 +38,34 @@ def stream_hourly_counts(t: Tables) -> DataFrame:
     out.awaitTermination()
     done = t.spark.read.schema(counts.schema).parquet(f"{base}/out")
     return done.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS source_key, CAST(ts AS TIMESTAMP) AS updated_at, event_type AS kind FROM events""")
+def synced_events(t: Tables) -> DataFrame:
+    """Events behind a paged API: a first fill up to the middle of their time, then a sync from the watermark to its end."""
+    e = t.events().withColumn("ts", F.col("ts").cast("timestamp"))
+    base = folder(t)
+    paged.record(e.select(F.col("event_id").cast("string").alias("source_key"), F.col("ts").alias("updated_at"), F.lit(False).alias("deleted"), F.to_json(F.struct("event_type")).alias("payload")), f"{base}/api")
+    first, last = e.agg(F.min("ts"), F.max("ts")).head()
+    if first is None:
+        return t.spark.createDataFrame([], "source_key string, updated_at timestamp_ntz, kind string")
+    for now in (first + (last - first) / 2, last + (last - first)):
+        paged.sync(t.spark, f"{base}/table", f"{base}/mark", kind="documents", path=f"{base}/api", start=first.isoformat(), now=now.isoformat(), settle_minutes=0, page=500, slice_days=2)
+    out = manifest.rows(t.spark, f"{base}/table")
+    return out.select("source_key", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"), F.get_json_object("payload", "$.event_type").alias("kind"))
+
+
+@query("""WITH r AS (SELECT user_id, date_trunc('millisecond', ts) AS since, event_type, row_number() OVER (PARTITION BY user_id, date_trunc('millisecond', ts) ORDER BY event_type DESC) k FROM events), w AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events),
+i AS (SELECT user_id, since, lead(since) OVER (PARTITION BY user_id ORDER BY since) AS until, event_type AS category FROM r WHERE k = 1) SELECT user_id, since, until, category FROM i WHERE until <= (SELECT mark FROM w)""")
+def stream_timelines(t: Tables) -> DataFrame:
+    """What each user did last, over time: the intervals that the watermark has closed."""
+    base, name = folder(t), "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(name)
+    t.spark.conf.set(name, stateful.stateful_conf[name])
+    try:
+        lines = stateful.timelines(events(t), "user_id", "ts", "event_type", "1 hour", keep_days=36_500)
+        lines.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/mark").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        t.spark.conf.set(name, before)
+    done = t.spark.read.schema(lines.schema).parquet(f"{base}/out")
+    return done.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("since", "until")], "category")
