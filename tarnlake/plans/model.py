@@ -71,11 +71,17 @@ def funding_score(t: Tables) -> DataFrame:
 _LINKS = """(SELECT from_key, to_key FROM core_work_item_link WHERE lower(link_type) = 'blocks')"""
 
 
+_OPEN = "SELECT record_id, \"key\", story_points FROM core_work_item WHERE status_category <> 'done'"
+
+
 @query(model_sql.with_tables(f"""SELECT c.candidate_id, c.candidate_type, CASE WHEN c.candidate_type = 'cluster_fix' THEN f.owner ELSE w.team_id END AS team_id, c.effort_cost_usd, round(c.priority, 6) AS priority, round(CAST(c.addressable_pain_usd AS DOUBLE) * c.confidence * c.strategic_weight, 0) AS expected_impact_usd,
- CASE WHEN c.candidate_type = 'cluster_fix' THEN {funding.SETTINGS.fix_effort_hours / funding.SETTINGS.hours_per_point!r}::DOUBLE ELSE (SELECT sum(i.story_points) FROM core_work_item_closure x JOIN core_work_item i ON i.record_id = x.record_id WHERE x.ancestor_record_id = c.candidate_id AND i.status_category <> 'done') END AS points,
- coalesce((SELECT string_agg(DISTINCT d.below, '|' ORDER BY d.below) FROM fa_desc d WHERE d.above = c.candidate_id), '') AS descendants, coalesce((SELECT string_agg(DISTINCT b.record_id, '|' ORDER BY b.record_id) FROM {_LINKS} l JOIN fa_cand b ON b."key" = l.from_key WHERE l.to_key = w."key"), '') AS blockers,
- (SELECT count(DISTINCT b.record_id) FROM {_LINKS} l JOIN core_work_item b ON b."key" = l.from_key WHERE l.to_key = w."key" AND b.status_category <> 'done' AND b.record_id NOT IN (SELECT candidate_id FROM fs_score)) AS noncandidate_blockers
- FROM fs_score c LEFT JOIN core_work_item w ON w.record_id = c.candidate_id LEFT JOIN (SELECT y.candidate_id, o.owner FROM (SELECT DISTINCT ON (candidate_id) candidate_id, service_id FROM (SELECT 'cluster_fix:' || cluster_id candidate_id, service_id, count(*) n FROM fact_incident WHERE NOT excluded AND service_id IS NOT NULL GROUP BY 1, 2) ORDER BY candidate_id, n DESC, service_id) y LEFT JOIN os_owner o USING (service_id)) f ON f.candidate_id = c.candidate_id"""))
+ CASE WHEN c.candidate_type = 'cluster_fix' THEN {funding.SETTINGS.fix_effort_hours / funding.SETTINGS.hours_per_point!r}::DOUBLE ELSE p.points END AS points, coalesce(d.below, '') AS descendants, coalesce(b.ids, '') AS blockers, coalesce(o.n, 0) AS noncandidate_blockers
+ FROM fs_score c LEFT JOIN core_work_item w ON w.record_id = c.candidate_id
+ LEFT JOIN (SELECT x.ancestor_record_id AS id, sum(i.story_points) AS points FROM core_work_item_closure x JOIN ({_OPEN}) i ON i.record_id = x.record_id GROUP BY 1) p ON p.id = c.candidate_id
+ LEFT JOIN (SELECT above, string_agg(DISTINCT below, '|' ORDER BY below) AS below FROM fa_desc GROUP BY 1) d ON d.above = c.candidate_id
+ LEFT JOIN (SELECT l.to_key, string_agg(DISTINCT k.record_id, '|' ORDER BY k.record_id) AS ids FROM {_LINKS} l JOIN fa_cand k ON k."key" = l.from_key GROUP BY 1) b ON b.to_key = w."key"
+ LEFT JOIN (SELECT l.to_key, count(DISTINCT k.record_id) AS n FROM {_LINKS} l JOIN ({_OPEN}) k ON k."key" = l.from_key ANTI JOIN fs_score s ON s.candidate_id = k.record_id GROUP BY 1) o ON o.to_key = w."key"
+ LEFT JOIN (SELECT y.candidate_id, o.owner FROM (SELECT DISTINCT ON (candidate_id) candidate_id, service_id FROM (SELECT 'cluster_fix:' || cluster_id candidate_id, service_id, count(*) n FROM fact_incident WHERE NOT excluded AND service_id IS NOT NULL GROUP BY 1, 2) ORDER BY candidate_id, n DESC, service_id) y LEFT JOIN os_owner o USING (service_id)) f ON f.candidate_id = c.candidate_id"""))
 def portfolio_input(t: Tables) -> DataFrame:
     x = _portfolio_input(Model.of(t))
     return x.select("candidate_id", "candidate_type", "team_id", "effort_cost_usd", F.round("priority", 6).alias("priority"), F.round(F.col("expected_impact_usd").cast("double"), 0).alias("expected_impact_usd"), "points", F.array_join("descendants", "|").alias("descendants"), F.array_join("blockers", "|").alias("blockers"), "noncandidate_blockers")
