@@ -74,7 +74,7 @@ _LINKS = """(SELECT from_key, to_key FROM core_work_item_link WHERE lower(link_t
 _OPEN = "SELECT record_id, \"key\", story_points FROM core_work_item WHERE status_category <> 'done'"
 
 
-@query(model_sql.with_tables(f"""SELECT c.candidate_id, c.candidate_type, CASE WHEN c.candidate_type = 'cluster_fix' THEN f.owner ELSE w.team_id END AS team_id, c.effort_cost_usd, round(c.priority, 6) AS priority, round(CAST(c.addressable_pain_usd AS DOUBLE) * c.confidence * c.strategic_weight, 0) AS expected_impact_usd,
+@query(model_sql.with_tables(f"""SELECT c.candidate_id, c.candidate_type, CASE WHEN c.candidate_type = 'cluster_fix' THEN f.owner ELSE w.team_id END AS team_id, c.effort_cost_usd, round(c.priority, 6) AS priority, round(CAST(CAST(CAST(c.addressable_pain_usd AS DOUBLE) * c.confidence * c.strategic_weight AS DECIMAL(18,2)) AS DOUBLE), 0) AS expected_impact_usd,
  CASE WHEN c.candidate_type = 'cluster_fix' THEN {funding.SETTINGS.fix_effort_hours / funding.SETTINGS.hours_per_point!r}::DOUBLE ELSE p.points END AS points, coalesce(d.below, '') AS descendants, coalesce(b.ids, '') AS blockers, coalesce(o.n, 0) AS noncandidate_blockers
  FROM fs_score c LEFT JOIN core_work_item w ON w.record_id = c.candidate_id
  LEFT JOIN (SELECT x.ancestor_record_id AS id, sum(i.story_points) AS points FROM core_work_item_closure x JOIN ({_OPEN}) i ON i.record_id = x.record_id GROUP BY 1) p ON p.id = c.candidate_id

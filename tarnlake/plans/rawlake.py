@@ -154,7 +154,7 @@ RAW: dict[str, str] = {
             "issuetype": """CASE WHEN k % 43 = 0 THEN 'no json' ELSE '{"name": "' || CASE WHEN k % 90 = 1 THEN 'Initiative' WHEN k % 18 = 1 THEN 'Epic' WHEN k % 6 = 1 THEN 'Feature' WHEN k % 6 = 2 THEN 'Bug' WHEN k % 6 = 3 THEN 'Spike' ELSE 'Story' END || '"}' END""",
             "parent": """CASE WHEN k % 90 = 1 THEN '' WHEN k % 18 = 1 THEN '{"key": "P' || ((k - k % 90 + 1) % 6) || '-' || (k - k % 90 + 1) || '"}' WHEN k % 6 = 1 THEN '{"key": "P' || ((k - k % 18 + 1) % 6) || '-' || (k - k % 18 + 1) || '"}' ELSE '{"key": "P' || ((k - k % 6 + 1) % 6) || '-' || (k - k % 6 + 1) || '"}' END""",
             "project": """'{"key": "P' || (k % 6) || '"}'""",
-            "components": """CASE k % 3 WHEN 0 THEN '[{"name": "c' || (ck % 5) || '"}, {"name": "z"}]' WHEN 1 THEN '[]' ELSE '' END""",
+            "components": """CASE k % 3 WHEN 0 THEN '[{"name": "c' || (ck % 5) || '"}, {"name": "z"}]' WHEN 1 THEN CASE WHEN k % 900 IN (13, 91, 109) THEN '[{"name": "c1"}]' ELSE '[]' END ELSE '' END""",
             "labels": """CASE k % 4 WHEN 0 THEN '["a", "b c"]' WHEN 1 THEN '[' ELSE '' END""",
             "status": """'{"name": "' || CASE st WHEN 'F' THEN 'Done' WHEN 'O' THEN 'In Progress' ELSE 'Backlog' END || '"' || CASE k % 3 WHEN 0 THEN ', "statusCategory": {"key": "' || CASE st WHEN 'F' THEN 'done' WHEN 'O' THEN 'indeterminate' ELSE 'unknown' END || '"}' ELSE '' END || '}'""",
             "created": _iso("od"),
@@ -163,7 +163,7 @@ RAW: dict[str, str] = {
             "description": """CASE WHEN k % 2 = 0 THEN '{"type": "doc", "content": [{"text": "first part"}, {"content": [{"text" : "of ' || chr(92) || '"' || k || chr(92) || '""}]}]}' ELSE 'plain ' || k END""",
             "changelog": f"""CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN 'bad' WHEN 2 THEN '[{{"created": "' || {_iso('od')} || '", "items": [{{"field": "status", "fromString": "Backlog", "toString": "In Progress"}}, {{"field": "rank", "toString": "1"}}]}}]'
               ELSE '{{"histories": [{{"created": "' || {_iso('od')} || '", "items": [{{"field": "status", "fromString": "Backlog", "toString": "In Progress"}}]}}, {{"created": "' || {_iso(_days('od', '1 + k % 9'))} || '", "items": [{{"field": "status", "fromString": "In Progress", "toString": "' || CASE st WHEN 'F' THEN 'Done' ELSE 'Limbo' END || '"}}]}}]}}' END""",
-            "issuelinks": """CASE k % 5 WHEN 0 THEN '[{"type": {"name": "Blocks"}, "outwardIssue": {"key": "P' || ((k + 1) % 6) || '-' || (k + 1) || '"}}, {"type": {"name": "Blocks"}, "inwardIssue": {"key": "P' || ((k + 2) % 6) || '-' || (k + 2) || '"}}, {"type": {"name": "Empty"}}]' WHEN 1 THEN 'x' ELSE '' END""",
+            "issuelinks": """CASE k % 5 WHEN 2 THEN CASE k % 6 WHEN 1 THEN '[{"type": {"name": "Blocks"}, "outwardIssue": {"key": "P1-' || (k + 6) || '"}}]' ELSE '' END WHEN 0 THEN '[{"type": {"name": "Blocks"}, "outwardIssue": {"key": "P' || ((k + 1) % 6) || '-' || (k + 1) || '"}}, {"type": {"name": "Blocks"}, "inwardIssue": {"key": "P' || ((k + 2) % 6) || '-' || (k + 2) || '"}}, {"type": {"name": "Empty"}}]' WHEN 1 THEN 'x' ELSE '' END""",
             "remotelinks": """CASE k % 7 WHEN 0 THEN '[{"object": {"url": "https://t.example/INC' || (1000000 + k) || '?x=CHG12345", "title": "see PRB10' || (k % 10) || '0 or INC12"}}]' ELSE '' END""",
             "cf_points": "CASE k % 6 WHEN 5 THEN 'inf' WHEN 4 THEN '' ELSE CAST(k % 6 + 1 AS STRING) END",
             "cf_cost": "CASE k % 5 WHEN 0 THEN '1234.50' WHEN 1 THEN 'dear' ELSE '' END",
