@@ -73,11 +73,18 @@ class Model:
 
     @classmethod
     def of(cls, t: Tables) -> Model:
-        """The session's model of a folder of tables: what is written stays for later queries of the session."""
-        return _MODELS.setdefault((t.spark.sparkContext.applicationId, t.dir), cls(t))
+        """The session's model of a folder of tables as its files are now: what is written stays for later queries of the session."""
+        return _MODELS.setdefault((t.spark.sparkContext.applicationId, t.dir, state_of(t)), cls(t))
 
 
-_MODELS: dict[tuple[str, str], Model] = {}
+_MODELS: dict[tuple[str, str, str], Model] = {}
+
+
+def state_of(t: Tables) -> str:
+    """Names, sizes and times of the tables' files: other files mean another model."""
+    path = t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.dir}/*")
+    found = path.getFileSystem(t.spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return " ".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in found))
 
 
 # -- organisation -------------------------------------------------------------------
