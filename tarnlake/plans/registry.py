@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnlake.plans import enrichment, metrics, relational, scoring, model, stages, more  # noqa: F401  modules that add their queries
+from tarnlake.plans import enrichment, metrics, relational, scoring, model, canonical_metrics, stages, more  # noqa: F401  modules that add their queries
 from tarnlake.plans.adapter import FACTS_SQL, Tables, fact
 from tarnlake.streaming import queries as _stream  # noqa: F401
 
