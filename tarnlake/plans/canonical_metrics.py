@@ -8,15 +8,16 @@ those of another.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.plans import facts, model_sql
 from tarnlake.plans.adapter import Tables
 from tarnlake.plans.canonical import Model
-from tarnlake.plans.metrics import LIVE, Metric, _count, _mean, _median, _ratio, _sum, compute, sql
+from tarnlake.plans.metrics import LIVE, ZONE, Metric, _count, _mean, _median, _ratio, _sum, compute, sql
 from tarnlake.plans.orgscore import noise_events
 from tarnlake.plans.relational import QUERIES, SQL
+from tarnlake.streaming.stateful import timelines
 
 
 def _incident(m: Model) -> DataFrame:
@@ -31,12 +32,74 @@ def _caused(m: Model) -> DataFrame:
     return m.fact("change").filter("failed").join(pairs, "record_id")
 
 
-SOURCES = {"cm_incident": _incident, "cm_change": lambda m: m.fact("change"), "cm_caused": _caused, "cm_item": lambda m: m.fact("work_item"), "cm_noise": noise_events}
+#: Months of the snapshots, half open; items of these types are counted.
+MONTHS = ("1995-01-01", "2001-07-01")
+COUNTED = ("story", "bug", "task")
+
+
+def spans(m: Model) -> DataFrame:
+    """record_id, since, until, category: to do from creation on, then what each transition leads to."""
+    moved = m.core("work_item_transition").select("record_id", "at", F.coalesce("to_category", F.lit("todo")).alias("category"))
+    lines = timelines(moved, "record_id", "at", "category", keep_days=1_000_000)
+    first = moved.groupBy("record_id").agg(F.min("at").alias("until"))
+    new = m.fact("work_item").select("record_id", F.col("created_at").alias("since")).join(first, "record_id", "left").filter(F.col("until").isNull() | (F.col("since") < F.col("until")))
+    return lines.unionByName(new.filter("since is not null").withColumn("category", F.lit("todo")))
+
+
+def _at_months(rows: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Rows once for each first day of a month (``month``, local) that their span covers, from ``first`` to ``last``.
+
+    A span is laid out over its own months only; no spine is joined.
+    """
+    local = lambda c: F.from_utc_timestamp(c, ZONE)
+    start = F.trunc(local("since"), "month")
+    start = F.when(start.cast("timestamp") == local("since"), start).otherwise(F.add_months(start, 1))
+    lo, hi = F.greatest(start, first), F.least(F.coalesce(F.to_date(local("until")), last), last)
+    months = F.when(lo <= hi, F.sequence(lo, hi, F.expr("interval 1 month"))).otherwise(F.array().cast("array<date>"))
+    out = rows.withColumn("month", F.explode(months))
+    return out.filter(F.col("until").isNull() | (F.col("month").cast("timestamp") < local("until")))
+
+
+def _instant(day: Column) -> Column:
+    return F.to_utc_timestamp(day.cast("timestamp"), ZONE)
+
+
+def _snapshots(m: Model, category: str, at_start: bool) -> DataFrame:
+    """Items in a category at the start or the end of a month, with start_ts and end_ts of the month."""
+    begin, end = (F.lit(x).cast("date") for x in MONTHS)
+    items = m.fact("work_item").filter(F.col("type").isin(*COUNTED))
+    own = m.kept("cm_spans", lambda: spans(m)).filter(F.col("category") == category)
+    x = _at_months(own, begin, F.add_months(end, -1)) if at_start else _at_months(own, F.add_months(begin, 1), end)
+    start = F.col("month") if at_start else F.add_months("month", -1)
+    x = x.select("record_id", _instant(start).alias("start_ts"), _instant(F.add_months(start, 1)).alias("end_ts"))
+    return items.join(x, "record_id")
+
+
+def _backlog(m: Model) -> DataFrame:
+    return _snapshots(m, "todo", False).withColumn("age_d", (F.unix_timestamp("end_ts") - F.unix_timestamp("created_at")) / 86400.0)
+
+
+def _carried(m: Model) -> DataFrame:
+    x = _snapshots(m, "in_progress", True).withColumn("row", F.monotonically_increasing_id())
+    done = m.kept("cm_spans", lambda: spans(m)).filter("category = 'done'").select("record_id", "since", "until")
+    over = x.select("record_id", "row", "end_ts").join(done, "record_id").filter((F.col("since") <= F.col("end_ts")) & (F.col("until").isNull() | (F.col("until") > F.col("end_ts")))).select("row").distinct()
+    return x.join(over.withColumn("is_done", F.lit(True)), "row", "left").withColumn("is_open", F.col("is_done").isNull()).drop("row", "is_done")
+
+
+SOURCES = {"cm_wip": lambda m: _snapshots(m, "in_progress", False), "cm_backlog": _backlog, "cm_carried": _carried, "cm_incident": _incident, "cm_change": lambda m: m.fact("change"), "cm_caused": _caused, "cm_item": lambda m: m.fact("work_item"), "cm_noise": noise_events}
 CLUSTERED = ("cm_incident",)
 CTE = model_sql.CTE
 CTE["cm_incident_rows"] = "SELECT f.*, CASE WHEN a.acknowledged_at >= f.opened_at THEN (epoch(a.acknowledged_at) - epoch(f.opened_at)) / 60.0 END AS ack_m FROM fact_incident f JOIN core_incident a USING (record_id)"
 CTE["cm_change_rows"] = "SELECT * FROM fact_change"
 CTE["cm_caused_rows"] = "SELECT c.*, p.incident_id FROM fact_change c JOIN cause_pairs p ON p.change_id = c.record_id JOIN fact_incident f ON f.record_id = p.incident_id AND NOT f.excluded WHERE c.failed"
+CTE["cm_months"] = f"SELECT timezone('UTC', timezone('{ZONE}', r)) AS start_ts, timezone('UTC', timezone('{ZONE}', r + INTERVAL 1 MONTH)) AS end_ts FROM (SELECT unnest(range(TIMESTAMP '{MONTHS[0]}', TIMESTAMP '{MONTHS[1]}', INTERVAL 1 MONTH)) AS r)"
+CTE["cm_moves"] = """SELECT record_id, "at", coalesce(arg_max(to_category, CASE to_category WHEN 'done' THEN 2 WHEN 'in_progress' THEN 1 ELSE 0 END), 'todo') AS category FROM core_work_item_transition WHERE "at" IS NOT NULL GROUP BY 1, 2"""
+_items = f"(SELECT f.*, start_ts, end_ts FROM fact_work_item f JOIN cm_months ON true WHERE f.\"type\" IN {COUNTED!r})"
+CTE["cm_both"] = f"""SELECT w.*, coalesce(a.category, CASE WHEN created_at <= start_ts THEN 'todo' END) AS at_start, coalesce(b.category, CASE WHEN created_at <= end_ts THEN 'todo' END) AS at_end FROM {_items} w
+ ASOF LEFT JOIN cm_moves a ON a.record_id = w.record_id AND w.start_ts >= a."at" ASOF LEFT JOIN cm_moves b ON b.record_id = w.record_id AND w.end_ts >= b."at\""""
+CTE["cm_wip_rows"] = "SELECT * FROM cm_both WHERE at_end = 'in_progress'"
+CTE["cm_backlog_rows"] = "SELECT *, (epoch(end_ts) - epoch(created_at)) / 86400.0 AS age_d FROM cm_both WHERE at_end = 'todo'"
+CTE["cm_carried_rows"] = "SELECT *, coalesce(at_end, '') <> 'done' AS is_open FROM cm_both WHERE at_start = 'in_progress'"
 CTE["cm_item_rows"] = "SELECT * FROM fact_work_item"
 CTE["cm_noise_rows"] = "SELECT e.ts, e.service_id, o.owner AS team_id, v.org_id, e.incident_id FROM core_event e LEFT JOIN os_owner o USING (service_id) LEFT JOIN core_service v ON v.service_id = e.service_id WHERE e.severity IN ('info', 'warning')"
 for _name in SOURCES:
@@ -78,6 +141,9 @@ CATALOGUE: dict[str, Metric] = {
     "cm19_emergency_change_ratio": Metric("cm_change", "actual_end", "ratio", 3, **_ratio("type = 'emergency'", "deployed")),
     "cm20_throughput": Metric("cm_item", "done_at", "count", 1, where=_done, **_count()),
     "cm21_cycle_time_days": Metric("cm_item", "done_at", "days", 3, where=_done, **_median("cycle_days")),
+    "cm22_carryover_rate": Metric("cm_carried", "start_ts", "ratio", 3, **_ratio("is_open")),
+    "cm23_backlog_age_days": Metric("cm_backlog", "start_ts", "days", 3, **_median("age_d")),
+    "cm24_wip_count": Metric("cm_wip", "start_ts", "count", 1, **_count()),
     "cm25_unplanned_work_ratio": Metric("cm_item", "done_at", "ratio", 5, where=_done, **_ratio("is_unplanned")),
 }
 
