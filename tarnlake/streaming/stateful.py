@@ -1,6 +1,6 @@
-"""State with event time: timelines of categories and versions seen, with timers and time to live.
+"""State with event time: timelines of categories, with timers that close intervals and let idle keys go.
 
-Both run with RocksDB as state store (``stateful_conf``) and go on from a checkpoint.
+They run with RocksDB as state store (``stateful_conf``) and go on from a checkpoint.
 """
 
 from __future__ import annotations
@@ -34,10 +34,6 @@ def _ts(ms: int | None) -> pd.Timestamp | None:
     return None if ms is None else pd.Timestamp(ms, unit="ms")
 
 
-def _plain(x: pd.Series) -> pd.Series:
-    return x.astype(object) if pd.api.types.is_string_dtype(x.dtype) else x
-
-
 def _intervals(key: str, value: object, rows: list[tuple]) -> pd.DataFrame:
     times = {c: pd.Series([_ts(r[k]) for r in rows], dtype="datetime64[ns]") for k, c in enumerate(("since", "until"))}
     return pd.DataFrame({key: pd.Series([value] * len(rows), dtype=object), **times, "category": pd.Series([r[2] for r in rows], dtype=object)})
@@ -121,38 +117,3 @@ def category_at(intervals: DataFrame, asked: DataFrame, key: str, at: str) -> Da
     known = intervals.select(F.col(key).alias("__k"), "since", "until", "category")
     both = asked.withColumn("__row", F.monotonically_increasing_id()).join(known, (F.col(key) == F.col("__k")) & (F.col("since") <= F.col(at)) & (F.col("until").isNull() | (F.col("until") > F.col(at))), "left")
     return best_by(both, ["__row"], F.desc_nulls_last("since")).drop("__k", "since", "until", "__row")
-
-
-class FirstOf(StatefulProcessor):
-    """The first row of each version; a version is forgotten after its time to live."""
-
-    def __init__(self, columns: list[str], ttl_ms: int | None):
-        self.columns, self.ttl_ms = columns, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "version string", "times long", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for b in rows:
-            fresh = []
-            for k, version in enumerate(b["version_sha256"]):
-                n = self.seen.getValue((version,))[0] if self.seen.containsKey((version,)) else 0
-                self.seen.updateValue((version,), (n + 1,))
-                if n == 0:
-                    fresh.append(k)
-            yield b.iloc[fresh][self.columns].apply(_plain)
-
-    def close(self) -> None:
-        pass
-
-
-def first_versions(records: DataFrame, key: str, version: list[str], keep_minutes: float | None = None) -> DataFrame:
-    """Rows whose (key, version) hasn't come before, within ``keep_minutes`` of processing time (None: ever).
-
-    What an overlap fetches again goes no further.
-    """
-    tagged = records.withColumn("version_sha256", F.sha2(F.to_json(F.struct(*version)), 256))
-    if not records.isStreaming:
-        return tagged.dropDuplicates([key, "version_sha256"]).drop("version_sha256")
-    ttl = None if keep_minutes is None else int(keep_minutes * 60_000)
-    return tagged.groupBy(key).transformWithStateInPandas(FirstOf(records.columns, ttl), records.schema, "Append", "ProcessingTime")

@@ -1,10 +1,9 @@
-"""Timelines and first versions as streams: late rows, eviction, restarts, against the batch form."""
+"""Timelines as streams: late rows, eviction, restarts, against the batch form."""
 
 import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from tarnlake.streaming import stateful as S
 
@@ -109,23 +108,3 @@ def test_category_at_a_time(spark):
     asked = spark.createDataFrame([("a", T0 - timedelta(1)), ("a", T0), ("a", T0 + timedelta(hours=1)), ("a", T0 + timedelta(hours=2)), ("z", T0)], "item string, at timestamp")
     got = S.category_at(S.timelines(t, "item", "ts", "cat"), asked, "item", "at").orderBy("item", "at").collect()
     assert [r["category"] for r in got] == [None, "todo", "todo", "done", None]
-
-
-def test_versions_fetched_twice_go_no_further(spark, tmp_path):
-    folder, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
-
-    def go():
-        src = spark.readStream.schema("item string, ts timestamp, cat string").option("maxFilesPerTrigger", 1).parquet(folder)
-        S.first_versions(src, "item", ["ts", "cat"], keep_minutes=60).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
-
-    put(spark, folder, 0, [("a", 0, "x"), ("a", 0, "x"), ("a", 5, "x"), ("b", 0, "x")])
-    put(spark, folder, 1, [("a", 5, "x"), ("a", 9, "y")])
-    go()
-    put(spark, folder, 2, [("b", 0, "x"), ("b", 0, "z")])
-    go()
-    want = rows_of_first(S.first_versions(spark.read.parquet(folder), "item", ["ts", "cat"]))
-    assert rows_of_first(spark.read.parquet(out)) == want and len(want) == 5
-
-
-def rows_of_first(df):
-    return sorted((r["item"], r["ts"], r["cat"]) for r in df.select("item", F.col("ts"), "cat").collect())
