@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -95,6 +96,31 @@ def keep_only(kept) -> None:
     for c in _CACHES:
         if c is not kept:
             c.cache_clear()
+    give_back()
+
+
+#: glibc's numbers for the size from which on an allocation is a mapping of its own, and for the free end that the heap keeps; what they are set to.
+M_MMAP_THRESHOLD, OWN_MAPPING = -3, 1 << 19
+M_TRIM_THRESHOLD, FREE_END = -1, 1 << 24
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    """glibc's malloc_trim; large arrays become mappings, which go back as soon as they are freed."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(M_MMAP_THRESHOLD, OWN_MAPPING)
+        libc.mallopt(M_TRIM_THRESHOLD, FREE_END)
+        return libc.malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """What has been freed goes back to the system: workers outlive their tasks, and what each of
+    them needed at most would stay with it, in an executor whose memory they share."""
+    _trim()(0)
+    pa.default_memory_pool().release_unused()
 
 
 def tokenizer_file(name: str) -> str:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, keep_only, packed, per_worker, unpacked, written
+from .common import attach, give_back, keep_only, packed, per_worker, unpacked, written
 from .components import components
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -141,6 +141,56 @@ SINGLE, SEVERAL, PAIRS = 0, 1, 2
 DEALT = "range long, kind int, idx binary, tok binary, sigs binary, sizes binary, runs binary"
 
 
+#: (set, hash) pairs of a stretch that are ordered at once.
+ORDERED_PAIRS = 250_000
+
+
+def _stretch(sets: list[tuple[int, np.ndarray]], bits: int) -> Iterator[pa.RecordBatch]:
+    """DEALT of one stretch, whose (sig, hashes) are taken out of ``sets``; what is done with is let go."""
+    types = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["range", "kind", "idx", "tok", "sigs", "sizes", "runs"])
+
+    sets.sort(key=lambda s: s[0] % (1 << 64))  # as _by_bucket orders them
+    sigs = np.array([g for g, _ in sets], np.int64)
+    sizes = np.array([len(s) for _, s in sets], np.uint32)
+    tok = np.concatenate([s for _, s in sets])
+    sets.clear()
+    order = np.argsort(tok, kind="stable").astype(np.uint32)
+    tok = tok[order]
+    own = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)[order]
+    del order
+    first = np.r_[True, tok[1:] != tok[:-1]]
+    single = first & np.r_[first[1:], True]
+    for kind, keep in ((SINGLE, single), (SEVERAL, first & ~single)):
+        t, o, rows = tok[keep], own[keep], []
+        if not len(t):
+            continue
+        ranges = (t >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(t), np.int64)
+        at = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]])
+        for a, b in zip(at, np.r_[at[1:], len(t)], strict=True):
+            if kind == SEVERAL:
+                rows.append((int(ranges[a]), kind, b"", _delta(t[a:b]), b"", b"", b""))
+                continue
+            there, idx = np.unique(o[a:b], return_inverse=True)
+            rows.append((int(ranges[a]), kind, packed(idx.astype(np.uint32)), _delta(t[a:b]), sigs[there].tobytes(), sizes[there].tobytes(), b""))
+        del t, o, ranges
+        yield batch(rows)
+    tok, own = tok[~single], own[~single]
+    del first, single
+    if not len(tok):
+        return
+    # Sets come in order, so a part of them is some buckets, of which the ends may be in two parts.
+    ends = np.cumsum(np.bincount(own, minlength=len(sizes)))
+    cuts = np.searchsorted(ends, np.arange(0, len(own), ORDERED_PAIRS), side="right")
+    for a, b in zip(cuts, np.r_[cuts[1:], len(sizes)], strict=True):
+        part = (own >= a) & (own < b)
+        t, o = tok[part], own[part]
+        if rows := [(bucket, PAIRS, b"", toks, s, z, runs) for bucket, s, z, runs, toks in _by_bucket(t, sigs[o], sizes[o], bits)]:
+            yield batch(rows)
+
+
 def _dealt(docs: DataFrame, id_col: str, text_col: str, n: int, bits: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """DEALT, one stretch of input at a time.
 
@@ -151,31 +201,6 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str, n: int, bits: int, hot:
     """
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
-    def emit(sets: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        sizes = np.array([len(s) for _, s in sets], np.uint32)
-        tok = np.concatenate([s for _, s in sets])
-        own = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
-        sigs = np.array([g for g, _ in sets], np.int64)
-        order = np.argsort(tok, kind="stable")
-        tok, own = tok[order], own[order]
-        first = np.r_[True, tok[1:] != tok[:-1]]
-        single = first & np.r_[first[1:], True]
-        rows = [(bucket, PAIRS, b"", toks, s, z, runs) for bucket, s, z, runs, toks in _by_bucket(tok[~single], sigs[own[~single]], sizes[own[~single]], bits)]
-        for kind, keep in ((SINGLE, single), (SEVERAL, first & ~single)):
-            t, o = tok[keep], own[keep]
-            if not len(t):
-                continue
-            ranges = (t >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(t), np.int64)
-            at = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]])
-            for a, b in zip(at, np.r_[at[1:], len(t)], strict=True):
-                if kind == SEVERAL:
-                    rows.append((int(ranges[a]), kind, b"", _delta(t[a:b]), b"", b"", b""))
-                    continue
-                there, idx = np.unique(o[a:b], return_inverse=True)
-                rows.append((int(ranges[a]), kind, packed(idx.astype(np.uint32)), _delta(t[a:b]), sigs[there].tobytes(), sizes[there].tobytes(), b""))
-        types = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["range", "kind", "idx", "tok", "sigs", "sizes", "runs"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only(shingler)
         hot_sigs, speakers = shared.value
@@ -197,10 +222,11 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str, n: int, bits: int, hot:
                     held.append((g, s))
                     count += len(s)
                     if count > STRETCH_HASHES:
-                        yield emit(held)
-                        held, count = [], 0
+                        yield from _stretch(held, bits)
+                        count = 0
         if held:
-            yield emit(held)
+            yield from _stretch(held, bits)
+        give_back()
 
     src = docs.select(F.xxhash64(id_col).alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return src.mapInArrow(run, DEALT)
