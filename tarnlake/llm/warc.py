@@ -134,11 +134,32 @@ def ranges(rows: list[tuple[int, int]], gap: int, most: int) -> Iterator[tuple[i
         yield start, end, own
 
 
+def parsed(raw: bytes, start: int, own: list[tuple[int, int]], payloads: bool, most: int) -> Iterator[list[dict]]:
+    """The records of a read that began at ``start``, in lists of about ``most`` payload bytes.
+
+    A short range may hold long payloads, so they are unpacked one after another.
+    """
+    found, held = [], 0
+    for o, n in own:
+        x = parse(raw[o - start : o - start + n])
+        if x["record_type"] == "response":
+            x["payload_digest"] = hashlib.sha1(x["payload"]).hexdigest()
+        if not payloads:
+            x["payload"] = None
+        found.append(x)
+        held += len(x["payload"] or b"")
+        if held > most:
+            yield found
+            found, held = [], 0
+    if found:
+        yield found
+
+
 def read_records(index: DataFrame, payloads: bool = True, gap: int = 65_536, most: int = 8_388_608, job_bytes: int = 16_777_216) -> DataFrame:
     """The selected records (rows of an index, any filter applied), READ by range.
 
     ``gap``: bytes read in vain between two records rather than by a second request.
-    ``most``: bytes in one read, unless one record is longer.  ``job_bytes``: of a file,
+    ``most``: bytes in one read, and of payloads in one batch, unless one record is longer.  ``job_bytes``: of a file,
     bytes given to one task.  A response's digest is computed from the bytes read.  An
     empty index gives an empty table.
     """
@@ -155,13 +176,8 @@ def read_records(index: DataFrame, payloads: bool = True, gap: int = 65_536, mos
                     for start, end, own in ranges(sorted(rows), gap, most):
                         f.seek(start)
                         raw = f.read(end - start)
-                        found = [parse(raw[o - start : o - start + n]) for o, n in own]
-                        for x in found:
-                            if x["record_type"] == "response":
-                                x["payload_digest"] = hashlib.sha1(x["payload"]).hexdigest()
-                            if not payloads:
-                                x["payload"] = None
-                        yield pa.RecordBatch.from_pylist(found, schema=arrow)
+                        for found in parsed(raw, start, own, payloads, most):
+                            yield pa.RecordBatch.from_pylist(found, schema=arrow)
 
     arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
     picked = index.select("file", "offset", "length")

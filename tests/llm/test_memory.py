@@ -1,4 +1,4 @@
-"""What workers hold: freed memory and stretches of input."""
+"""What workers hold: freed memory, stretches of input, unpacked payloads."""
 
 import subprocess
 import sys
@@ -7,7 +7,7 @@ from pathlib import Path
 
 import numpy as np
 
-from tarnlake.llm import ngram_join
+from tarnlake.llm import ngram_join, warc
 
 FREED = """
 import re
@@ -84,3 +84,22 @@ def test_stretch_needs_little_more_than_its_hashes():
         assert tracemalloc.get_traced_memory()[1] < 70 * n
     finally:
         tracemalloc.stop()
+
+
+def test_long_payloads_of_short_records_one_after_another():
+    payload, raw, own = b"x" * 4_000_000, b"", []
+    for k in range(40):
+        own.append((len(raw), len(r := warc.record(k, "u", payload, "d", "response", None))))
+        raw += r
+    assert len(raw) < 1_000_000
+    tracemalloc.start()
+    try:
+        assert sum(len(x) for x in warc.parsed(raw, 0, own, False, 8_388_608)) == 40
+        lists = 0
+        for found in warc.parsed(raw, 0, own, True, 8_388_608):
+            lists += 1
+            assert all(x["payload"] == payload for x in found)
+        assert lists == 14
+        assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    finally:
+        tracemalloc.stop()
