@@ -21,7 +21,8 @@ looked up in the worker (a bounded list); the others are joined by word.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import small_batches
-from .common import packed, per_worker, unpacked, written
+from .common import give_back, keep_only, packed, unpacked, written
 
 END = b""  # no word is empty, so the empty word stands for a document's end
 #: Of a filter held as a whole: 2**LOG_BITS bits in 2**LOG_SEGMENTS parts.  There are as many ranges as parts at least.
@@ -41,6 +42,8 @@ LOG_BITS, LOG_SEGMENTS, PROBES = 27, 6, 4
 ITEM_BITS = 40
 #: Tokens of a batch of texts.
 BATCH_TOKENS = 1_500_000
+#: Elements of long arrays that are worked on at once: what is made meanwhile fits a core's cache, and a worker's heap.
+PART = 50_000
 #: Words looked up in the worker; each at most so many bytes long: 20 MB at the most.
 HOT_WORDS, HOT_BYTES = 200_000, 100
 TOP_LEVEL = 48
@@ -63,25 +66,12 @@ def bigram(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mixed(h * np.uint64(0x9E3779B97F4A7C15) + w)
 
 
-class WordHashes:
-    """64-bit hashes of words, made once per worker."""
+def word_hashes(words: Iterable[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w, 7) for w in words], np.uint64)
 
-    def __init__(self, most: int = 500_000):
-        self.most = most
-        self.known: dict[bytes, int] = {}
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for w in {w for w in words if w not in known}:
-            known[w] = xxhash.xxh64_intdigest(w, 7)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-@per_worker
-def hashes() -> WordHashes:
-    return WordHashes()
+def parts(n: int) -> Iterator[slice]:
+    return (slice(a, min(a + PART, n)) for a in range(0, n, PART))
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -108,7 +98,13 @@ class LogFrequencyFilter:
 
     def level(self, items: np.ndarray) -> np.ndarray:
         """The level of each item: probes go up while every probe of a level hits."""
-        out = np.zeros(len(items), np.int64)
+        out = np.zeros(len(items), np.uint8)
+        for own in parts(len(items)):
+            out[own] = self._level(items[own])
+        return out
+
+    def _level(self, items: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(items), np.uint8)
         at = np.arange(len(items))
         for level in range(1, TOP_LEVEL):
             own = items[at]
@@ -140,6 +136,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """word (binary), c: counts of the words and ends of a column of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(None)
         c: Counter = Counter()
 
         def out() -> pa.RecordBatch:
@@ -154,6 +151,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 c.clear()
         if c:
             yield out()
+        c.clear()
+        give_back()
 
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -162,11 +161,22 @@ def _grams(words: np.ndarray, seq: np.ndarray) -> Iterator[tuple[int, np.ndarray
     """order, items (distinct, ascending), place of each token's item: the n-grams of a batch of texts."""
     items = mixed(words)
     by = np.argsort(items)
-    place = np.empty(len(by), np.int64)
-    place[by] = np.arange(len(by))
+    place = np.empty(len(by), np.uint32)
+    place[by] = np.arange(len(by), dtype=np.uint32)
     yield 1, items[by], place[seq]
-    w = words[seq]
-    items, place = np.unique(bigram(np.r_[hashes().of([END]), w[:-1]], w), return_inverse=True)
+    items = np.empty(len(seq), np.uint64)
+    before = word_hashes([END])
+    for part in parts(len(seq)):
+        w = np.r_[before, words[seq[part]]]
+        items[part] = bigram(w[:-1], w[1:])
+        before = w[-1:]
+    by = np.argsort(items)
+    items = items[by]
+    first = np.r_[True, items[1:] != items[:-1]]
+    place = np.empty(len(by), np.uint32)
+    place[by] = np.cumsum(first, dtype=np.uint32) - np.uint32(1)
+    del by
+    items = items[first]
     yield 2, items, place
 
 
@@ -174,21 +184,23 @@ def _dealt(batches: DataFrame, bits: int) -> DataFrame:
     """range, order, batch, high, low, counts: each batch's n-grams and how often its training texts have them."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(None)
         for r in rows:
-            for x in r.to_pylist():
+            for at in range(r.num_rows):
+                x = {k: r.column(k)[at].as_py() for k in r.schema.names}
                 words, seq = np.frombuffer(x["words"], np.uint64), unpacked(x["seq"], np.uint32)
                 train = ~np.repeat(np.array(x["held_out"], bool), x["sizes"])
                 out = []
                 for order, items, place in _grams(words, seq):
                     counts = np.bincount(place[train], minlength=len(items)).astype(np.uint32)
-                    ranges = (items >> np.uint64(64 - bits)).astype(np.int64)
-                    own = (items >> np.uint64(64 - bits - ITEM_BITS)) & np.uint64((1 << ITEM_BITS) - 1)
-                    high, low = (own >> np.uint64(32)).astype(np.uint8), own.astype(np.uint32)
-                    at = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]])
-                    for a, b in zip(at, np.r_[at[1:], len(items)], strict=True):
-                        out.append((int(ranges[a]), order, x["batch"], packed(high[a:b]), low[a:b].tobytes(), packed(counts[a:b])))
+                    cuts = np.searchsorted(items, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+                    for number, (a, b) in enumerate(zip(cuts, np.r_[cuts[1:], len(items)], strict=True)):
+                        if a < b:
+                            own = (items[a:b] >> np.uint64(64 - bits - ITEM_BITS)) & np.uint64((1 << ITEM_BITS) - 1)
+                            out.append((number, order, x["batch"], packed((own >> np.uint64(32)).astype(np.uint8)), own.astype(np.uint32).tobytes(), packed(counts[a:b])))
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names=["range", "order", "batch", "high", "low", "counts"])
+        give_back()
 
     return batches.select("batch", "held_out", "sizes", "words", "seq").mapInArrow(run, "range long, order int, batch long, high binary, low binary, counts binary")
 
@@ -200,12 +212,12 @@ def _segment(least: dict[int, int], log_bits: int = LOG_BITS - LOG_SEGMENTS):
         bits = np.zeros(1 << log_bits, bool)
         for r in rows.itertuples(index=False):
             items, level = np.frombuffer(r.items, np.uint64), np.frombuffer(r.levels, np.uint8)
-            keep = level >= least[r.order]
-            items, level = items[keep], level[keep].astype(np.int64)
-            for x in range(1, int(level.max(initial=0)) + 1):
-                own = items[level >= x]
-                for p in places(own, x, log_bits):
-                    bits[p] = True
+            for part in parts(len(items)):
+                keep = level[part] >= least[r.order]
+                these, up_to = items[part][keep], level[part][keep]
+                for x in range(1, int(up_to.max(initial=0)) + 1):
+                    for p in places(these[up_to >= x], x, log_bits):
+                        bits[p] = True
         return pd.DataFrame({"segment": [key[0]], "part": [np.packbits(bits, bitorder="little").tobytes()]})
 
     return run
@@ -213,27 +225,32 @@ def _segment(least: dict[int, int], log_bits: int = LOG_BITS - LOG_SEGMENTS):
 
 def _looked_up(rows: pd.DataFrame) -> pd.DataFrame:
     """One range: its segment of the filter from all training counts, and the levels it has for each batch's n-grams."""
+    keep_only(None)
     asked, put = [], []
     for order, own in rows.groupby("order"):
         own = own.reset_index(drop=True)
-        items = np.concatenate([unpacked(h, np.uint8).astype(np.uint64) << np.uint64(32) | np.frombuffer(x, np.uint32) for h, x in zip(own["high"], own["low"], strict=True)])
-        counts = np.concatenate([unpacked(x, np.uint32) for x in own["counts"]]).astype(np.int64)
-        by = np.argsort(items, kind="stable")
-        starts = np.flatnonzero(np.r_[True, items[by][1:] != items[by][:-1]])
-        each = np.diff(np.r_[starts, len(items)])
-        items, counts = items[by][starts], np.add.reduceat(counts[by], starts)
-        seen = counts > 0
-        put.append((int(order), items[seen], levels(counts[seen])))
-        asked.append((int(order), own, items, by, each))
-    insertions = sum(int(level.sum()) for _, _, level in put)
+        ends = np.cumsum([len(x) // 4 for x in own["low"]])
+        items, counts = np.empty(ends[-1], np.uint64), np.empty(ends[-1], np.uint32)
+        for a, b, h, x, c in zip(np.r_[0, ends[:-1]], ends, own["high"], own["low"], own["counts"], strict=True):
+            items[a:b] = unpacked(h, np.uint8).astype(np.uint64) << np.uint64(32) | np.frombuffer(x, np.uint32)
+            counts[a:b] = unpacked(c, np.uint32)
+        by = np.argsort(items)
+        items, counts, by = items[by], counts[by], by.astype(np.uint32)
+        first = np.r_[True, items[1:] != items[:-1]]
+        starts = np.flatnonzero(first)
+        level = levels(np.add.reduceat(counts, starts, dtype=np.int64)).astype(np.uint8)  # of no training text: 0
+        del counts, starts
+        items = items[first]
+        put.append((int(order), items, level))
+        asked.append((int(order), own[["batch", "range"]], ends, items, by, first))
+    insertions = sum(int(level.sum(dtype=np.int64)) for _, _, level in put)
     log_bits = max(10, int(np.ceil(np.log2(max(1, insertions) * PROBES / 0.69))))  # half of the bits are set at most
-    frame = pd.DataFrame([(order, items.tobytes(), level.astype(np.uint8).tobytes()) for order, items, level in put], columns=["order", "items", "levels"])
+    frame = pd.DataFrame(put, columns=["order", "items", "levels"])
     model = LogFrequencyFilter(_segment({1: 1, 2: 1}, log_bits)((0,), frame)["part"][0], 0)
     out = []
-    for order, own, items, by, each in asked:
+    for order, own, ends, items, by, first in asked:
         level = np.empty(len(by), np.uint8)
-        level[by] = np.repeat(model.level(items).astype(np.uint8), each)
-        ends = np.cumsum([len(x) // 4 for x in own["low"]])
+        level[by] = np.repeat(model.level(items), np.diff(np.flatnonzero(np.r_[first, True])))
         for batch, range_, a, b in zip(own["batch"], own["range"], np.r_[0, ends[:-1]], ends, strict=True):
             out.append((int(batch), int(range_), order, packed(level[a:b])))
     return pd.DataFrame(out, columns=["batch", "range", "order", "levels"])
@@ -282,15 +299,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weigh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        keep_only(None)
         known = hot.value
         rid = TaskContext.get().partitionId() << 40
-        held: dict[str, list] = {k: [] for k in (*[k for k, _ in lists], "w")}
+        held: dict[str, list] = {k: [] for k in (*[k for k, _ in lists], "w", "seq")}
         tokens = 0
 
         def out() -> pa.RecordBatch:
             nonlocal rid
-            words, seq, times = np.unique(np.concatenate(held["w"]), return_inverse=True, return_counts=True)
-            by = np.argsort(-times, kind="stable")  # frequent words have small numbers, which pack well
+            words, place = np.unique(np.concatenate(held["w"]), return_inverse=True)
+            place = np.split(place.astype(np.uint32), np.cumsum([len(w) for w in held["w"]])[:-1])
+            seq = np.concatenate([p[s] for p, s in zip(place, held["seq"], strict=True)])
+            by = np.argsort(-np.bincount(seq), kind="stable")  # frequent words have small numbers, which pack well
             place = np.empty(len(by), np.uint32)
             place[by] = np.arange(len(by))
             columns = [pa.array([rid])]
@@ -307,32 +327,36 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weigh
             for part in small_batches(t.as_py() for t in b.column("text")):
                 split = [[*words_of(t), END] for t in part]
                 sizes = np.array([len(s) for s in split])
-                flat = [w for s in split for w in s]
+                number = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+                seq = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.uint32, sizes.sum())
                 starts = np.r_[0, np.cumsum(sizes)[:-1]]
-                c = np.fromiter((known.get(x, -1) for x in flat), np.int64, len(flat))
+                c = np.fromiter((known.get(w, -1) for w in number), np.int64, len(number))
                 logs = np.where(c >= 0, np.log10((np.maximum(c, 0) + 1) / scale), 0.0)
                 rare, times = [], []
                 for a, s in zip(starts, split, strict=True):
-                    own = np.flatnonzero(c[a : a + len(s)] < 0)
+                    own = np.flatnonzero(c[seq[a : a + len(s)]] < 0)
                     r = Counter([s[k] for k in own])
                     rare.append(list(r.keys()))
                     times.append(list(r.values()))
                 k = len(part)
-                new = (b.column("id").slice(done, k), b.column("held_out").slice(done, k), pa.array(sizes.astype(np.int64)), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(logs, starts)), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32())))
+                new = (b.column("id").slice(done, k), b.column("held_out").slice(done, k), pa.array(sizes.astype(np.int64)), pa.array(np.add.reduceat((c > 0)[seq], starts, dtype=np.int64)), pa.array(np.add.reduceat(logs[seq], starts)), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32())))
                 for (name, _), x in zip(lists, new, strict=True):
                     held[name].append(x)
-                held["w"].append(hashes().of(flat))
+                held["w"].append(word_hashes(number))
+                held["seq"].append(seq)
                 done += k
-                tokens += len(flat)
+                tokens += len(seq)
                 if tokens > BATCH_TOKENS:
                     yield out()
                     tokens = 0
         if tokens:
             yield out()
+        give_back()
 
     batches = written(src.mapInArrow(run, schema), "batches")
 
     def scored(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(None)
         for r in rows:
             for at in range(r.num_rows):
                 x = {k: r.column(k)[at] for k in ("batch", "ids", "held_out", "sizes", "n_known", "base", "words", "seq", "levels")}
@@ -341,15 +365,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weigh
                 for y in sorted(x["levels"].as_py(), key=lambda y: y["range"]):
                     level[y["order"]].append(unpacked(y["levels"], np.uint8))
                 grams = _grams(np.frombuffer(x["words"].as_py(), np.uint64), unpacked(x["seq"].as_py(), np.uint32))
-                single, pair = (expected(np.concatenate(level[order]))[place] for order, _, place in grams)
-                starts = np.r_[0, np.cumsum(sizes)[:-1]]
-                before = np.r_[single[-1], single[:-1]]  # every text ends with the end, and starts from it
-                pair = np.minimum(pair, before)
-                p = weight * np.divide(pair, before, out=np.zeros(len(pair)), where=before > 0) + (1 - weight) * (single + 1) / scale
-                p = np.where(before > 0, p, (single + 1) / scale)
-                scores = np.add.reduceat(np.log10(p), starts)
+                single, pair = (np.concatenate(level[order])[place] for order, _, place in grams)
+                logs = np.empty(len(single))
+                for part in parts(len(single)):
+                    c, before = expected(single[part]), expected(single[np.arange(part.start, part.stop) - 1])  # every text ends with the end, and starts from it
+                    p = weight * np.divide(np.minimum(expected(pair[part]), before), before, out=np.zeros(len(c)), where=before > 0) + (1 - weight) * (c + 1) / scale
+                    logs[part] = np.log10(np.where(before > 0, p, (c + 1) / scale))
+                scores = np.add.reduceat(logs, np.r_[0, np.cumsum(sizes)[:-1]])
                 columns = [pa.array(x["batch"].as_py() + np.arange(len(sizes))), x["ids"].values, x["held_out"].values, pa.array(sizes.astype(np.int64)), x["n_known"].values, x["base"].values, pa.array(scores)]
                 yield pa.RecordBatch.from_arrays(columns, names=["rid", "id", "held_out", "n_tokens", "n_known", "base", "score"])
+        give_back()
 
     fields = [("rid", T.LongType()), ("id", id_type), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), *each[:2], ("score", T.DoubleType())]
     whole = batches.drop("rare", "times").join(gram_levels(batches, n), "batch")

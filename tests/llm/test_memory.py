@@ -6,8 +6,10 @@ import tracemalloc
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
+import pytest
 
-from tarnlake.llm import ngram_join, warc
+from tarnlake.llm import common, lm, ngram_join, warc
 
 FREED = """
 import re
@@ -103,3 +105,54 @@ def test_long_payloads_of_short_records_one_after_another():
         assert tracemalloc.get_traced_memory()[1] < 60_000_000
     finally:
         tracemalloc.stop()
+
+
+def test_a_range_of_ngrams_needs_little_more_than_they():
+    rng, rows, n = np.random.default_rng(5), [], 0
+    for batch in range(20):
+        for order, most in ((1, 10_000), (2, 60_000)):
+            items = np.unique(rng.integers(0, 1 << lm.ITEM_BITS, most, dtype=np.uint64) % np.uint64(20 * most))
+            rows.append((0, order, batch, common.packed((items >> np.uint64(32)).astype(np.uint8)), items.astype(np.uint32).tobytes(), common.packed(rng.integers(0, 4, len(items)).astype(np.uint32))))
+            n += len(items)
+    rows = pd.DataFrame(rows, columns=["range", "order", "batch", "high", "low", "counts"])
+    tracemalloc.start()
+    try:
+        got = lm._looked_up(rows)
+        assert tracemalloc.get_traced_memory()[1] < 50 * n
+    finally:
+        tracemalloc.stop()
+    assert sum(len(common.unpacked(x, np.uint8)) for x in got["levels"]) == n
+
+
+def test_the_ngrams_of_a_batch_need_little_more_than_they():
+    n = 400_000
+    rng = np.random.default_rng(6)
+    words, seq = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64), rng.integers(0, 20_000, n).astype(np.uint32)
+    tracemalloc.start()
+    try:
+        found = {order: (len(items), len(place)) for order, items, place in lm._grams(words, seq)}
+        assert tracemalloc.get_traced_memory()[1] < 40 * n
+    finally:
+        tracemalloc.stop()
+    assert found[1] == (20_000, n) and found[2][1] == n
+
+
+class Mapped:
+    """Stands for a DataFrame: keeps what its workers would run."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def __getattr__(self, name):
+        return lambda *args, **more: self
+
+
+@pytest.mark.parametrize("of", [lm.word_counts, lambda batches: lm._dealt(batches, 6)])
+def test_workers_of_op3_drop_what_others_kept(spark, monkeypatch, of):
+    monkeypatch.setattr(common, "_CACHES", [])
+    kept = common.per_worker(lambda: bytearray(1))
+    first, rows = kept(), Mapped()
+    of(rows)
+    assert list(rows.run(iter([]))) == []
+    assert kept() is not first
