@@ -80,10 +80,11 @@ def _backlog(m: Model) -> DataFrame:
 
 
 def _carried(m: Model) -> DataFrame:
-    x = _snapshots(m, "in_progress", True).withColumn("row", F.monotonically_increasing_id())
+    x = _snapshots(m, "in_progress", True)
     done = m.kept("cm_spans", lambda: spans(m)).filter("category = 'done'").select("record_id", "since", "until")
-    over = x.select("record_id", "row", "end_ts").join(done, "record_id").filter((F.col("since") <= F.col("end_ts")) & (F.col("until").isNull() | (F.col("until") > F.col("end_ts")))).select("row").distinct()
-    return x.join(over.withColumn("is_done", F.lit(True)), "row", "left").withColumn("is_open", F.col("is_done").isNull()).drop("row", "is_done")
+    # met by item and month: a row number would not be the same where the snapshots are made a second time
+    over = x.select("record_id", "end_ts").join(done, "record_id").filter((F.col("since") <= F.col("end_ts")) & (F.col("until").isNull() | (F.col("until") > F.col("end_ts")))).select("record_id", "end_ts").distinct()
+    return x.join(over.withColumn("is_done", F.lit(True)), ["record_id", "end_ts"], "left").withColumn("is_open", F.col("is_done").isNull()).drop("is_done")
 
 
 SOURCES = {"cm_wip": lambda m: _snapshots(m, "in_progress", False), "cm_backlog": _backlog, "cm_carried": _carried, "cm_incident": _incident, "cm_change": lambda m: m.fact("change"), "cm_caused": _caused, "cm_item": lambda m: m.fact("work_item"), "cm_noise": noise_events}

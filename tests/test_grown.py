@@ -1,10 +1,13 @@
 """What only shows on larger or odd tables: each of these failed once."""
 
+import random
 from datetime import datetime, timedelta
 
 from oracle import difference
 
-from tarnlake.plans import registry
+from pyspark.sql import functions as F
+
+from tarnlake.plans import canonical_metrics, registry
 
 T0 = datetime(2024, 1, 1)
 
@@ -42,3 +45,27 @@ def test_sessions_end_after_two_hours_to_the_second(spark, tmp_path):
             at, n = at + timedelta(seconds=g), n + 1
             rows.append((n, at.replace(microsecond=part if n % 2 else 0), user, "view", 1.0, "{}"))
     assert matches(spark, "session_windows", tables(spark, tmp_path, events=(rows, EVENTS))) == ""
+
+
+class Items:
+    """A model of work items whose rows come in another order each time that they are read."""
+
+    def __init__(self, items, spans):
+        dealt = F.udf(lambda _: random.randrange(1_000_000), "int").asNondeterministic()
+        self.items, self.spans = (df.repartition(4, dealt("record_id")) for df in (items, spans))
+
+    def fact(self, name):
+        return self.items
+
+    def kept(self, name, build):
+        return self.spans
+
+
+def test_carry_over_does_not_hang_on_the_order_of_rows(spark):
+    items = [(f"i{k}", "bug", f"t{k % 3}") for k in range(200)]
+    moves = [(datetime(2000, 1, 10), "in_progress"), (datetime(2000, 2, 10), "done"), (datetime(2000, 3, 10), "in_progress"), (datetime(2000, 4, 10), "todo")]
+    ends = [*[at for at, _ in moves[1:]], None]
+    spans = [(i[0], since, until, c) for i in items for (since, c), until in zip(moves, ends, strict=True)]
+    m = Items(spark.createDataFrame(items, "record_id string, type string, team_id string"), spark.createDataFrame(spans, "record_id string, since timestamp, until timestamp, category string"))
+    got = sorted((r["record_id"], r["start_ts"].month, r["is_open"]) for r in canonical_metrics._carried(m).collect())
+    assert got == sorted((i[0], month, still) for i in items for month, still in ((1, False), (3, True)))
