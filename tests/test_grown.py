@@ -1,15 +1,19 @@
 """What only shows on larger or odd tables: each of these failed once."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 from oracle import difference
 
 from pyspark.sql import functions as F
 
-from tarnlake.plans import canonical_metrics, registry
+from tarnlake.functions import columns as X
+from tarnlake.plans import canonical, canonical_metrics, checks, funding, model, portfolio, registry
+from tarnlake.plans.adapter import Tables
 
 T0 = datetime(2024, 1, 1)
+SF = "/root/testdata/sf0.001"
 
 
 def tables(spark, folder, **rows):
@@ -69,3 +73,60 @@ def test_carry_over_does_not_hang_on_the_order_of_rows(spark):
     m = Items(spark.createDataFrame(items, "record_id string, type string, team_id string"), spark.createDataFrame(spans, "record_id string, since timestamp, until timestamp, category string"))
     got = sorted((r["record_id"], r["start_ts"].month, r["is_open"]) for r in canonical_metrics._carried(m).collect())
     assert got == sorted((i[0], month, still) for i in items for month, still in ((1, False), (3, True)))
+
+
+def test_time_formats_are_tried_only_on_texts_with_their_signs(spark):
+    texts = ["2024-01-02 03:04:05.123456", "2024-01-02 03:04:05", "2024-01-02T03:04:05.5-05:30", "2024-01-02t03:04:05z", "2024-01-02T03:04:05", "2024-01-02", "2024-01-02 03:04", "soon", "", None, "T-", "-.: "]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    plain = F.coalesce(*[F.try_to_timestamp(F.trim("x"), F.lit(f)) for f in X.TIME_FORMATS])
+    assert df.filter(~plain.eqNullSafe(X.to_utc(F.col("x")))).count() == 0
+    tried = df.select(X.to_utc(F.col("x")))._jdf.queryExecution().analyzed().toString()
+    assert tried.lower().count("case when") >= len(X.TIME_FORMATS)
+
+
+def test_attribution_makes_no_pairs(spark):
+    m = canonical.Model.of(Tables(spark, SF))
+    parts, costs = model.parts_of(m), funding.record_costs(m)
+    assert parts.records.join(costs, funding.RECORD, "left_anti").isEmpty() and parts.records.groupBy(*funding.RECORD).count().filter("count > 1").isEmpty()
+    assert parts.pots.groupBy("pot", "candidate_id").count().filter("count > 1").isEmpty()
+    assert parts.records.join(parts.direct, funding.RECORD, "left_semi").isEmpty()
+
+
+def test_sums_of_parts_are_those_of_their_rows(spark):
+    t0 = datetime(2024, 1, 20)
+    rec = [("incident" if k % 2 else "event", f"r{k}", 10.0 + k, 0.5 + k % 3 / 10, f"cluster/c{k % 2}", t0 - timedelta(days=k), k % 3) for k in range(60)]
+    pots = [("cluster/c0", "a", 2, 0.6, 0.5, 1.0, 0.25), ("cluster/c0", "b", 2, 0.6, 0.5, 1.0, 0.25), ("cluster/c0", "d", 2, 0.8, 1.0, 1.0, 0.5), ("cluster/c1", "a", 2, 0.8, 1.0, 1.0, 1.0)]
+    one = [("e", "incident", "x", 1, 1.0, 1.0, 1.0, 7.0, t0, 1)]
+    p = funding.Parts(
+        spark.createDataFrame(one, "candidate_id string, record_kind string, record_id string, tier int, weight double, quality double, share double, pain double, ts timestamp, priority int"),
+        spark.createDataFrame(rec, "record_kind string, record_id string, usd double, scale double, pot string, ts timestamp, priority int"),
+        spark.createDataFrame(pots, "pot string, candidate_id string, tier int, factor double, part double, level double, share double"),
+    )
+    usd = F.col("pain").cast("decimal(18,2)").cast("double")
+    figures = [F.round(F.sum(x), 6) for x in (usd, usd * F.col("quality"))]
+    want = {tuple(r) for r in p.rows().groupBy("candidate_id").agg(*figures, F.round(F.sum(F.when(F.col("record_kind") == "incident", F.col("share"))), 6)).collect()}
+    sums = funding._sums(p, funding.SETTINGS)
+    assert want == {tuple(r) for r in sums.groupBy("candidate_id").agg(*[F.round(F.sum(x), 6) for x in ("pain", "pq", "n_share")]).collect()}
+    assert p.rows().count() == 30 * 3 + 30 + 1 and {r["candidate_id"] for r in sums.filter("urgent").collect()} == {"a", "e"}
+
+
+def test_a_choice_among_many_candidates_ends(spark):
+    r = random.Random(7)
+    items = [portfolio.Item(f"i{k}", r.uniform(0, 5000), r.uniform(100, 5000), f"t{k % 40}", r.randint(1, 6)) for k in range(30_000)]
+    began = time.time()
+    c = portfolio.choose(items, portfolio.Limits(budget=60_000.0, capacity={}, default_capacity=25.0, quarters=2, most_nodes=30_000))
+    assert time.time() - began < 20 and sum(portfolio._cost(i) for i in items if i.id in set(c.chosen)) <= 60_000
+
+
+def test_invariants_make_the_shares_once(spark):
+    from test_invariants import GOOD, Fixture
+
+    m, made = Fixture(spark, GOOD), spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return x
+
+    shares = m.t["shares"].withColumn("share", F.udf(seen, "double").asNondeterministic()("share"))
+    out = checks.invariants(m, shares, m.t["scores"], m.t["metrics"], m.t["orgs"], m.t["portfolio"], m.t["usd"], ("incident_count",))
+    assert {r["n_bad"] for r in out.collect()} == {0} and made.value == len(GOOD["shares"])
