@@ -9,6 +9,7 @@ from oracle import difference
 from pyspark.sql import functions as F
 
 from tarnlake.functions import columns as X
+from tarnlake.operators import joins as J
 from tarnlake.plans import canonical, canonical_metrics, checks, funding, model, portfolio, registry
 from tarnlake.plans.adapter import Tables
 
@@ -130,3 +131,15 @@ def test_invariants_make_the_shares_once(spark):
     shares = m.t["shares"].withColumn("share", F.udf(seen, "double").asNondeterministic()("share"))
     out = checks.invariants(m, shares, m.t["scores"], m.t["metrics"], m.t["orgs"], m.t["portfolio"], m.t["usd"], ("incident_count",))
     assert {r["n_bad"] for r in out.collect()} == {0} and made.value == len(GOOD["shares"])
+
+
+def test_either_key_shuffles_no_pairs(spark):
+    left = spark.createDataFrame([(k, k % 3 if k % 5 else None, "same") for k in range(40)], "a long, g int, l string").union(spark.createDataFrame([(1, 1, "same")], "a long, g int, l string"))
+    right = spark.createDataFrame([(k, str(k % 4)) for k in range(60)] + [(None, "1"), (3, None)], "b int, h string")
+    out = J.either_key(left, right, [("g", "h"), ("a", "b")])
+    rows = [(x, y) for x in left.collect() for y in right.collect()]
+    agree = lambda x, y: 0 if x["g"] is not None and str(x["g"]) == y["h"] else 1 if x["a"] == y["b"] else None
+    got = sorted(((r["a"], r["b"], r["matched"]) for r in out.collect()), key=repr)
+    assert got == sorted(((x["a"], y["b"], agree(x, y)) for x, y in rows if agree(x, y) is not None), key=repr)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan[: plan.index("Join")]
