@@ -1,5 +1,6 @@
 """What only shows on larger or odd tables: each of these failed once."""
 
+import math
 import random
 import time
 from datetime import datetime, timedelta
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions import columns as X
 from tarnlake.operators import joins as J
-from tarnlake.plans import canonical, canonical_metrics, checks, funding, model, portfolio, registry
+from tarnlake.plans import canonical, canonical_metrics, checks, funding, model, portfolio, registry, stages
 from tarnlake.plans.adapter import Tables
 
 T0 = datetime(2024, 1, 1)
@@ -143,3 +144,47 @@ def test_either_key_shuffles_no_pairs(spark):
     assert got == sorted(((x["a"], y["b"], agree(x, y)) for x, y in rows if agree(x, y) is not None), key=repr)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" not in plan[: plan.index("Join")]
+
+
+class Tickets:
+    def __init__(self, inc, chg):
+        self.t = {"incident": inc, "change": chg}
+
+    def core(self, name):
+        return self.t[name]
+
+
+def test_links_are_the_best_of_all_pairs_and_no_pair_is_shuffled(spark, monkeypatch):
+    r = random.Random(11)
+    monkeypatch.setattr(stages, "MOST_PAIRS", 50)
+    at = lambda h: T0 + timedelta(minutes=15 * h)
+    inc = [(f"i{k}", r.choice(["a", "b", None]), r.choice(["s", None]), at(r.randrange(2000)), r.choice([None, f"c{r.randrange(90)}"]), r.choice(["change it", "Order 5", "Order 1", None])) for k in range(150)]
+    chg = []
+    for k in range(90):
+        t = at(r.randrange(2000))
+        chg.append((f"c{k}", r.choice(["a", "b", None]), r.choice(["s", "u"]), r.choice([None, t - timedelta(hours=r.choice([0, 5, 90]))]), r.choice([None, t]), t, r.choice(["failed", "success", None]), r.choice(["emergency", "normal"])))
+    m = Tickets(
+        spark.createDataFrame(inc, "record_id string, ci_id string, service_id string, opened_at timestamp, caused_by_change_id string, short_description string"),
+        spark.createDataFrame(chg, "record_id string, ci_id string, service_id string, actual_start timestamp, actual_end timestamp, planned_end timestamp, outcome string, type string"),
+    )
+    want = set()
+    for i, ci, sv, opened, named, text in inc:
+        told = bool(text) and (text.startswith("change") or text[-1] in "05")
+        if named:
+            want.add((i, named, "source_field", 1.0))
+        best = []
+        for c, c_ci, c_sv, start, end, plan, outcome, kind in chg:
+            t = end or start or plan
+            d = (opened - t).total_seconds()
+            near = -3600 <= d <= 72 * 3600 or (start and end and start <= opened <= end)
+            w = [x for same, x in ((ci and ci == c_ci, 1.0), (sv and sv == c_sv, 0.6)) if same]
+            if w and near and d <= 72 * 3600 and c != named:
+                raw = min(1.0, max(w) * math.exp(-max(0.0, d / 3600) / 12.0) * ((1.25 if outcome == "failed" else 1.0) * (1.1 if kind == "emergency" else 1.0)))
+                score = raw if told else min(raw, 0.45)
+                if score >= 0.3:
+                    best.append((-score, -raw, c))
+        want |= {(i, c, "time_ci_window", round(-s, 9)) for s, _, c in sorted(best)[:3]}
+    out = stages.link_candidates(m)
+    assert len(want) > 100 and want == {(x["incident_id"], x["change_id"], x["method"], round(x["score"], 9)) for x in out.collect()}
+    # every join of the plan is that of the named changes
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
