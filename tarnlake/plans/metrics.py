@@ -103,7 +103,15 @@ def compute(fact: DataFrame, m: Metric, entity: str, unit: str = "month", window
         # on the bare column, so that the bounds reach the scan
         df = df.filter((at >= F.lit(window[0]).cast("timestamp")) & (at < F.lit(window[1]).cast("timestamp")))
     df = df.withColumn("period_start", X.bucket_start(at, unit, zone))
-    g = df.groupBy(F.col(entity).cast("string").alias("entity_id"), "period_start").agg(
+    keys = [F.col(entity).cast("string").alias("entity_id"), "period_start"]
+    if m.value.startswith("median("):
+        # equal values are counted first, in buffers of fixed size: a median holds the different ones only
+        x = F.expr(m.value.removeprefix("median(").removesuffix(")"))
+        n = df.groupBy(*keys, x.alias("__x")).agg(F.count("*").alias("__n"))
+        known = F.coalesce(F.sum(F.when(F.col("__x").isNotNull(), F.col("__n"))), F.lit(0))
+        g = n.groupBy("entity_id", "period_start").agg(F.expr("percentile(__x, 0.5, __n)").cast("double").alias("value"), known.cast("double").alias("numerator"), F.sum("__n").cast("double").alias("denominator"), known.alias("sample_size"))
+        return finish(g, m, digits)
+    g = df.groupBy(*keys).agg(
         F.expr(m.value).cast("double").alias("value"),
         F.expr(f"CAST({m.numerator} AS DOUBLE)").alias("numerator"),
         F.expr(f"CAST({m.denominator} AS DOUBLE)").alias("denominator"),

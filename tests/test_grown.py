@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions import columns as X
 from tarnlake.operators import joins as J
-from tarnlake.plans import canonical, canonical_metrics, checks, funding, model, portfolio, registry, stages
+from tarnlake.plans import canonical, canonical_metrics, checks, funding, metrics, model, portfolio, registry, stages
 from tarnlake.plans.adapter import Tables
 
 T0 = datetime(2024, 1, 1)
@@ -188,3 +188,14 @@ def test_links_are_the_best_of_all_pairs_and_no_pair_is_shuffled(spark, monkeypa
     assert len(want) > 100 and want == {(x["incident_id"], x["change_id"], x["method"], round(x["score"], 9)) for x in out.collect()}
     # every join of the plan is that of the named changes
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_medians_count_equal_values_first(spark):
+    m = metrics.Metric("f", "ts", "days", 3, where="TRUE", **metrics._median("x"))
+    rows = [(f"e{k % 3}", T0 + timedelta(days=k % 60), None if k % 7 == 0 else float(k % 5)) for k in range(3000)]
+    fact = spark.createDataFrame(rows, "e string, ts timestamp, x double")
+    out = metrics.compute(fact, m, "e")
+    keys = [F.col("e").alias("entity_id"), X.bucket_start(F.col("ts"), "month", metrics.ZONE).alias("period_start")]
+    want = fact.groupBy(*keys).agg(F.median("x"), F.count("x").cast("double"), F.count("*").cast("double"), F.count("x"))
+    assert {tuple(r) for r in want.collect()} == {tuple(r)[:6] for r in out.select("entity_id", "period_start", "value", "numerator", "denominator", "sample_size").collect()}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
